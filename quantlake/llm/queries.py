@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantlake.llm import decontaminate, language, packing, quality, token_file
+from quantlake.llm import decontaminate, language, packing, quality, repeats, token_file
 from quantlake.llm.runtime import table
 
 
@@ -22,6 +22,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +35,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_quality, op3_token_file, op4_best_fit_packing, op7_decontamination, op9_language_id)
+    f.__name__: f for f in (op1_line_quality, op3_token_file, op4_best_fit_packing, op6_repeated_spans, op7_decontamination, op9_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {}
