@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantlake.llm import decontaminate, language, packing, quality, repeats, token_file
+from quantlake.llm import decontaminate, jaccard, language, packing, quality, repeats, token_file
 from quantlake.llm.runtime import table
 
 
@@ -34,8 +34,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_quality, op3_token_file, op4_best_fit_packing, op6_repeated_spans, op7_decontamination, op9_language_id)
+    f.__name__: f for f in (op1_line_quality, op3_token_file, op4_best_fit_packing, op6_repeated_spans, op7_decontamination, op9_language_id, op10_ngram_jaccard)
 }
 
 ORACLE_SQL: dict[str, str] = {}
