@@ -27,6 +27,11 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
+#: ASCII letters.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+
+
 @dataclass
 class Bytes:
     """Bytes of a text column: document d is ``data[offsets[d]:offsets[d + 1]]``."""
@@ -63,8 +68,11 @@ class Words:
         return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def words(text: Bytes, inside: np.ndarray, to: np.ndarray = IDENTITY) -> Words:
-    """Maximal runs of bytes that are ``inside`` after mapping by ``to``, never across documents."""
+def words(text: Bytes, inside: np.ndarray, to: np.ndarray = IDENTITY, apart: np.ndarray | None = None) -> Words:
+    """Maximal runs of bytes that are ``inside`` after mapping by ``to``, never across documents.
+
+    A run of one of the bytes ``apart`` at the end of a word, right after an ASCII letter, is a word of its own.
+    """
     data = to[text.data]
     is_word = inside[data]
     n = len(data)
@@ -75,6 +83,11 @@ def words(text: Bytes, inside: np.ndarray, to: np.ndarray = IDENTITY) -> Words:
     cuts = text.offsets[(text.offsets > 0) & (text.offsets < n)]
     before[cuts] = False
     after[cuts - 1] = False
+    if apart is not None and n:
+        tail = np.flatnonzero(apart[data] & before & ~after)
+        tail = tail[LETTER[data[tail - 1]]]
+        before[tail] = False
+        after[tail - 1] = False
     starts, ends = np.flatnonzero(is_word & ~before), np.flatnonzero(is_word & ~after) + 1
     at = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=at[1:])

@@ -70,26 +70,27 @@ def unpack_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, sizes, unpack_values(memoryview(payload)[20 + 12 * n_docs :], n)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """doc_id and the little-endian unsigned 32-bit ids of each whole text."""
+def encoded(docs: DataFrame, tokenizer: str, end: int, kind: str) -> DataFrame:
+    """doc_id and the ids of each whole text, as bytes of the numpy type ``kind``."""
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.Encoder(tokenizer)
         for batch in batches:
             ids, at = encoder.encode(batch.column(1), end)
-            cells = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * 4), pa.py_buffer(ids.astype("<u4"))])
+            cells = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * width), pa.py_buffer(ids.astype(kind))])
             yield pa.RecordBatch.from_arrays([batch.column(0), cells.cast(pa.binary())], names=["doc_id", "ids"])
 
     return runtime.id_and_text(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequencies(ids: DataFrame) -> DataFrame:
+def frequencies(ids: DataFrame, kind: str) -> DataFrame:
     """How often each id occurs; every task counts its own before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            got = np.bincount(np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(0))]))
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
             if len(got) > len(total):
                 got[: len(total)] += total
                 total = got
@@ -109,8 +110,10 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     """
     spark = docs.sparkSession
     runtime.small_batches(spark)
-    raw = runtime.materialize(encoded(docs, tokenizer or tokens.default_path(), end), "ids")
-    by_rank = np.array([r["id"] for r in frequencies(raw).orderBy(F.desc("n"), "id").select("id").collect()], np.int64)
+    tokenizer = tokenizer or tokens.default_path()
+    kind = tokens.id_type(tokenizer, end)
+    raw = runtime.materialize(encoded(docs, tokenizer, end, kind), "ids")
+    by_rank = np.array([r["id"] for r in frequencies(raw, kind).orderBy(F.desc("n"), "id").select("id").collect()], np.int64)
     rank_of = np.zeros(int(by_rank.max(initial=-1)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
     table = spark.sparkContext.broadcast(rank_of)
@@ -128,7 +131,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
 
         for batch in batches:
             for doc_id, cell in zip(batch.column(0), batch.column(1), strict=True):
-                got = np.frombuffer(cell.as_buffer(), "<u4").copy()
+                got = np.frombuffer(cell.as_buffer(), kind).copy()
                 held.append((-(2**63) if doc_id.as_py() is None else doc_id.as_py(), got))
                 size += len(got)
                 if size >= SEGMENT_TOKENS:

@@ -1,8 +1,9 @@
 """Exact, cached encoding of Arrow text columns with a public tokenizer.
 
-The tokenizer drops white space and never joins what it separates, so a text's ids are those of its white-space separated
-pieces in order.  Each distinct piece of a batch is encoded once, by the tokenizers library, and the ids are gathered with
-numpy.  ``tests/llm`` holds the result against encoding whole texts.
+The tokenizer drops white space, ignores case and never joins what it separates, so a text's ids are those of its white-space
+separated pieces in order; a full stop or comma that ends a piece after a letter is a piece of its own.  Each distinct piece
+is encoded once, by the tokenizers library, and the ids are gathered with numpy.  ``tests/llm`` holds the result against
+encoding whole texts.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from quantlake.llm import textkit
 
 #: Distinct pieces that a Python worker remembers between batches before it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 
 
 def default_path() -> str:
@@ -24,38 +26,87 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+MARKS = np.zeros(256, bool)
+MARKS[[44, 46]] = True
+
+
+MARK_BYTE = b"\x01"
+#: Pieces in one text.
+JOINED = 200
+
+
 class Encoder:
+    """Ids of the pieces that it knows lie one after the other in ``flat``; piece k's are ``first[k]`` to ``first[k + 1]``."""
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def pieces(self, distinct: list[bytes]) -> list[np.ndarray]:
-        new = [x for x in distinct if x not in self.cache]
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache, new = {}, distinct
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for x, got in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self.cache[x] = np.array(got.ids, np.uint32)
-        return [self.cache[x] for x in distinct]
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.tokenizer.encode(MARK_BYTE.decode(), add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def numbers(self, distinct: pa.Array) -> np.ndarray:
+        """Numbers of pieces; those not known are encoded."""
+        at = pc.index_in(distinct, value_set=self.known)
+        if not at.null_count:
+            return at.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(self.known) + at.null_count > CACHE_PIECES and len(self.known):
+            self.forget()
+            return self.numbers(distinct)
+        new = distinct.filter(pc.is_null(at))
+        ids, sizes = self.fresh(new.to_pylist())
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, ids])
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        out = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out[missing] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        return out
+
+    def fresh(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has.
+
+        Many pieces are encoded as one text with a mark between them, whose own id shows where each ends.
+        """
+        fast = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if len(self.mark) == 1 and not any(MARK_BYTE in x for x in pieces):
+            texts = [b" \x01 ".join(pieces[k : k + JOINED] + [b""]).decode() for k in range(0, len(pieces), JOINED)]
+            ids: list[int] = []
+            for got in fast(texts):
+                ids += got.ids
+            flat = np.array(ids, np.uint32)
+            marks = np.flatnonzero(flat == self.mark[0])
+            if len(marks) == len(pieces):
+                return flat[flat != self.mark[0]], np.diff(marks, prepend=-1) - 1
+        every = [got.ids for got in fast([x.decode() for x in pieces])]
+        return np.array([i for x in every for i in x], np.uint32), np.array([len(x) for x in every], np.int64)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and where each text's ids begin (one more place than texts)."""
-        found = textkit.words(textkit.utf8(texts), textkit.NOT_SPACE)
+        text = textkit.utf8(texts)
+        body = text.data.tobytes()
+        plain = not any(x in body for x in self.special)  # their spelling counts in the given case only
+        found = textkit.words(text, textkit.NOT_SPACE, textkit.LOWER if plain else textkit.IDENTITY, MARKS if plain else None)
         codes, distinct = found.dictionary()
-        parts = self.pieces(distinct.to_pylist())
-        size = np.array([len(x) for x in parts], np.int64)
-        flat = np.concatenate([*parts, np.array([end], np.uint32)])
-        first = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum(size, out=first[1:])
-        size = np.append(size, 1)
+        number = self.numbers(distinct)
         # The end id is one more piece, put behind the last one of each text.
-        n = len(texts)
-        codes = np.insert(codes, found.first[1:], len(parts))
-        begins = found.first + np.arange(n + 1)
+        codes = np.insert(codes, found.first[1:], len(number))
+        begin = np.append(self.first[number], len(self.flat))
+        size = np.append(self.first[number + 1] - self.first[number], 1)
         at = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(size[codes], out=at[1:])
-        return flat[textkit.ranges(first[codes], size[codes])], at[begins]
+        flat = np.append(self.flat, np.uint32(end))
+        return flat[textkit.ranges(begin[codes], size[codes])], at[found.first + np.arange(len(texts) + 1)]
+
+
+def id_type(path: str, *more: int) -> str:
+    """The numpy type, in little-endian bytes, that holds every id of a tokenizer and ``more``."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size() - 1, *more) < 1 << 16 else "<u4"
