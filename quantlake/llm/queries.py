@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantlake.llm import decontaminate, jaccard, language, packing, quality, repeats, token_file
+from quantlake.llm import decontaminate, jaccard, language, licenses, packing, quality, repeats, secrets, token_file
 from quantlake.llm.runtime import table
 
 
@@ -22,6 +22,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_quality, op3_token_file, op4_best_fit_packing, op6_repeated_spans, op7_decontamination, op9_language_id, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_line_quality, op3_token_file, op4_best_fit_packing, op5_license_scan, op6_repeated_spans, op7_decontamination, op8_secret_scan, op9_language_id, op10_ngram_jaccard)
 }
 
 ORACLE_SQL: dict[str, str] = {}
