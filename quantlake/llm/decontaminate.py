@@ -84,7 +84,7 @@ class PositionalIndex:
         return at
 
 
-def search(doc_of: np.ndarray, index: PositionalIndex, queries: Queries, hit: np.ndarray, items: list[set[str]], near: np.ndarray, gap: int) -> None:
+def search(doc_of: np.ndarray, index: PositionalIndex, queries: Queries, hit: np.ndarray, items: list[set[str]], near: np.ndarray) -> None:
     """Mark the hit positions and each document's items."""
     for window, names in queries.windows:
         if not index.count[window].all():
@@ -96,7 +96,51 @@ def search(doc_of: np.ndarray, index: PositionalIndex, queries: Queries, hit: np
             for d in np.unique(doc_of[starts]):
                 items[d].update(names)
         if len(window) > 1:
-            near[np.unique(doc_of[index.near(window, min(SLOP, gap))])] += 1
+            near[np.unique(doc_of[index.near(window)])] += 1
+
+
+class Judge:
+    """Hits of a batch of texts, block by block of the benchmark."""
+
+    def __init__(self, blocks: list, size: int) -> None:
+        self.blocks, self.size = blocks, size
+        self.only = Queries(blocks[0].value, size) if len(blocks) == 1 else None
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[set[str]], np.ndarray]:
+        """Words, words hit, items and near matches of each text."""
+        n = len(texts)
+        found = textkit.words(textkit.utf8(texts), textkit.ALNUM, textkit.LOWER)
+        n_words = np.diff(found.first)
+        # Boundaries: as many empty places between documents as a near match may span.
+        gap = max(self.size, SLOP) + 1
+        doc_of_word = np.repeat(np.arange(n), n_words)
+        place = np.arange(len(found)) + doc_of_word * gap
+        width = len(found) + n * gap
+        doc_of = np.zeros(width, np.int64)
+        doc_of[place] = doc_of_word
+        hit, items, near = np.zeros(width, bool), [set() for _ in range(n)], np.zeros(n, np.int64)
+        for block in self.blocks:
+            queries = self.only or Queries(block.value, self.size)
+            ids = np.full(width, -1, np.int64)
+            ids[place] = pc.fill_null(pc.index_in(found.values, value_set=queries.terms), -1).to_numpy(zero_copy_only=False)
+            search(doc_of, PositionalIndex(ids, len(queries.terms)), queries, hit, items, near)
+            if not self.only:
+                block.__dict__.pop("_value", None)  # one block at a time in memory
+        return n_words, np.bincount(doc_of_word[hit[place]], minlength=n), items, near
+
+
+def shared_blocks(benchmark: DataFrame) -> list:
+    """The benchmark's items as broadcasts of at most about ``BLOCK_BYTES`` of text."""
+    context = benchmark.sparkSession.sparkContext
+    blocks, block, held = [], [], 0
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    for item, text in rows.toLocalIterator():
+        block.append((item, text))
+        held += len(text)
+        if held >= BLOCK_BYTES:
+            blocks.append(context.broadcast(block))
+            block, held = [], 0
+    return blocks + [context.broadcast(block)] if block or not blocks else blocks
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -106,41 +150,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     item without words has no windows; a null item_id stands as the text "null".  Repeated rows give repeated results;
     an empty benchmark leaves every document clean.  ``n_near`` counts windows all of whose terms lie within SLOP places.
     """
-    spark = docs.sparkSession
-    runtime.small_batches(spark)
-    blocks, block, held = [], [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
-    for item, text in rows.toLocalIterator():
-        block.append((item, text))
-        held += len(text)
-        if held >= BLOCK_BYTES:
-            blocks.append(spark.sparkContext.broadcast(block))
-            block, held = [], 0
-    blocks.append(spark.sparkContext.broadcast(block))
+    runtime.small_batches(docs.sparkSession)
+    blocks = shared_blocks(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Queries(blocks[0].value, size) if len(blocks) == 1 else None
+        judge = Judge(blocks, size)
         for batch in batches:
-            n = batch.num_rows
-            text = textkit.utf8(batch.column(1))
-            found = textkit.words(text, textkit.ALNUM, textkit.LOWER)
-            n_words = np.diff(found.first)
-            # Boundaries: as many empty places between documents as a near match may span.
-            gap = max(size, SLOP) + 1
-            doc_of_word = np.repeat(np.arange(n), n_words)
-            place = np.arange(len(found)) + doc_of_word * gap
-            width = len(found) + n * gap
-            doc_of = np.zeros(width, np.int64)
-            doc_of[place] = doc_of_word
-            hit, items, near = np.zeros(width, bool), [set() for _ in range(n)], np.zeros(n, np.int64)
-            for block in blocks:
-                queries = kept or Queries(block.value, size)
-                ids = np.full(width, -1, np.int64)
-                ids[place] = pc.fill_null(pc.index_in(found.values, value_set=queries.terms), -1).to_numpy(zero_copy_only=False)
-                search(doc_of, PositionalIndex(ids, len(queries.terms)), queries, hit, items, near, gap)
-                if not kept:
-                    block.__dict__.pop("_value", None)  # one block at a time in memory
-            n_hit = np.bincount(doc_of_word[hit[place]], minlength=n)
+            n_words, n_hit, items, near = judge(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -155,3 +171,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
             )
 
     return runtime.id_and_text(docs).mapInArrow(run, SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that are not contaminated."""
+    runtime.small_batches(docs.sparkSession)
+    blocks = shared_blocks(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(blocks, size)
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column("text"))[1] == 0))
+
+    return docs.mapInArrow(run, docs.schema)

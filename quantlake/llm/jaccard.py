@@ -264,3 +264,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(F.col("root") != LAST_ID, F.col("root")).otherwise(null).alias("component_id"),
     )
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of one document in each component: that of the smallest doc_id.
+
+    Rows with one doc_id are one document and leave one row.  Rows whose doc_id is null cannot be told apart and all stay.
+    """
+    known = docs.filter("doc_id is not null")
+    kept = jaccard_components(known).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    chosen = known.join(kept, known["doc_id"].cast("long") == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.filter("doc_id is null"))

@@ -153,12 +153,32 @@ def predict(docs: DataFrame, ranked: dict[str, list[int]], n: int = PROFILE) ->
     return runtime.id_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, ranked: dict[str, list[int]], n: int = PROFILE, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language (not ``und``) with a score of at least ``least``."""
+    spark = docs.sparkSession
+    runtime.small_batches(spark)
+    shared = spark.sparkContext.broadcast(ranked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles(shared.value)
+        for batch in batches:
+            got = [profiles.predict(x, n) for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """(text, lang) of the rows that are not held out; ``lang`` may be missing."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.filter(~held_out()).select("text", lang.alias("lang"))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out, and predict all rows.
 
     A row's fold is crc32(doc_id as text) mod 3: remainder 1 is held out, a null doc_id is not.  ``lang`` may be missing or
     null; then nothing is learned from the row.  Repeated rows count as often as they occur.
     """
-    known = docs.filter(~held_out()).select("text", F.col("lang").cast("string").alias("lang")) if "lang" in docs.columns else docs.select("text", F.lit(None).cast("string").alias("lang"))
-    out = predict(docs, learn(known))
+    out = predict(docs, learn(training_rows(docs)))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
