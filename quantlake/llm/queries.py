@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantlake.llm import decontaminate, jaccard, language, licenses, packing, quality, repeats, secrets, token_file
+from quantlake.llm import decontaminate, jaccard, language, licenses, packing, quality, repeats, secrets, token_counts, token_file
 from quantlake.llm.runtime import table
 
 
@@ -14,6 +14,10 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_quality, op3_token_file, op4_best_fit_packing, op5_license_scan, op6_repeated_spans, op7_decontamination, op8_secret_scan, op9_language_id, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_line_quality, op2_token_counts, op3_token_file, op4_best_fit_packing, op5_license_scan, op6_repeated_spans, op7_decontamination, op8_secret_scan, op9_language_id, op10_ngram_jaccard)
 }
 
 ORACLE_SQL: dict[str, str] = {}

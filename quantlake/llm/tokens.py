@@ -38,7 +38,9 @@ JOINED = 200
 class Encoder:
     """Ids of the pieces that it knows lie one after the other in ``flat``; piece k's are ``first[k]`` to ``first[k + 1]``."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, spans: bool = False) -> None:
+        """With ``spans``, the characters of its piece that each token stands for are kept as well."""
+        self.spans = spans
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,6 +52,7 @@ class Encoder:
     def forget(self) -> None:
         self.known = pa.array([], pa.large_binary())
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.places = np.zeros((0, 2), np.int64)
 
     def numbers(self, distinct: pa.Array) -> np.ndarray:
         """Numbers of pieces; those not known are encoded."""
@@ -60,7 +63,8 @@ class Encoder:
             self.forget()
             return self.numbers(distinct)
         new = distinct.filter(pc.is_null(at))
-        ids, sizes = self.fresh(new.to_pylist())
+        ids, sizes, places = self.fresh(new.to_pylist())
+        self.places = np.concatenate([self.places, places])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, ids])
         missing = at.is_null().to_numpy(zero_copy_only=False)
@@ -69,32 +73,46 @@ class Encoder:
         self.known = pa.concat_arrays([self.known, new])
         return out
 
-    def fresh(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces, one after the other, and how many each has.
+    def fresh(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, how many each has, and their places in the piece (if kept).
 
         Many pieces are encoded as one text with a mark between them, whose own id shows where each ends.
         """
-        fast = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        if len(self.mark) == 1 and not any(MARK_BYTE in x for x in pieces):
-            texts = [b" \x01 ".join(pieces[k : k + JOINED] + [b""]).decode() for k in range(0, len(pieces), JOINED)]
-            ids: list[int] = []
-            for got in fast(texts):
-                ids += got.ids
-            flat = np.array(ids, np.uint32)
-            marks = np.flatnonzero(flat == self.mark[0])
-            if len(marks) == len(pieces):
-                return flat[flat != self.mark[0]], np.diff(marks, prepend=-1) - 1
-        every = [got.ids for got in fast([x.decode() for x in pieces])]
-        return np.array([i for x in every for i in x], np.uint32), np.array([len(x) for x in every], np.int64)
-
-    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by ``end``, and where each text's ids begin (one more place than texts)."""
+        encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
+        joint = len(self.mark) == 1 and not any(MARK_BYTE in x for x in pieces)
+        parts = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)] if joint else [[x] for x in pieces]
+        after = b" \x01 " if joint else b""
+        ids: list[int] = []
+        sizes, places = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+        for part, got in zip(parts, encode([b"".join(x + after for x in part).decode() for part in parts], add_special_tokens=False), strict=True):
+            own = got.ids
+            marks = [i for i, x in enumerate(own) if x == self.mark[0]] if joint else [len(own)]
+            if len(marks) != len(part):
+                raise ValueError("a piece holds the mark's id")
+            sizes.append(np.diff(marks, prepend=-1) - 1)
+            ids += own
+            if self.spans:
+                begin = np.cumsum([0, *(len(x.decode()) + len(after) for x in part)])[:-1]
+                at = np.array(got.offsets, np.int64).reshape(-1, 2)
+                keep = np.ones(len(own), bool)
+                if joint:
+                    keep[marks] = False
+                places.append(at[keep] - np.repeat(begin, sizes[-1])[:, None])
+        flat = np.array(ids, np.uint32)
+        return flat[flat != self.mark[0]] if joint else flat, np.concatenate(sizes), np.concatenate(places)
+
+    def words(self, texts: pa.Array) -> tuple[textkit.Bytes, textkit.Words, np.ndarray, np.ndarray]:
+        """Bytes and pieces of texts, the code of each piece, and the number that the encoder gives each code."""
         text = textkit.utf8(texts)
         body = text.data.tobytes()
         plain = not any(x in body for x in self.special)  # their spelling counts in the given case only
         found = textkit.words(text, textkit.NOT_SPACE, textkit.LOWER if plain else textkit.IDENTITY, MARKS if plain else None)
         codes, distinct = found.dictionary()
-        number = self.numbers(distinct)
+        return text, found, codes, self.numbers(distinct)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end``, and where each text's ids begin (one more place than texts)."""
+        _, found, codes, number = self.words(texts)
         # The end id is one more piece, put behind the last one of each text.
         codes = np.insert(codes, found.first[1:], len(number))
         begin = np.append(self.first[number], len(self.flat))
@@ -104,6 +122,17 @@ class Encoder:
         flat = np.append(self.flat, np.uint32(end))
         return flat[textkit.ranges(begin[codes], size[codes])], at[found.first + np.arange(len(texts) + 1)]
 
+    def locate(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all tokens and starts of all texts in characters of the batch, and each text's first token."""
+        text, found, codes, number = self.words(texts)
+        chars = np.zeros(len(text.data) + 1, np.int64)
+        np.cumsum(text.data & 0xC0 != 0x80, out=chars[1:])
+        size = (self.first[number + 1] - self.first[number])[codes]
+        at = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(size, out=at[1:])
+        places = self.places[textkit.ranges(self.first[number][codes], size)] + np.repeat(chars[found.starts], size)[:, None]
+        return places[:, 0], places[:, 1], chars[text.offsets], at[found.first]
+
 
 def id_type(path: str, *more: int) -> str:
     """The numpy type, in little-endian bytes, that holds every id of a tokenizer and ``more``."""
