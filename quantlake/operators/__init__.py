@@ -1 +1 @@
-
+"""Domain operators: pure functions from DataFrames to DataFrames."""
