@@ -83,23 +83,24 @@ class Encoder:
         parts = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)] if joint else [[x] for x in pieces]
         after = b" \x01 " if joint else b""
         ids: list[int] = []
-        sizes, places = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
-        for part, got in zip(parts, encode([b"".join(x + after for x in part).decode() for part in parts], add_special_tokens=False), strict=True):
-            own = got.ids
-            marks = [i for i, x in enumerate(own) if x == self.mark[0]] if joint else [len(own)]
-            if len(marks) != len(part):
-                raise ValueError("a piece holds the mark's id")
-            sizes.append(np.diff(marks, prepend=-1) - 1)
-            ids += own
+        places = [np.zeros((0, 2), np.int64)]
+        ends = []
+        for got in encode([b"".join([x + after for x in part]).decode() for part in parts], add_special_tokens=False):
+            ids += got.ids
+            ends.append(len(ids))
             if self.spans:
-                begin = np.cumsum([0, *(len(x.decode()) + len(after) for x in part)])[:-1]
-                at = np.array(got.offsets, np.int64).reshape(-1, 2)
-                keep = np.ones(len(own), bool)
-                if joint:
-                    keep[marks] = False
-                places.append(at[keep] - np.repeat(begin, sizes[-1])[:, None])
-        flat = np.array(ids, np.uint32)
-        return flat[flat != self.mark[0]] if joint else flat, np.concatenate(sizes), np.concatenate(places)
+                places.append(np.array(got.offsets, np.int64).reshape(-1, 2))
+        flat, at = np.array(ids, np.uint32), np.concatenate(places)
+        if not joint:
+            return flat, np.diff(np.array(ends, np.int64), prepend=0), at
+        is_mark = flat == self.mark[0]
+        sizes = np.diff(np.flatnonzero(is_mark), prepend=-1) - 1
+        if len(sizes) != len(pieces):
+            raise ValueError("a piece holds the mark's id")
+        if self.spans:
+            begin = np.concatenate([np.cumsum([0, *(len(x.decode()) + len(after) for x in part)])[:-1] for part in parts])
+            at = at[~is_mark] - np.repeat(begin, sizes)[:, None]
+        return flat[~is_mark], sizes, at
 
     def words(self, texts: pa.Array) -> tuple[textkit.Bytes, textkit.Words, np.ndarray, np.ndarray]:
         """Bytes and pieces of texts, the code of each piece, and the number that the encoder gives each code."""
