@@ -140,4 +140,4 @@ def neutralize(scores: DataFrame, exposure: DataFrame, score: str = "score", out
     sxx, sxy = F.sum(F.col("_x") * F.col("_x")).over(whole), F.sum(F.col("_x") * F.col("_y")).over(whole)
     beta = F.when(sxx > 1e-12, sxy / sxx).otherwise(0.0)
     enough = (F.count(score).over(whole) >= 3) & (F.max(score).over(whole) > F.min(score).over(whole))
-    return step.withColumn(out, F.when(has & enough, quantise(F.col("_y") - beta * F.col("_x"), SCORE_DIGITS))).drop("_x", "_y")
+    return step.withColumn(out, F.when(has & enough, quantise(F.col("_y") - beta * F.col("_x"), SCORE_DIGITS))).drop("_x", "_y", "industry", "log_total_mv")

@@ -1,7 +1,7 @@
 """The driver's tables in the shape of the domain: suppliers stand for securities, weeks for trading days.
 
 Each relation is one statement in the common ground of Spark SQL and DuckDB, so that queries and their oracles start from
-equal rows.  ``ymd`` is the only function spelled differently.
+equal rows.  A price is 100 and a thousandth of the mean unit price, so that weekly returns are those of a security.  ``ymd`` is the only function spelled differently.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ KEY = "cast(substr(ts_code, 2, 6) as int)"
 RELATIONS: dict[str, str] = {
     "daily": f"""
         select {CODE.format("l_suppkey")} as ts_code, ymd(date_trunc('week', l_shipdate)) as trade_date,
-               floor(floor(sum(l_extendedprice) * 1e2 + 0.5e0) / 1e2 / sum(l_quantity) * 1e4 + 0.5e0) / 1e4 as close,
+               floor((1e2 + floor(sum(l_extendedprice) * 1e2 + 0.5e0) / 1e2 / sum(l_quantity) / 1e3) * 1e6 + 0.5e0) / 1e6 as close,
                sum(l_quantity) as vol, floor(sum(l_extendedprice) * 1e2 + 0.5e0) / 1e2 as amount
         from lineitem group by 1, 2""",
     "trade_dates": """
@@ -76,7 +76,7 @@ RELATIONS: dict[str, str] = {
         from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where s_suppkey % 13 <> 0""",
     "index_daily": """
         select '000985.CSI' as ts_code, ymd(date_trunc('week', l_shipdate)) as trade_date,
-               floor(floor(sum(l_extendedprice) * 1e2 + 0.5e0) / 1e2 / sum(l_quantity) * 1e4 + 0.5e0) / 1e4 as close
+               floor((1e2 + floor(sum(l_extendedprice) * 1e2 + 0.5e0) / 1e2 / sum(l_quantity) / 1e3) * 1e6 + 0.5e0) / 1e6 as close
         from lineitem group by 1, 2""",
     "trade_cal": """
         select 'SSE' as exchange, ymd(d) as cal_date, case when dow in (1, 7) then 0 else 1 end as is_open

@@ -1 +1 @@
-
+"""Streaming wrappers of batch operators."""
