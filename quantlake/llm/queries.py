@@ -35,7 +35,7 @@ def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +54,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_quality, op2_token_counts, op3_token_file, op4_best_fit_packing, op5_license_scan, op6_repeated_spans, op7_decontamination, op8_secret_scan, op9_language_id, op10_ngram_jaccard)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of op7 and op10 in DuckDB: its regular expressions read bytes over 0x7F as the characters they are.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+_OP7 = f"""
+with d as (select doc_id, {_ALNUM} as w from documents), b as (select item_id::varchar as item, {_ALNUM} as w from benchmark),
+win as (select distinct item, least(len(w), 10) as size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as gram from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+own as (select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as gram from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from d, (select distinct size from win) where len(w) >= size)),
+hits as materialized (select distinct doc_id, i, o.size, item from own o join win using (size, gram)),
+marked as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + size)) as p from (select distinct doc_id, i, size from hits)) group by 1),
+items as (select doc_id, count(distinct item) as n, array_to_string(list_sort(list_distinct(list(item))), ',') as names from hits group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(m.n, 0)::bigint as n_hit, coalesce(x.n, 0)::bigint as n_items, sha256(coalesce(x.names, '')) as items_sha256, coalesce(m.n, 0) > 0 as contaminated
+from d left join marked m using (doc_id) left join items x using (doc_id)"""
+
+_OP10 = f"""
+with recursive d as (select doc_id, {_SPACED} as w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as gram from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by 1),
+links as materialized (select a.doc_id as x, b.doc_id as y from s a join s b using (gram) join n p on p.doc_id = a.doc_id join n q on q.doc_id = b.doc_id where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, p.n, q.n having 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+reach(x, y) as (select doc_id, doc_id from d union select r.x, l.y from reach r join links l on l.x = r.y)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id from d left join n using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by 1) c using (doc_id)"""
+
+#: Tokens, packing, profiles, line rules, byte strings and entropy scans are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": _OP7, "op10_ngram_jaccard": _OP10}

@@ -122,12 +122,8 @@ def random_enough(value: Column, rules: Rules) -> Column:
     return (kinds >= rules.kinds) & ~allowed & (F.coalesce(windows_entropy(value, rules.window), F.lit(0.0)) >= bits)
 
 
-def scan(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """All columns that the input has, as they are, and ``found``: an array of (start, rank, kind, end) of every span, base and added.
-
-    A null or empty text has none.  Rows are scanned one by one: repeated rows have equal results, an empty table gives none.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
+def spans_of(text: Column, rules: Rules = Rules()) -> Column:  # noqa: B008
+    """Sorted array of (start, rank, kind, end) of every span of a text, base and added."""
 
     def labelled(rows: Column, rank: int, kind: str) -> Column:
         return F.transform(rows, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["value"])).alias("end")))
@@ -137,40 +133,38 @@ def scan(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
 
     candidates = matches(text, rf"[A-Za-z0-9+/_=-]{{{rules.window},}}")
     added = F.filter(candidates, lambda m: random_enough(m["value"], rules))
-    spans = [*(of_base(rank, *rule) for rank, rule in enumerate(BASE)), labelled(added, len(BASE), "entropy")]
-    return docs.withColumn(FOUND, F.array_sort(F.concat(*spans)))
-
-
-#: The column that ``scan`` adds.
-FOUND = "secret_spans"
+    return F.array_sort(F.concat(*(of_base(rank, *rule) for rank, rule in enumerate(BASE)), labelled(added, len(BASE), "entropy")))
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document."""
-    scanned = scan(runtime.id_and_text(docs)).select("doc_id", FOUND)
-    base = F.filter(FOUND, lambda s: s["rank"] < len(BASE))
-    count = lambda k: F.size(F.filter(FOUND, lambda s: s["rank"] == k)).cast("long")
+def digest(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document.
+
+    A null or empty text has none.  Rows are scanned one by one: repeated rows have equal results, an empty table gives none.
+    """
+    scanned = runtime.id_and_text(docs).select("doc_id", spans_of(F.col("text"), rules).alias("found"))
+    base = F.filter("found", lambda s: s["rank"] < len(BASE))
+    count = lambda k: F.size(F.filter("found", lambda s: s["rank"] == k)).cast("long")
     return scanned.select(
-        "doc_id", *(count(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE)), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col(FOUND)).alias("spans")
+        "doc_id", *(count(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE)), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans")
     )
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The documents, columns as they are, with every span (overlapping ones as one) replaced by ``mask``; a null text stays null."""
-    scanned = scan(docs)
+def redact(docs: DataFrame, mask: str = "[SECRET]", rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """The documents, all other columns as they are, with every span (overlapping ones as one) replaced by ``mask``; a null text stays null."""
     text = F.col("text")
 
-    def step(state: Column, s: Column) -> Column:
-        ahead = F.greatest(s["start"], state["at"])
-        gap = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        mark = F.when(s["start"] >= state["at"], F.concat(gap, F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(ahead, s["end"]).alias("at"), F.concat(state["out"], F.array(mark)).alias("out"))
+    def masked(found: Column) -> Column:
+        def step(state: Column, s: Column) -> Column:
+            gap = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+            mark = F.when(s["start"] >= state["at"], F.concat(gap, F.lit(mask))).otherwise(F.lit(""))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(mark)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        clean = F.aggregate(found, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1)))
+        return F.when(F.size(found) > 0, clean).otherwise(text)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(FOUND, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1)))
-    kept = F.when(text.isNotNull() & (F.size(FOUND) > 0), clean).otherwise(text)
-    return scanned.withColumn("text", kept).drop(FOUND)
+    return docs.withColumn("text", F.when(text.isNotNull(), let(spans_of(text, rules), masked)))

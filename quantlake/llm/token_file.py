@@ -32,6 +32,9 @@ MAGIC = b"QLT1"
 END_ID = 2
 SEGMENT_TOKENS = 1 << 19
 
+SEGMENT = "part int, number int, start long, n_tokens long, payload binary"
+RANK = "rank int, id long"
+
 #: Bytes used by each of the four tokens of a control byte.
 LENGTHS = np.array([[(c >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -142,15 +145,15 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     ranged = raw.withColumn("tie", F.xxhash64("ids")).repartitionByRange(*order).sortWithinPartitions(*order)
-    segments = ranged.select("doc_id", "ids").mapInArrow(run, "part int, number int, start long, n_tokens long, payload binary")
+    segments = ranged.select("doc_id", "ids").mapInArrow(run, SEGMENT)
     segments.write.option("compression", "none").parquet(f"{path}/segments")
-    spark.createDataFrame([(k, int(x)) for k, x in enumerate(by_rank)], "rank int, id long").coalesce(1).write.parquet(f"{path}/ranks")
+    spark.createDataFrame([(k, int(x)) for k, x in enumerate(by_rank)], RANK).coalesce(1).write.parquet(f"{path}/ranks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and ids (little-endian unsigned 32-bit) of each document of a file set."""
-    segments = spark.read.parquet(f"{path}/segments")
-    ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").collect()
+    segments = spark.read.schema(SEGMENT).parquet(f"{path}/segments")
+    ranks = spark.read.schema(RANK).parquet(f"{path}/ranks").orderBy("rank").select("id").collect()
     table = spark.sparkContext.broadcast(np.array([r["id"] for r in ranks], "<u4"))
     # One row for each file part: as many as shuffle partitions, however large the corpus.
     before, base = 0, {}
