@@ -29,12 +29,21 @@ def as_factor(df: DataFrame, name: str, value: str) -> DataFrame:
     return df.select(F.lit(name).alias("factor"), "trade_date", "ts_code", F.col(value).cast("double").alias("raw_value"))
 
 
-def asof_factor(fit: DataFrame, intervals: DataFrame, name: str, column: str) -> DataFrame:
-    """Of the reports visible on each date, the one of the latest period; rows without a value are no candidates."""
-    known = intervals.filter(F.col(column).isNotNull()).select("ts_code", "end_date", "ann_date", "visible_from", "next_visible_from", F.col(column).alias("_value"))
+def asof_factors(fit: DataFrame, intervals: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Of the reports visible on each date, the value of the latest period, for each factor's column.
+
+    A report without a column's value is no candidate for it.  All columns share one join and one aggregation.
+    """
+    known = intervals.select("ts_code", "end_date", "ann_date", "visible_from", "next_visible_from", *dict.fromkeys(columns.values()))
     seen = fit.join(known, "ts_code").filter((F.col("visible_from") <= F.col("trade_date")) & (F.col("next_visible_from").isNull() | (F.col("trade_date") < F.col("next_visible_from"))))
-    best = seen.groupBy("trade_date", "ts_code").agg(F.max(F.struct("end_date", "visible_from", "ann_date", "_value")).alias("best"))
-    return as_factor(best.select("trade_date", "ts_code", F.col("best._value").alias("_value")), name, "_value")
+    best = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("end_date", "visible_from", "ann_date", F.col(c).cast("double").alias("v"))))
+    wide = seen.groupBy("trade_date", "ts_code").agg(*(best(c).alias(f"_{k}") for k, c in enumerate(columns.values())))
+    long = F.inline(F.array(*(F.struct(F.lit(name).alias("factor"), F.col(f"_{k}.v").alias("raw_value")) for k, name in enumerate(columns))))
+    return wide.select("trade_date", "ts_code", long).filter(F.col("raw_value").isNotNull()).select("factor", "trade_date", "ts_code", "raw_value")
+
+
+def asof_factor(fit: DataFrame, intervals: DataFrame, name: str, column: str) -> DataFrame:
+    return asof_factors(fit, intervals, {name: column})
 
 
 def snapshot_factor(fit: DataFrame, table: DataFrame, name: str, column: str, where: str | None = None) -> DataFrame:

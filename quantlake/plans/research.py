@@ -84,17 +84,14 @@ def _benchmark(r: Research) -> DataFrame:
 def _panel(r: Research) -> DataFrame:
     fit = r["fit"]
     return factors.factor_panel([
-        factors.asof_factor(fit, r["intervals"], "ROE", "roe"),
+        factors.asof_factors(fit, r["intervals"], {"ROE": "roe", "Revenue_Growth": "tr_yoy", "Debt_to_Equity": "debt_to_eqt", "Gross_Margin": "grossprofit_margin"}),
         factors.snapshot_factor(fit, r["daily_basic"], "PE_TTM", "pe_ttm", "pe_ttm > 0"),
-        factors.asof_factor(fit, r["intervals"], "Revenue_Growth", "tr_yoy"),
         r["f_momentum"],
         r["f_turnover"],
-        factors.asof_factor(fit, r["intervals"], "Debt_to_Equity", "debt_to_eqt"),
         r["f_volatility"],
         r["f_inflow"],
         factors.snapshot_factor(fit, r["daily_basic"], "Dividend_Yield", "dv_ttm"),
         r["f_holders"],
-        factors.asof_factor(fit, r["intervals"], "Gross_Margin", "grossprofit_margin"),
     ])
 
 
