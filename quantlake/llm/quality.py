@@ -34,8 +34,8 @@ class Rules:
     symbols_per_word: float = 1.0
 
 
-SENTENCE_END = tuple(".!?…:;\"'”’»)]。！？؟।")
-SEPARATOR = re.compile(r"(?:^|\s)[|»›>•·/\\-]+(?=\s|$)")
+SENTENCE_END = frozenset(".!?…:;\"'”’»)]。！？؟।")
+SEPARATORS = frozenset("|»›>•·/\\-")
 SYMBOL = re.compile(r"[#*$%&<>{}]")
 BOILERPLATE = re.compile(
     r"all rights reserved|terms of (?:use|service)|privacy policy|cookie(?:s| policy)|click here|read more|sign (?:in|up)|log ?in|"
@@ -49,15 +49,16 @@ SCHEMA = (
 )
 
 
-def failing(line: str, n_words: int, rules: Rules) -> str | None:
+def failing(line: str, words: list[str], rules: Rules) -> str | None:
     """The rule that a line with words fails, if any."""
-    if len(SEPARATOR.findall(line)) >= max(2, rules.separators_per_word * n_words):
+    n = len(words)
+    if sum(SEPARATORS.issuperset(w) for w in words) >= max(2, rules.separators_per_word * n):
         return "navigation"
-    if len(SYMBOL.findall(line)) > rules.symbols_per_word * n_words:
+    if len(SYMBOL.findall(line)) > rules.symbols_per_word * n:
         return "symbols"
-    if n_words < 25 and BOILERPLATE.search(line):
+    if n < 25 and BOILERPLATE.search(line):
         return "boilerplate"
-    if n_words < rules.short_line and not line.rstrip().endswith(SENTENCE_END):
+    if n < rules.short_line and words[-1][-1] not in SENTENCE_END:
         return "punctuation"
     return None
 
@@ -110,15 +111,15 @@ def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
                 a, b = int(found.first[d]), int(found.first[d + 1])
                 n, kept, seen, dup, removed, lost, lines = b - a, [], set(), 0, 0, 0, 0
                 for line in (body or "").split("\n"):
-                    n_line = len(line.encode().split())
-                    if not n_line:
+                    own = [w.decode() for w in line.encode().split()]
+                    if not own:
                         kept.append(line)
                         continue
                     lines += 1
                     dup += line in seen
                     seen.add(line)
-                    if failing(line, n_line, rules):
-                        removed, lost = removed + 1, lost + n_line
+                    if failing(line, own, rules):
+                        removed, lost = removed + 1, lost + len(own)
                     else:
                         kept.append(line)
                 again = repeated_words(ids[a:b])

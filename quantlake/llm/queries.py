@@ -77,5 +77,40 @@ links as materialized (select a.doc_id as x, b.doc_id as y from s a join s b usi
 reach(x, y) as (select doc_id, doc_id from d union select r.x, l.y from reach r join links l on l.x = r.y)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id from d left join n using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by 1) c using (doc_id)"""
 
-#: Tokens, packing, profiles, line rules, byte strings and entropy scans are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": _OP7, "op10_ngram_jaccard": _OP10}
+_RULES = quality.Rules()
+_BOILERPLATE = quality.BOILERPLATE.pattern.replace("'", "''")
+_ENDS = "".join(sorted(quality.SENTENCE_END)).replace("'", "''")
+_SEPARATES = "".join(sorted(quality.SEPARATORS)).replace("'", "''")
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+_OP1 = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, {_WORD}) as w from d),
+l as (select doc_id, line, regexp_extract_all(line, {_WORD}) as w from (select doc_id, unnest(string_split(t, chr(10))) as line from d)),
+judged as (select doc_id, line, len(w) as n, len(list_filter(w, lambda x: translate(x, '{_SEPARATES}', '') = '')) >= greatest(2, {_RULES.separators_per_word} * len(w))
+    or length(line) - length(translate(line, '#*$%&<>{{}}', '')) > {_RULES.symbols_per_word} * len(w) or (len(w) < 25 and regexp_matches(line, '(?i){_BOILERPLATE}'))
+    or (len(w) < {_RULES.short_line} and not contains('{_ENDS}', right(w[len(w)], 1))) as fails from l where len(w) > 0),
+lines as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as dup, count(*) filter (where fails) as removed, coalesce(sum(n) filter (where fails), 0) as lost from judged group by 1),
+grams as (select doc_id, i, array_to_string(w[i:i + 2], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) > 2)),
+again as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, g) as c from grams) where c > 1) group by 1),
+x as (select w.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, coalesce(dup, 0)::bigint as n_dup_lines,
+    coalesce(again.n, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines, coalesce(removed, 0)::bigint as n_lines_removed, coalesce(lost, 0)::bigint as words_removed from w left join lines using (doc_id) left join again using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {_RULES.min_words} or 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words as base_failed,
+    not (n_words < {_RULES.min_words} or 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words) and words_removed <= {_RULES.max_lost} * n_words as kept, n_lines, n_lines_removed, words_removed from x"""
+
+_TEMPLATES = ", ".join(f"({t}, '{label}', {k}, string_split('{text}', ' '))" for t, (text, label, k) in enumerate([(*x, licenses.PHRASE_GRAM) for x in licenses.PHRASES] + [(*x, licenses.NOTICE_GRAM) for x in licenses.NOTICES]))
+
+_OP5 = f"""
+with d as (select doc_id, {_ALNUM} as w from documents), t as (select * from (values {_TEMPLATES}) v(template, label, k, w)),
+tg as (select template, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (select template, k, w, unnest(range(1, len(w) - k + 2)) as i from t)),
+dg as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from t) where len(w) >= k)),
+votes as (select doc_id, template, dg.i - tg.i as diagonal, count(*) as votes, min(dg.i) - 1 as first from dg join tg using (k, g) group by 1, 2, 3),
+marked as (select v.*, label, k, len(w) - k + 1 as grams, case when k = {licenses.PHRASE_GRAM} or diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) <= {licenses.NEAR} is not true then 1 else 0 end as far from votes v join t using (template)),
+runs as (select doc_id, template, label, k, grams, sum(votes) as votes, min(first) as first from (select *, sum(far) over (partition by doc_id, template order by diagonal) as island from marked) group by doc_id, template, label, k, grams, island),
+found as (select *, least(1.0::double, votes::double / grams) as share, k = {licenses.PHRASE_GRAM} and votes = grams as base from runs)
+select d.doc_id, len(any_value(w))::bigint as n_words, count(*) filter (where base) as n_base, (min(first) filter (where base))::bigint as first_word, (max(first) filter (where base))::bigint as last_word,
+    coalesce(array_to_string(list_sort(list_distinct(list(label) filter (where base))), ','), '') as base_labels, coalesce(array_to_string(list_sort(list_distinct(list(label) filter (where base or (k <> {licenses.PHRASE_GRAM} and share >= {licenses.COVERED})))), ','), '') as labels,
+    coalesce(max(share), 0) as score from d left join found using (doc_id) group by d.doc_id"""
+
+#: Tokens, packing, profiles, byte strings and entropy scans are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op1_line_quality": _OP1, "op5_license_scan": _OP5, "op7_decontamination": _OP7, "op10_ngram_jaccard": _OP10}
