@@ -86,7 +86,7 @@ def places(steps: list[tuple[dict[int, int], int]]) -> np.ndarray:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(tokenizer)
+        encoder = tokens.encoder(tokenizer)
         for batch in batches:
             ids, at = encoder.encode(batch.column(1), end)
             flat, rows = ids.astype("<u4"), []

@@ -72,7 +72,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, most: int = SECT
     path = tokenizer or tokens.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(path, spans=True)
+        encoder = tokens.encoder(path, spans=True)
         for batch in batches:
             text = textkit.utf8(batch.column(1))
             doc, begin, stop = line_sections(text.data, text.offsets, most)

@@ -78,7 +78,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, kind: str) -> DataFrame:
     width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(tokenizer)
+        encoder = tokens.encoder(tokenizer)
         for batch in batches:
             ids, at = encoder.encode(batch.column(1), end)
             cells = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * width), pa.py_buffer(ids.astype(kind))])

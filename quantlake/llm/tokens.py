@@ -9,6 +9,7 @@ encoding whole texts.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 
 from quantlake.llm import textkit
 
-#: Distinct pieces that a Python worker remembers between batches before it starts anew.
+#: Distinct pieces that a Python worker remembers, across batches and tasks, before it starts anew.
 CACHE_PIECES = 500_000
 
 
@@ -135,6 +136,12 @@ class Encoder:
         return places[:, 0], places[:, 1], chars[text.offsets], at[found.first]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, spans: bool = False) -> Encoder:
+    """The encoder of this Python worker: tasks that it runs one after the other share what is known."""
+    return Encoder(path, spans)
+
+
 def id_type(path: str, *more: int) -> str:
     """The numpy type, in little-endian bytes, that holds every id of a tokenizer and ``more``."""
     from tokenizers import Tokenizer

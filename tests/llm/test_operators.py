@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,14 @@ def test_token_file(table, tokenizer):
         start += len(ids)
 
 
+def test_pieces_that_are_forgotten(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 5)
+    texts, encoder = [t or "" for _, t in AWKWARD], tokens.Encoder(tokens.default_path())
+    for text in texts + texts[::-1]:
+        ids, _ = encoder.encode(pa.array([text]), 2)
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_value_coding():
     for values in ([], [0], [255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], list(range(0, 70000, 7))):
         packed = token_file.pack_values(np.array(values, np.uint32))
