@@ -12,8 +12,8 @@ the two places and sizes leave room for enough common shingles.
 
 Verification.  Pairs are verified on whole sets.  Only components are asked for, so what is already connected need not be
 verified: first each group is held against the best of the leading groups of its shingles, the links found are contracted,
-and then all pairs that remain between different components are expanded to members and verified.  A family of many near
-copies costs one pair for each member, and no link between components is lost.
+and then all pairs that remain between different components, of one group or of two, are expanded to members and verified.
+A family of many near copies costs one pair for each member, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -210,7 +210,7 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = runtime.materialize(
         prefixed.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("g", "doc_id").alias("g"), F.min_by("n", "doc_id").alias("n")), "classes"
     )
-    members = classes.select("g", "node")
+    members = classes.select("g", "n", "node")
     leaders = members.groupBy("g").agg(F.min("node").alias("leader"))
     shared = runtime.materialize(shared_postings(prefixed), "postings")
 
@@ -226,16 +226,19 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     near = shared.join(lead, "token").select("g", "n", "place", F.col("lead.g").alias("h"), F.col("lead.n").alias("m"), F.col("lead.place").alias("at"))
     near = near.filter((F.col("g") != F.col("h")) & room("n", "place", "m", "at")).select("g", "h").distinct()
     across = near.join(leaders.select("g", F.col("leader").alias("a")), "g").join(leaders.select(F.col("g").alias("h"), F.col("leader").alias("b")), "h")
-    within = members.join(leaders, "g").filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    within = members.drop("n").join(leaders, "g").filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     pairs = runtime.materialize(across.select("a", "b").union(within).select(*ordered).distinct(), "pairs")
     links = runtime.materialize(verified(pairs, texts(pairs, "texts")), "links")
     roots = components.components(links)
 
-    # Then all pairs that remain between different components.  Of a shingle's rows, those of its commonest component are
-    # met by the others only, never by each other.
-    of_node = members.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
-    rows = shared.join(of_node, "g").select("token", "place", "n", "node", "root")
+    # Then all pairs that remain between different components: of different groups by the shingles that these share, of one
+    # group by the group itself, as their common prefix need not be shared with another.  Of a shingle's rows, those of its
+    # commonest component are met by the others only, never by each other.
+    of_node = members.join(roots, "node", "left").select("g", "n", "node", F.coalesce("root", "node").alias("root"))
+    split = of_node.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("g")
+    of_group = of_node.join(split, "g").select(F.col("g").alias("token"), F.lit(0).alias("place"), "n", "node", "root")
+    rows = shared.drop("n").join(of_node, "g").select("token", "place", "n", "node", "root").union(of_group)
     by_root = rows.groupBy("token", "root").agg(F.count("*").alias("k"))
     main = by_root.groupBy("token").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("token", F.col("main.root").alias("main"))
     mixed = runtime.materialize(rows.join(main, "token"), "mixed")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 ASCII_LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
 
@@ -121,3 +125,20 @@ def components(texts: dict[int, str | None]) -> dict[int, tuple]:
 
 def crc(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def groups_with_a_lone_leader(shingler, prefix_length, n: int = 12) -> list[tuple[int, str]]:
+    """Threes of documents of one prefix in the order of hashes, of which the last two alone are linked; the last row shares the end of the last three's prefix."""
+    rng = random.Random(7)
+    rows: list[tuple[int, str]] = []
+    while len(rows) < 3 * n:
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(18)]
+        three = [" ".join(x) for x in (["other", *base[1:-1], "one"], [*base[:-1], "two"], [*base[:-1], "three"])]
+        sets = shingler.sets(pa.array(three, pa.large_string()))
+        prefixes = [x[: prefix_length(len(x))].tolist() for x in sets]
+        if prefixes[0] == prefixes[1] == prefixes[2]:
+            rows += [(len(rows) + k, x) for k, x in enumerate(three)]
+            last = prefixes[0][-1]
+    grams = (" ".join(base[i : i + 5]) for i in range(14))
+    own = next(g for g in grams if shingler.sets(pa.array([g], pa.large_string()))[0][0] == np.uint64(last))
+    return [*rows, (len(rows), own)]

@@ -252,6 +252,15 @@ def test_jaccard_family_of_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in brute.components(dict(rows)).values()})
 
 
+def test_jaccard_groups_whose_leader_links_with_nobody(spark, monkeypatch):
+    for name in ("SKETCH_LEAST", "SKETCH_MOST", "SKETCH_PART"):
+        monkeypatch.setattr(jaccard, name, 1)  # one counter: the order of shingles is that of their hashes
+    rows = brute.groups_with_a_lone_leader(jaccard.Shingler(), jaccard.prefix_length)
+    expect = brute.components(dict(rows))
+    assert all(expect[d][1] == d and expect[d + 1][1] == expect[d + 2][1] == d + 1 for d in range(0, len(rows) - 1, 3))
+    assert by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == expect
+
+
 OPERATORS = {
     "quality": quality.assess,
     "token_counts": token_counts.count_tokens,
