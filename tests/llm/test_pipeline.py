@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
-from quantlake.llm import runtime
+from quantlake.llm import jaccard, runtime
 from tests.llm import brute
 
 
@@ -47,3 +47,12 @@ def test_empty(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         docs = runtime.materialize(stage(spark, docs, data), "stage")
     assert docs.count() == 0
+
+
+def test_near_duplicates_of_groups_whose_leader_links_with_nobody(spark, data, monkeypatch):
+    for name in ("SKETCH_LEAST", "SKETCH_MOST", "SKETCH_PART"):
+        monkeypatch.setattr(jaccard, name, 1)
+    rows = brute.groups_with_a_lone_leader(jaccard.Shingler(), jaccard.prefix_length)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, data)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in brute.components(dict(rows)).values()})
