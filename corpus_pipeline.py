@@ -14,7 +14,7 @@ from quantlake.llm import decontaminate, jaccard, language, packing, runtime, se
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language rank-order profiles tell; those without a letter go."""
+    """Documents whose language rank-order profiles tell; those without a letter, or with no n-gram that a profile ranks near, go."""
     return language.keep(docs, language.learn(language.training_rows(docs)))
 
 

@@ -154,7 +154,10 @@ def predict(docs: DataFrame, ranked: dict[str, list[int]], n: int = PROFILE) ->
 
 
 def keep(docs: DataFrame, ranked: dict[str, list[int]], n: int = PROFILE, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a language (not ``und``) with a score of at least ``least``."""
+    """The rows of ``docs``, all columns as they are, whose text has a language (not ``und``) with a score above ``least``.
+
+    A text at the greatest distance from every profile, as in a script that no training row has, scores 0 and goes.
+    """
     spark = docs.sparkSession
     runtime.small_batches(spark)
     shared = spark.sparkContext.broadcast(ranked)
@@ -163,7 +166,7 @@ def keep(docs: DataFrame, ranked: dict[str, list[int]], n: int = PROFILE, least:
         profiles = Profiles(shared.value)
         for batch in batches:
             got = [profiles.predict(x, n) for x in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score > least for lang, score in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

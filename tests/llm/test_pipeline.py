@@ -42,6 +42,13 @@ def test_awkward_rows(spark, data):
     assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 1]
 
 
+def test_language_of_a_script_nobody_learned(spark, data):
+    docs = runtime.table(spark, data, "documents").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1, "ꆈꌠꉙ ꆈꌠꁱꂷ ꉬ", None)], docs.schema)
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, docs.union(more), data)
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
+
+
 def test_empty(spark, data):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
