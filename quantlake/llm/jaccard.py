@@ -272,9 +272,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of one document in each component: that of the smallest doc_id.
 
-    Rows with one doc_id are one document and leave one row.  Rows whose doc_id is null cannot be told apart and all stay.
+    A document is a doc_id and a text, told apart by a 64-bit hash of both: rows that share a doc_id alone are documents of
+    their own, equal rows leave one.  Rows whose doc_id is null cannot be told apart and all stay.
     """
     known = docs.filter("doc_id is not null")
-    kept = jaccard_components(known).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    chosen = known.join(kept, known["doc_id"].cast("long") == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    roots = jaccard_components(known.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct()
+    of_key = known.select(key.alias("key"), F.col("doc_id").cast("long").alias("own"))
+    kept = of_key.join(roots, "key").groupBy("root").agg(F.min(F.struct("own", "key")).alias("first")).select(F.col("first.key").alias("_kept_id"))
+    chosen = known.join(kept, key == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return chosen.unionByName(docs.filter("doc_id is null"))

@@ -42,6 +42,14 @@ def test_awkward_rows(spark, data):
     assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 1]
 
 
+def test_rows_that_share_an_id_alone(spark, data):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in ("a", "b"))
+    rows = [(7, one), (7, two), (7, one), (3, two + " more"), (9, one), (9, "five other words than those")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, data)
+    assert sorted(map(tuple, kept.collect())) == sorted([(3, two + " more"), (7, one), (9, "five other words than those")])
+
+
 def test_language_of_a_script_nobody_learned(spark, data):
     docs = runtime.table(spark, data, "documents").select("doc_id", "text", "lang")
     more = spark.createDataFrame([(-1, "ꆈꌠꉙ ꆈꌠꁱꂷ ꉬ", None)], docs.schema)
