@@ -26,6 +26,11 @@ HEX = r"[0-9a-f]{16,}"
 #: (kind, pattern, group that the least length is for, least length), in the order of the contract.
 BASE = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 
+#: What may follow the first word of a placeholder, in any case; longer words before their beginnings.
+FILLER = "(?:placeholder|password|passwd|example|changeme|private|account|string|secret|public|sample|access|client|token|value|dummy|0123456789|1234567890|123456789|12345678|auth|here|test|user|your|goes|pass|key|api|aws|app|for|xx+|my|id)"
+#: A part of a hyphenated word: of one case, or with a capital at its start.
+PART = "(?:[A-Z]?[a-z]+|[A-Z]+)"
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -40,9 +45,9 @@ class Rules:
     #: Candidates that fully match one of these are suppressed: one character over and over, counting rows, placeholders, hyphenated words.
     allow: tuple[str, ...] = (
         r"(.)\1*",
-        r"(?i)[x_-]+|(?:example|sample|dummy|test|placeholder|changeme|your)[a-z0-9_-]*",
+        rf"(?i)[x_-]+|(?:example|sample|dummy|test|placeholder|changeme|your)(?:[_-]|{FILLER})*+[0-9]{{0,4}}",
         r"(?i)(?:0123456789|abcdef|deadbeef)++[0-9a-f]*",
-        r"[A-Za-z]+(?:[-_/][A-Za-z]+)*+[0-9]{0,4}",
+        rf"{PART}(?:[-_/]{PART})*+[0-9]{{0,4}}",
     )
 
 

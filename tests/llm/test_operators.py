@@ -209,6 +209,13 @@ def test_entropy_windows_and_allow_list(spark):
     assert got[1][4] == "entropy:4:28" and not got[2][4] and not got[3][4] and not got[4][4]
 
 
+def test_allow_list_passes_words_alone(spark):
+    keys = ["qZkXvBnMwPrTyLsDfGhJ", "HgTqWzXnRbKmVcLpYsDf12", "testK9Xq2LmZ8vRt4WbN7cYp1AsD", "your-k9Xq2LmZ8vRt4WbN7cYp"]
+    words = ["Very-Long-Hyphenated-Word-Of-Many-PARTS12", "your_api_key_goes_here_0123456789", "EXAMPLE-Secret-Access-Key-1234", "test-token-for-your-CLIENT-app_ID_99"]
+    got = by_id(secrets.digest(spark.createDataFrame(list(enumerate(keys + words)), "doc_id long, text string")))
+    assert [got[k][4] for k in range(8)] == [f"entropy:0:{len(x)}" for x in keys] + [""] * 4
+
+
 def test_redaction(awkward):
     text = texts_of(secrets.redact(awkward))
     assert text[2] is None and text[1] == AWKWARD[0][1]
