@@ -2,7 +2,8 @@
 
 Every Spark task builds the index of its own documents: for each benchmark term the ascending list of its positions.  A
 test window is answered from its rarest term: that list, moved back by the term's place in the window, gives the possible
-starts; each further term, in order of rising frequency, keeps those starts whose moved position is in its list as well.
+starts; each further term, in order of rising frequency, keeps those starts at whose moved position the array of term ids
+has it, which is a look-up in place of an intersection with its list.
 Document boundaries take part as positions that no term has, so a match never crosses them.  No posting leaves its task,
 so there is nothing to shuffle and no hot key; windows that a third of the documents hold only make longer lists.
 
