@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join on the edges, written to the shared folder, so neither a component nor the edges
-of a hub have to fit into one task or the driver.
+Every step is a grouped minimum, combined before the shuffle, and a join of the edges with it, written to the shared folder.
+Edges of a hub, a node with more than one in ``skew.SHARE`` of them, are joined where they are, with a broadcast of fewer than
+``skew.SHARE`` hubs, so neither a component nor the edges of a hub have to fit into one task or the driver.
 """
 
 from __future__ import annotations
@@ -9,32 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantlake.llm import runtime
+from quantlake.llm import runtime, skew
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges with ``m``, the smallest of the node ``a`` and its neighbours."""
+    least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return skew.lookup(edges, least, "a", total)
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """The smallest of each node and its neighbours."""
-    return edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return _with_least(both, 2 * total).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = _both(edges)
-    return both.join(_least(both), "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _least(down)
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    moved = _with_least(down, total)
+    own = down.groupBy("a").agg(F.min("b").alias("b"))
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge; root is the smallest node of its component.  Edges are (a, b) as longs."""
+    """(node, root) of every node with an edge; root is the smallest node of its component.  Edges are (a, b) as longs.
+
+    Edges from a node to itself count for nothing; repeated edges and an empty table are allowed.
+    """
     now = runtime.materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
@@ -42,5 +43,5 @@ def components(edges: DataFrame) -> DataFrame:
         if (new["n"], new["x"]) == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = (new["n"], new["x"])
-        step = _small_star(_large_star(now)).filter("a != b").distinct()
-        now = runtime.materialize(step, "edges")
+        large = runtime.materialize(_large_star(now, new["n"]).distinct(), "stars")
+        now = runtime.materialize(_small_star(large, new["n"]).filter("a != b").distinct(), "edges")

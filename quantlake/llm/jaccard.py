@@ -1,11 +1,13 @@
 """N-gram Jaccard join by grouped prefixes.
 
-Shingles.  A document is the set of hashes of its five-word shingles.  Documents with equal sets are one class, carried by its
-smallest doc_id.
+Shingles.  A document is the set of hashes of its five-word shingles.  Documents with equal sets are one class.  Classes are
+numbered in the order of their smallest doc_id, whatever ids the rows have: rows that share an id, or have none, are told
+apart by where they were read, so they are documents of their own.
 
 Prefixes.  Shingles are put into one order for all documents, rare ones first: by the logarithm of how often they occur, read
 from a counting sketch over all documents, then by hash.  Sets that are alike enough share a shingle among the first
-n - ceil(0.8 n) + 1 of each.  The sketch only decides the order, and any order gives the same result.
+n - ceil(0.8 n) + 1 of each.  The sketch only decides the order, and any order gives the same result; of more than some
+hundred million documents its bounded width tells apart only shingles that more than a millionth of them share.
 
 Groups.  Classes with one prefix and one size are a group.  Groups meet by the shingles of their prefixes; a pair counts where
 the two places and sizes leave room for enough common shingles.
@@ -14,6 +16,9 @@ Verification.  Pairs are verified on whole sets.  Only components are asked for,
 verified: first each group is held against the best of the leading groups of its shingles, the links found are contracted,
 and then all pairs that remain between different components, of one group or of two, are expanded to members and verified.
 A family of many near copies costs one pair for each member, and no link between components is lost.
+
+Hot keys.  Shingles that the sketch shows to be in many documents are dealt out by group as well; joins on shingles, sets and
+leaders split keys that hold more than one in ``skew.SHARE`` of the rows.  A leader is sent once to each part of its pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantlake.llm import components, runtime, textkit
+from quantlake.llm import components, runtime, skew, textkit
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers: linked if DENOMINATOR * common >= NUMERATOR * united.
@@ -64,10 +69,9 @@ class Shingler:
         return out
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
+def sketch(rows: DataFrame, n_docs: int) -> np.ndarray:
     """Levels (quarters of a power of two) of how often the shingles of each counter occur, over all documents."""
-    spark = docs.sparkSession
-    wanted = SKETCH_PER_DOC * docs.count()
+    wanted = SKETCH_PER_DOC * n_docs
     width = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << max(0, wanted - 1).bit_length()))
     parts = width // SKETCH_PART
 
@@ -89,7 +93,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
         levels = [np.ceil(4 * np.log2(1.0 + x)).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], names=["part", "levels"])
 
-    counted = runtime.id_and_text(docs).select("text").mapInArrow(count, "part int, counts binary")
+    counted = rows.select("text").mapInArrow(count, "part int, counts binary")
     out = np.zeros((parts, SKETCH_PART), np.uint8)
     for r in counted.repartition("part").mapInArrow(add, "part int, levels binary").collect():
         out[r["part"]] = np.frombuffer(r["levels"], np.uint8)
@@ -100,36 +104,46 @@ def prefix_length(n: int) -> int:
     return n - -(-n * NUMERATOR // DENOMINATOR) + 1
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, a 128-bit hash of the set, the group, and the prefix in order (unsigned 64-bit) of every document.
+ADDED = "n long, print binary, g long, prefix binary, parts binary"
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """``rows`` with the set's size, a 128-bit hash of it, the group, the prefix in order (unsigned 64-bit) and parts.
 
     The group is a hash of size and prefix.  Should two meet in one hash, their members are candidates for nothing and fail
-    verification; no pair is lost.
+    verification; no pair is lost.  Of each shingle of the prefix, ``parts`` (unsigned 16-bit) says over how many tasks its
+    postings are to be dealt.
     """
-    spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(sketch(docs))
+    spark = rows.sparkSession
+    n_docs = rows.count()
+    levels = spark.sparkContext.broadcast(sketch(rows, n_docs))
+    of_level = np.clip(2.0 ** (np.arange(256) / 4) * skew.SHARE / max(1, n_docs), 1, 2 * skew.SHARE).astype("<u2")
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level = Shingler(), levels.value
         low = np.uint64(len(level) - 1)
         for batch in batches:
-            sets = shingler.sets(batch.column(1))
-            cells = [x[np.argsort(level[(x & low).astype(np.int64)], kind="stable")[: prefix_length(len(x))]].tobytes() if len(x) else b"" for x in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
-                    pa.array([xxhash.xxh3_64_intdigest(c, seed=len(x)) - (1 << 63) for c, x in zip(cells, sets, strict=True)], pa.int64()),
-                    pa.array(cells, pa.binary()),
-                ],
-                names=["doc_id", "n", "print", "g", "prefix"],
-            )
+            sets = shingler.sets(batch.column(at))
+            cells, parts = [], []
+            for x in sets:
+                own = level[(x & low).astype(np.int64)]
+                first = np.argsort(own, kind="stable")[: prefix_length(len(x)) if len(x) else 0]
+                cells.append(x[first].tobytes())
+                parts.append(of_level[own[first]].tobytes())
+            added = [
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
+                pa.array([xxhash.xxh3_64_intdigest(c, seed=len(x)) - (1 << 63) for c, x in zip(cells, sets, strict=True)], pa.int64()),
+                pa.array(cells, pa.binary()),
+                pa.array(parts, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *(x.split()[0] for x in ADDED.split(", "))])
 
-    return runtime.id_and_text(docs).mapInArrow(run, "doc_id long, n long, print binary, g long, prefix binary")
+    return rows.mapInArrow(run, runtime.with_fields(rows.schema, ADDED))
 
 
-POSTING = "token long, place int, g long, n int"
+POSTING = "token long, part int, place int, g long, n int"
 
 
 def shared_postings(prefixed: DataFrame) -> DataFrame:
@@ -148,23 +162,28 @@ def shared_postings(prefixed: DataFrame) -> DataFrame:
             batch = batch.take(pa.array(mine, pa.int64()))
             size = np.array([len(x.as_buffer()) // 8 for x in batch.column(2)], np.int64)
             token = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-            row = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            parts = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            g = batch.column(0).to_numpy()[row]
+            part = np.where(parts > 1, 1 + g % parts, 0)
             place = textkit.ranges(np.zeros(len(size), np.int64), size)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(place, pa.int32()), batch.column(0).take(row), batch.column(1).cast(pa.int32()).take(row)], names=["token", "place", "g", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token), pa.array(part, pa.int32()), pa.array(place, pa.int32()), pa.array(g), batch.column(1).cast(pa.int32()).take(pa.array(row))], names=["token", "part", "place", "g", "n"]
+            )
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in the order of token and group, without repeats and without tokens of one group."""
+        """Rows in the order of token, part and group, without repeats and without undivided tokens of one group."""
         last, last_kept = None, False
         for batch in batches:
             table = pa.Table.from_batches([batch] if last is None else [last, batch])
-            token, g = table.column(0).to_numpy(), table.column(2).to_numpy()
+            token, part, g = (table.column(k).to_numpy() for k in (0, 1, 3))
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
             at = np.flatnonzero(new)
             own = token[at]
-            kept = np.zeros(len(at), bool)
-            kept[1:] = own[1:] == own[:-1]
-            kept[:-1] |= kept[1:]
+            kept = part[at] > 0
+            kept[1:] |= own[1:] == own[:-1]
+            kept[:-1] |= own[1:] == own[:-1]
             if last is not None:
                 kept[0] &= not last_kept  # it went out already
             # The last row waits for what follows, unless it has gone out already.
@@ -176,8 +195,8 @@ def shared_postings(prefixed: DataFrame) -> DataFrame:
                 went = bool(kept[-1]) or (last is not None and last_kept and len(at) == 1)
                 last, last_kept = table.slice(k, 1).combine_chunks().to_batches()[0], went
 
-    rows = prefixed.filter("n > 0").select("g", "n", "prefix").mapInArrow(explode, POSTING)
-    return rows.repartition("token").sortWithinPartitions("token", "g").mapInArrow(repeated, POSTING)
+    rows = prefixed.filter("n > 0").select("g", "n", "prefix", "parts").mapInArrow(explode, POSTING)
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "g").mapInArrow(repeated, POSTING).drop("part")
 
 
 def room(n1: str, place1: str, n2: str, place2: str) -> F.Column:
@@ -186,99 +205,117 @@ def room(n1: str, place1: str, n2: str, place2: str) -> F.Column:
     return most * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (F.col(n1) + F.col(n2))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are alike enough; texts has (node, text)."""
+ROLE = "row long, a long, part int, other long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            x, y = (shingler.sets(batch.column(k)) for k in (2, 3))
-            common = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y, strict=True)], np.int64)
-            united = np.array([len(a) + len(b) for a, b in zip(x, y, strict=True)], np.int64) - common
-            yield batch.select([0, 1]).filter(pa.array((DENOMINATOR * common >= NUMERATOR * united) & (common > 0)))
 
-    of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+def verified(pairs: DataFrame, prefixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of classes whose whole sets are alike enough.
 
+    Texts meet in one shuffle by ``a`` and part: first the text of ``a``, then those of its ``b``, of which none is held.
+    """
 
-def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Prefixed documents (with ``key``), classes (print, node), and (node, root) of classes that links connect."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, lead, own = Shingler(), None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingler.sets(batch.column(2)), strict=True):
+                if b < 0:
+                    lead, own = a, x
+                    continue
+                common = len(np.intersect1d(own, x, assume_unique=True)) if a == lead else 0
+                if common and DENOMINATOR * common >= NUMERATOR * (len(own) + len(x) - common):
+                    found[0].append(a)
+                    found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    hot = F.broadcast(skew.hot_keys(pairs, "a", pairs.count()))
+    dealt = pairs.join(hot, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    leaders = dealt.select("a", "parts").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    roles = members.select(F.col("b").alias("node"), "a", "part", F.col("b").alias("other")).unionByName(leaders.select(F.col("a").alias("node"), "a", "part", F.lit(-1).cast("long").alias("other")))
+    of_row = runtime.materialize(roles.join(classes.select("node", "row"), "node").drop("node"), "roles")
+    met = prefixed.select("row", "text").join(of_row, "row")
+    return met.repartition("a", "part").sortWithinPartitions("a", "part", "other").select("a", "other", "text").mapInArrow(run, "a long, b long")
+
+
+def link_components(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents and classes.
+
+    Documents: row, doc (the doc_id, null as the largest), n, print and, if ``whole``, all columns of ``docs`` as ``own``.
+    Classes, the sets that are not empty: print, node, doc and row (of the smallest doc_id), and root, the smallest node that
+    links reach.  Nodes stand in the order of doc.
+    """
     runtime.small_batches(docs.sparkSession)
-    keyed = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).select("doc_id", "text")
-    prefixed = runtime.materialize(prefixes(keyed), "prefixes")
-    classes = runtime.materialize(
-        prefixed.filter("n > 0").groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("g", "doc_id").alias("g"), F.min_by("n", "doc_id").alias("n")), "classes"
-    )
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")] if whole else []
+    doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
+    prefixed = runtime.materialize(prefixes(docs.select(F.monotonically_increasing_id().alias("row"), doc, text, *own)), "prefixes")
+    firsts = prefixed.filter("n > 0").groupBy("print").agg(F.min(F.struct("doc", "row")).alias("first"), F.min("g").alias("g"), F.min("n").alias("n"))
+    ordered = firsts.select("print", "g", "n", "first.doc", "first.row").orderBy("doc", "print")
+    classes = runtime.materialize(ordered.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("g", "n", "node")
     leaders = members.groupBy("g").agg(F.min("node").alias("leader"))
     shared = runtime.materialize(shared_postings(prefixed), "postings")
 
-    def texts(pairs: DataFrame, label: str) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        # Rows with equal doc_ids: any text of the class will do.
-        of_class = classes.select("node", "print").join(nodes, "node")
-        found = keyed.select(F.col("doc_id").alias("node"), "text").join(of_class.hint("shuffle_hash"), "node")
-        return runtime.materialize(found.select("node", "text"), label)
-
     # First, each group against the leading group of each of its shingles, and each group's members against its leader.
     lead = shared.groupBy("token").agg(F.min(F.struct("place", F.xxhash64("g", "token").alias("order"), "g", "n")).alias("lead"))
-    near = shared.join(lead, "token").select("g", "n", "place", F.col("lead.g").alias("h"), F.col("lead.n").alias("m"), F.col("lead.place").alias("at"))
-    near = near.filter((F.col("g") != F.col("h")) & room("n", "place", "m", "at")).select("g", "h").distinct()
-    across = near.join(leaders.select("g", F.col("leader").alias("a")), "g").join(leaders.select(F.col("g").alias("h"), F.col("leader").alias("b")), "h")
-    within = members.drop("n").join(leaders, "g").filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    pairs = runtime.materialize(across.select("a", "b").union(within).select(*ordered).distinct(), "pairs")
-    links = runtime.materialize(verified(pairs, texts(pairs, "texts")), "links")
+    near = skew.lookup(shared, lead, "token").select("g", "n", "place", F.col("lead.g").alias("h"), F.col("lead.n").alias("m"), F.col("lead.place").alias("at"))
+    near = runtime.materialize(near.filter((F.col("g") != F.col("h")) & room("n", "place", "m", "at")).select("g", "h").distinct(), "near")
+    of_h = skew.lookup(near, leaders.select(F.col("g").alias("h"), F.col("leader").alias("a")), "h")
+    across = of_h.join(leaders.select("g", F.col("leader").alias("b")), "g")
+    within = skew.lookup(members.drop("n"), leaders, "g").filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    pairs = runtime.materialize(across.select("a", "b").union(within).distinct(), "pairs")
+    links = runtime.materialize(verified(pairs, prefixed, classes), "links")
     roots = components.components(links)
 
     # Then all pairs that remain between different components: of different groups by the shingles that these share, of one
     # group by the group itself, as their common prefix need not be shared with another.  Of a shingle's rows, those of its
     # commonest component are met by the others only, never by each other.
-    of_node = members.join(roots, "node", "left").select("g", "n", "node", F.coalesce("root", "node").alias("root"))
-    split = of_node.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("g")
-    of_group = of_node.join(split, "g").select(F.col("g").alias("token"), F.lit(0).alias("place"), "n", "node", "root")
-    rows = shared.drop("n").join(of_node, "g").select("token", "place", "n", "node", "root").union(of_group)
-    by_root = rows.groupBy("token", "root").agg(F.count("*").alias("k"))
-    main = by_root.groupBy("token").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("token", F.col("main.root").alias("main"))
-    mixed = runtime.materialize(rows.join(main, "token"), "mixed")
+    of_node = runtime.materialize(members.join(roots, "node", "left").select("g", "n", "node", F.coalesce("root", "node").alias("root")), "roots")
+    of_group = of_node.groupBy("g", "root").agg(F.count("*").alias("k"))
+    split = of_group.groupBy("g").agg(F.count("*").alias("roots")).filter("roots > 1").select("g")
+    by_root = shared.select("token", "g").join(of_group, "g").groupBy("token", "root").agg(F.sum("k").alias("k"))
+    by_root = by_root.unionByName(of_group.join(split, "g").select(F.col("g").alias("token"), "root", "k"))
+    main = by_root.groupBy("token").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
+    main = runtime.materialize(main.select("token", F.col("main.root").alias("main")), "main")
+    split_shared = shared.select("token", "place", "g").join(main, "token")
+    rows = split_shared.join(of_node, "g").unionByName(of_node.join(split, "g").withColumn("token", F.col("g")).withColumn("place", F.lit(0)).join(main, "token"))
+    mixed = runtime.materialize(rows.select("token", "place", "n", "node", "root", "main"), "mixed")
     few = mixed.filter("root != main").select("token", F.col("place").alias("at"), F.col("n").alias("m"), F.col("node").alias("other"), F.col("root").alias("other_root"))
     fits = (F.col("root") != F.col("other_root")) & room("n", "place", "m", "at") & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("other")))
-    rest = mixed.join(few, "token").filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    rest = runtime.materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = verified(rest, texts(rest, "more"))
-    return prefixed, classes, components.components(links.union(more))
+    rest = mixed.join(few, "token").filter(fits).select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
+    met = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = runtime.materialize(rest.join(met, ["a", "b"], "left_anti"), "rest")
+    every = runtime.materialize(links.union(verified(rest, prefixed, classes)), "links")
+    found = classes.select("print", "node", "doc", "row").join(components.components(every), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return prefixed.drop("text", "g", "prefix", "parts"), runtime.materialize(found, "components")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document.
 
     Texts are lower-cased in A-Z and split into words ``[^\\x20\\x09-\\x0D]+``.  Fewer than five words make one shingle; a text
-    without words, or null, has none and is linked with nothing.  Documents with equal sets are linked.  A null doc_id counts
-    as the largest, and a component of such rows alone has a null component_id.  An empty table gives no rows.
+    without words, or null, has none and is linked with nothing.  Documents with equal sets are linked, so repeated rows are,
+    and get equal results, each its own row.  Rows that share a doc_id but not a text are documents of their own, and so are
+    rows whose doc_id is null; null counts as the largest id, and a component of such rows alone has a null component_id.
+    Texts are read whole, however long.  Only doc_id and text are read, whatever other columns there are.  An empty table
+    gives no rows.
     """
-    prefixed, classes, roots = link_components(docs)
-    of_print = classes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
-    some = prefixed.filter("n > 0").select("doc_id", "n", "print").join(of_print, "print").select("doc_id", "n", "root")
-    both = some.union(prefixed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("root")))
-    null = F.lit(None).cast("long")
-    return both.select(
-        F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).otherwise(null).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("root") != LAST_ID, F.col("root")).otherwise(null).alias("component_id"),
-    )
+    documents, classes = link_components(docs)
+    of_root = classes.filter("node = root").select("root", F.col("doc").alias("component"))
+    of_print = runtime.materialize(skew.lookup(classes.select("print", "root"), of_root, "root").select("print", "component"), "prints")
+    some = skew.lookup(documents.filter("n > 0").select("doc", "n", "print"), of_print, "print").select("doc", "n", "component")
+    both = some.union(documents.filter("n = 0").select("doc", "n", F.col("doc").alias("component")))
+    known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    return both.select(known("doc").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of one document in each component: that of the smallest doc_id.
+    """The rows of ``docs``, all columns as they are, but of those that links connect only the one of the smallest doc_id.
 
-    A document is a doc_id and a text, told apart by a 64-bit hash of both: rows that share a doc_id alone are documents of
-    their own, equal rows leave one.  Rows whose doc_id is null cannot be told apart and all stay.
+    Each row is a document of its own, whatever ids others have; null counts as the largest id.  Of rows with equal sets and
+    equal ids the first read stays.  Rows without words are linked with nothing and all stay.  Texts are read whole.
     """
-    known = docs.filter("doc_id is not null")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    roots = jaccard_components(known.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct()
-    of_key = known.select(key.alias("key"), F.col("doc_id").cast("long").alias("own"))
-    kept = of_key.join(roots, "key").groupBy("root").agg(F.min(F.struct("own", "key")).alias("first")).select(F.col("first.key").alias("_kept_id"))
-    chosen = known.join(kept, key == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.filter("doc_id is null"))
+    documents, classes = link_components(docs, whole=True)
+    first = classes.filter("node = root").select("row")
+    kept = documents.filter("n > 0").join(first, "row", "left_semi").unionByName(documents.filter("n = 0"))
+    return kept.select(*(F.col("own").getField(c).alias(c) for c in docs.columns))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of input in one Arrow batch; what an operator holds per task is a small multiple of it.
 BATCH_BYTES = 4 << 20
@@ -42,3 +43,8 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_fields(schema: StructType, added: str) -> StructType:
+    """The schema with further fields at its end, given as ``name type, ...``."""
+    return StructType([*schema.fields, *StructType.fromDDL(added).fields])

@@ -305,3 +305,33 @@ def test_very_long_text(spark, name):
 def test_queries_are_registered():
     names = [n.split("_")[0] for n in queries.QUERIES]
     assert names == [f"op{k}" for k in range(1, 11)]
+
+
+def test_jaccard_rows_without_ids_of_their_own(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in ("a", "b"))
+    rows = [(5, one), (9, two), (None, one + " more"), (None, two + " more"), (20, one + " again"), (20, two + " again"), (None, "alone " + one[:30]), (20, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(df).collect()), key=str)
+    expect = [(5, 36, 5), (9, 36, 9), (None, 37, 5), (None, 37, 9), (20, 37, 5), (20, 37, 9), (None, 5, None), (20, 0, 20)]
+    assert [x[::2] for x in got] == [x[::2] for x in sorted(expect, key=str)]
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    from quantlake.llm import components, skew
+
+    monkeypatch.setattr(skew, "SHARE", 4)
+    rng = random.Random(2)
+    edges = [(0, k) for k in range(1, 200)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(150)] + [(450, 17)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
