@@ -1,187 +1,308 @@
-"""Benchmark decontamination with a positional inverted index that is distributed by document.
+"""Benchmark decontamination with a stored positional inverted index.
 
-Every Spark task builds the index of its own documents: for each benchmark term the ascending list of its positions.  A
-test window is answered from its rarest term: that list, moved back by the term's place in the window, gives the possible
-starts; each further term, in order of rising frequency, keeps those starts at whose moved position the array of term ids
-has it, which is a look-up in place of an intersection with its list.
-Document boundaries take part as positions that no term has, so a match never crosses them.  No posting leaves its task,
-so there is nothing to shuffle and no hot key; windows that a third of the documents hold only make longer lists.
+Index.  Documents are read once.  The words of a batch of them make a segment: its terms as hashes, how often each occurs, and
+each term's ascending list of places, coded by differences.  Segments are rows of a table in the shared folder; documents
+follow each other in a segment with empty places between them, so no match crosses them.  A term that a third of all words
+are only has a longer list in each segment; nothing is shuffled.
 
-The benchmark is the stated query set.  It is sent to the executors in blocks of at most ``BLOCK_BYTES`` of text; the
-driver holds one block at a time, and a task searches its batch block by block.
+Search.  Windows of the benchmark's items are the queries.  How often each of their terms occurs in the whole corpus is summed
+over the segments, and each window is entered through its rarest term: a window whose rarest term a segment lacks costs
+nothing there.  The list of the rarest term is intersected with the lists of the others, the rarer first: within ``SLOP``
+places for a proximity match, and, of those, at exactly the place that the window asks for, the list being moved by the
+term's place in the window, for a phrase.
+
+The benchmark is taken in blocks of ``BLOCK_BYTES`` of text; a block is what is broadcast.  Each is searched by all segments,
+which carry what they found from block to block.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quantlake.llm import runtime, textkit
 
 WINDOW = 10
-#: Places within which all the terms of a window count as a near match, in any order.
+#: Places within which all the terms of a window count as a proximity match, in any order.
 SLOP = 15
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+#: Candidate places that are intersected at a time.
+CANDIDATES = 1 << 21
 
+INDEX = "n_words binary, terms binary, counts binary, places binary, hits binary, found array<array<string>>, near binary"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
+_INDEX_KINDS = [*[pa.binary()] * 5, pa.list_(pa.list_(pa.string())), pa.binary()]
+
+
+def gap(size: int) -> int:
+    """Empty places between documents, and the reach of a proximity match."""
+    return max(size, SLOP) + 1
+
 
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term number of each word, the sorted distinct hashes, and the first word of each text (and the end)."""
+    found = textkit.words(textkit.utf8(column), textkit.ALNUM, textkit.LOWER)
+    ids, distinct = found.dictionary()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in distinct.to_pylist()), np.uint64, len(distinct)).view(np.int64)
+    terms, number = np.unique(hashes, return_inverse=True)
+    return number[ids], terms, found.first
 
-class Queries:
-    """Windows of a block of items as rows of term ids; an item shorter than a window is one window of its own length."""
-
-    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW) -> None:
-        found = textkit.words(textkit.utf8(pa.array([t for _, t in items], pa.large_string())), textkit.ALNUM, textkit.LOWER)
-        ids, self.terms = found.dictionary()
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for k, (item, _) in enumerate(items):
-            own = ids[found.first[k] : found.first[k + 1]].tolist()
-            for i in range(max(1, len(own) - size + 1) if own else 0):
-                windows.setdefault(tuple(own[i : i + size]), set()).add(item)
-        self.windows = [(np.array(w, np.int64), sorted(names)) for w, names in windows.items()]
-
-
-class PositionalIndex:
-    """Postings of the terms ``0..n_terms-1`` in a sequence of term ids; ids under 0 are other words or boundaries."""
-
-    def __init__(self, ids: np.ndarray, n_terms: int) -> None:
-        self.ids = ids
-        known = np.flatnonzero(ids >= 0)
-        order = np.argsort(ids[known], kind="stable")
-        self.places = known[order]
-        self.first = np.searchsorted(ids[known][order], np.arange(n_terms + 1))
-        self.count = np.diff(self.first)
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.places[self.first[term] : self.first[term + 1]]
-
-    def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """Starts of all places where the terms stand consecutively."""
-        order = np.argsort(self.count[terms], kind="stable")
-        starts = self.postings(terms[order[0]]) - order[0]
-        starts = starts[(starts >= 0) & (starts + len(terms) <= len(self.ids))]
-        for k in order[1:]:
-            if not len(starts):
-                break
-            starts = starts[self.ids[starts + k] == terms[k]]
-        return starts
-
-    def near(self, terms: np.ndarray, slop: int = SLOP) -> np.ndarray:
-        """Places of the rarest term that have every other term within ``slop`` places."""
-        distinct = np.unique(terms)
-        order = distinct[np.argsort(self.count[distinct], kind="stable")]
-        at = self.postings(order[0])
-        for term in order[1:]:
-            if not len(at):
-                break
-            other = self.postings(term)
-            k = np.searchsorted(other, at - slop)
-            at = at[(k < len(other)) & (np.append(other, np.iinfo(np.int64).max)[k] <= at + slop)]
-        return at
-
-
-def search(doc_of: np.ndarray, index: PositionalIndex, queries: Queries, hit: np.ndarray, items: list[set[str]], near: np.ndarray) -> None:
-    """Mark the hit positions and each document's items."""
-    for window, names in queries.windows:
-        if not index.count[window].all():
-            continue
-        starts = index.phrase(window)
-        if len(starts):
-            for k in range(len(window)):
-                hit[starts + k] = True
-            for d in np.unique(doc_of[starts]):
-                items[d].update(names)
-        if len(window) > 1:
-            near[np.unique(doc_of[index.near(window)])] += 1
-
-
-class Judge:
-    """Hits of a batch of texts, block by block of the benchmark."""
-
-    def __init__(self, blocks: list, size: int) -> None:
-        self.blocks, self.size = blocks, size
-        self.only = Queries(blocks[0].value, size) if len(blocks) == 1 else None
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[set[str]], np.ndarray]:
-        """Words, words hit, items and near matches of each text."""
-        n = len(texts)
-        found = textkit.words(textkit.utf8(texts), textkit.ALNUM, textkit.LOWER)
-        n_words = np.diff(found.first)
-        # Boundaries: as many empty places between documents as a near match may span.
-        gap = max(self.size, SLOP) + 1
-        doc_of_word = np.repeat(np.arange(n), n_words)
-        place = np.arange(len(found)) + doc_of_word * gap
-        width = len(found) + n * gap
-        doc_of = np.zeros(width, np.int64)
-        doc_of[place] = doc_of_word
-        hit, items, near = np.zeros(width, bool), [set() for _ in range(n)], np.zeros(n, np.int64)
-        for block in self.blocks:
-            queries = self.only or Queries(block.value, self.size)
-            ids = np.full(width, -1, np.int64)
-            ids[place] = pc.fill_null(pc.index_in(found.values, value_set=queries.terms), -1).to_numpy(zero_copy_only=False)
-            search(doc_of, PositionalIndex(ids, len(queries.terms)), queries, hit, items, near)
-            if not self.only:
-                block.__dict__.pop("_value", None)  # one block at a time in memory
-        return n_words, np.bincount(doc_of_word[hit[place]], minlength=n), items, near
-
-
-def shared_blocks(benchmark: DataFrame) -> list:
-    """The benchmark's items as broadcasts of at most about ``BLOCK_BYTES`` of text."""
-    context = benchmark.sparkSession.sparkContext
-    blocks, block, held = [], [], 0
+
+def build_index(docs: DataFrame, carried: list[str], size: int) -> DataFrame:
+    """Segments of ``docs``; ``own`` lists the ``carried`` columns of a segment's documents."""
+    at = docs.columns.index("text")
+    own = [docs.columns.index(c) for c in carried]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            term, terms, first = hashed_words(batch.column(at))
+            n_words = np.diff(first)
+            place = np.arange(len(term)) + np.repeat(np.arange(n), n_words) * gap(size)
+            order = np.argsort(term, kind="stable")
+            counts = np.bincount(term, minlength=len(terms))
+            steps = np.diff(place[order], prepend=0)
+            begin = (np.cumsum(counts) - counts)[counts > 0]
+            steps[begin] = place[order[begin]]
+            rows = pa.StructArray.from_arrays([batch.column(k) for k in own], names=carried)
+            arrays = [x.tobytes() for x in (n_words.astype("<i4"), terms.astype("<i8"), counts.astype("<i4"), steps.astype("<i4"))]
+            cells = [*arrays, b"", [[] for _ in range(n)], bytes(8 * n)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows), *(pa.array([c], k) for c, k in zip(cells, _INDEX_KINDS, strict=True))],
+                names=["own", *(x.split()[0] for x in INDEX.split(", "))],
+            )
+
+    schema = runtime.with_fields(StructType([StructField("own", ArrayType(StructType([docs.schema[c] for c in carried])))]), INDEX)
+    # Small row groups: a reader holds one of them.
+    return runtime.materialize(docs.mapInArrow(run, schema), "index", {"parquet.block.size": str(16 << 20)})
+
+
+class Segment:
+    """Postings of one segment: the places of term t are ``places[first[t]:first[t + 1]]``."""
+
+    def __init__(self, n_words: bytes, terms: bytes, counts: bytes, places: bytes, size: int) -> None:
+        self.n_words = np.frombuffer(n_words, "<i4").astype(np.int64)
+        self.terms = np.frombuffer(terms, "<i8").astype(np.int64)
+        self.counts = np.frombuffer(counts, "<i4").astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        steps = np.frombuffer(places, "<i4").astype(np.int64)
+        total = np.cumsum(steps)
+        begin = self.first[:-1]
+        self.places = total - np.repeat(total[begin] - steps[begin], self.counts) if len(steps) else steps
+        self.opens = np.cumsum(self.n_words) - self.n_words + np.arange(len(self.n_words)) * gap(size)
+        self.width = int(self.n_words.sum()) + len(self.n_words) * gap(size) + 2 * gap(size)
+        #: One ascending list of all postings, so that many lists can be searched at once.
+        self.keys = np.repeat(np.arange(len(self.terms)), self.counts) * self.width + self.places
+
+    def next_place(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The first posting of each term at or after a place, as a key; a key of another term where there is none."""
+        at = np.searchsorted(self.keys, term * self.width + place)
+        return np.append(self.keys, np.iinfo(np.int64).max)[at]
+
+    def doc_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.opens, place, side="right") - 1
+
+
+@dataclass
+class Block:
+    """Windows of a block of items, in the order of their rarest term."""
+
+    items: list[str]
+    terms: np.ndarray  # distinct hashes, ascending
+    words: np.ndarray  # term numbers of all items' words
+    start: np.ndarray  # of each window in words
+    length: np.ndarray
+    item: np.ndarray
+    order: np.ndarray  # places in the window, that of the rarest term first; an item shorter than a window repeats its last
+    first: np.ndarray  # windows whose rarest term is t: first[t]:first[t + 1]
+
+    def search(self, segment: Segment, slop: int) -> tuple[np.ndarray, ...]:
+        """(window, place) of proximity matches, the place being that of the rarest term, and (window, start) of phrases."""
+        at = np.searchsorted(segment.terms, self.terms)
+        known = np.append(segment.terms, 0)[at] == self.terms
+        known[at == len(segment.terms)] = False
+        number = np.where(known, at, -1)
+        entered = np.flatnonzero(known & (np.diff(self.first) > 0))
+        window = textkit.ranges(self.first[entered], np.diff(self.first)[entered])
+        here = number[self.words[self.start[window, None] + self.order[window]]]
+        window, here = window[(here >= 0).all(axis=1)], here[(here >= 0).all(axis=1)]
+        many = segment.counts[here[:, 0]]
+        cuts = np.searchsorted(np.cumsum(many), np.arange(CANDIDATES, many.sum() + CANDIDATES, CANDIDATES), side="left") + 1 if len(many) else []
+        near, phrase, begin = [], [], 0
+        for end in cuts:
+            own = slice(begin, int(end))
+            begin = int(end)
+            row = np.repeat(np.arange(len(window))[own], many[own])
+            place = segment.places[textkit.ranges(segment.first[here[own, 0]], many[own])]
+            for k in range(1, here.shape[1]):
+                term = here[row, k]
+                fits = segment.next_place(term, np.maximum(place - slop, 0)) <= term * segment.width + place + slop
+                row, place = row[fits], place[fits]
+            near.append((window[row], place))
+            origin = place - self.order[window[row], 0]
+            row, origin = row[origin >= 0], origin[origin >= 0]
+            for k in range(1, here.shape[1]):
+                term, want = here[row, k], origin + self.order[window[row], k]
+                fits = segment.next_place(term, want) == term * segment.width + want
+                row, origin = row[fits], origin[fits]
+            phrase.append((window[row], origin))
+        joined = lambda pairs: tuple(np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+        return *joined(near), *joined(phrase)
+
+
+def block_of(items: list[tuple[str, str]], index: DataFrame, size: int) -> Block:
+    """The windows of a block, their terms in the order of how often the whole corpus has them, then of their places."""
+    words, terms, first = hashed_words(pa.array([t for _, t in items], pa.large_string()))
+    shared = index.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for own, counts in zip(batch.column(0), batch.column(1), strict=True):
+                own, counts = np.frombuffer(own.as_buffer(), "<i8"), np.frombuffer(counts.as_buffer(), "<i4")
+                at = np.searchsorted(shared.value, own)
+                known = np.append(shared.value, 0)[at] == own
+                known[at == len(shared.value)] = False
+                total[at[known]] += counts[known]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
+
+    n = np.zeros(len(terms), np.int64)
+    for r in index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        n[r["term"]] = r["n"]
+    lengths = np.diff(first)
+    each = np.where(lengths > 0, np.maximum(lengths - size + 1, 1), 0)
+    item = np.repeat(np.arange(len(items)), each)
+    start = textkit.ranges(first[:-1], each)
+    length = np.minimum(lengths[item], size)
+    inside = np.minimum(np.arange(size), length[:, None] - 1).astype(np.int32)
+    order = np.take_along_axis(inside, np.argsort(n[words[start[:, None] + inside]], axis=1, kind="stable"), axis=1)
+    rarest = words[start + order[:, 0]]
+    by = np.argsort(rarest, kind="stable")
+    return Block([x for x, _ in items], terms, words, start[by], length[by], item[by], order[by], np.searchsorted(rarest[by], np.arange(len(terms) + 1)))
+
+
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's items in blocks of about ``BLOCK_BYTES`` of text; an empty benchmark is one empty block."""
+    block, held, any_yet = [], 0, False
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
     for item, text in rows.toLocalIterator():
         block.append((item, text))
         held += len(text)
         if held >= BLOCK_BYTES:
-            blocks.append(context.broadcast(block))
-            block, held = [], 0
-    return blocks + [context.broadcast(block)] if block or not blocks else blocks
+            yield block
+            block, held, any_yet = [], 0, True
+    if block or not any_yet:
+        yield block
+
+
+@dataclass
+class Found:
+    """What a segment holds: hit places, items of each document, and the number of windows with proximity matches."""
+
+    segment: Segment
+    hit: np.ndarray
+    items: list[set[str]]
+    near: np.ndarray
+
+    def n_hit(self) -> np.ndarray:
+        places = np.flatnonzero(self.hit)
+        return np.bincount(self.segment.doc_of(places), minlength=len(self.items))
+
+
+def searched(batch: pa.RecordBatch, block: Block, size: int) -> Iterator[tuple[pa.Array, list, Found]]:
+    """Of each segment of a batch: its documents, its columns as they are, and what it has found so far with this block."""
+    own = batch.column(0)
+    for k in range(batch.num_rows):
+        n_words, terms, counts, places, hits, found, near = (batch.column(c)[k].as_py() for c in range(1, 8))
+        segment = Segment(n_words, terms, counts, places, size)
+        hit = np.unpackbits(np.frombuffer(hits, np.uint8), count=segment.width).astype(bool) if hits else np.zeros(segment.width, bool)
+        out = Found(segment, hit, [set(x) for x in found], np.frombuffer(near, "<i8").copy())
+        near_window, near_place, window, start = block.search(segment, gap(size) - 1)
+        for j in range(int(block.length.max(initial=0))):
+            inside = block.length[window] > j
+            out.hit[start[inside] + j] = True
+        docs = segment.doc_of(start)
+        for d, i in np.unique(np.stack([docs, block.item[window]], axis=1), axis=0).tolist():
+            out.items[d].add(block.items[i])
+        pairs = np.unique(np.stack([segment.doc_of(near_place), near_window], axis=1), axis=0)
+        out.near += np.bincount(pairs[:, 0], minlength=len(out.items))
+        yield own[k].values, [n_words, terms, counts, places], out
+
+
+def search(docs: DataFrame, carried: list[str], benchmark: DataFrame, size: int, finish: Callable[[pa.Array, Found], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+    """``finish`` of every segment of ``docs`` after all blocks of the benchmark."""
+    runtime.small_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
+    state = build_index(docs, carried, size)
+
+    def step(shared) -> Callable:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k, (_, cells, found) in enumerate(searched(batch, shared.value, size)):
+                    cells = [*cells, np.packbits(found.hit).tobytes(), [sorted(x) for x in found.items], found.near.astype("<i8").tobytes()]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *(pa.array([c], t) for c, t in zip(cells, _INDEX_KINDS, strict=True))], names=batch.schema.names)
+
+        return run
+
+    def last(shared) -> Callable:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, _, found in searched(batch, shared.value, size):
+                    yield finish(rows, found)
+
+        return run
+
+    before = None
+    for items in blocks_of(benchmark):
+        if before is not None:
+            state = runtime.materialize(state.mapInArrow(step(before), state.schema), "index", {"parquet.block.size": str(16 << 20)})
+        before = context.broadcast(block_of(items, state, size))
+    return state.mapInArrow(last(before), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row per document: its words, those inside any occurrence of a benchmark window, and the items concerned.
 
-    Texts are lower-cased in A-Z and split into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  A null text has no words; an
-    item without words has no windows; a null item_id stands as the text "null".  Repeated rows give repeated results;
-    an empty benchmark leaves every document clean.  ``n_near`` counts windows all of whose terms lie within SLOP places.
+    Texts are lower-cased in A-Z and split into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  A null or empty text has no
+    words; an item without words has no windows; a null item_id stands as the text "null", and items with one id count as
+    one.  Repeated rows give repeated results, rows with a null doc_id each their own; texts are read whole, a very long one
+    as a segment of its own; other columns are not read.  An empty table gives no rows, an empty benchmark leaves every
+    document clean.  ``n_near`` counts the items' windows (each place of an item one) that the document has as a proximity
+    match: an occurrence of the window's rarest term of the corpus, the first in the window among equally rare ones, with all
+    its other terms within ``SLOP`` places on either side (the window's size, if that is more).
     """
-    runtime.small_batches(docs.sparkSession)
-    blocks = shared_blocks(benchmark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(blocks, size)
-        for batch in batches:
-            n_words, n_hit, items, near = judge(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]),
-                    pa.array(n_hit > 0),
-                    pa.array(near, pa.int64()),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"],
-            )
+    def finish(rows: pa.Array, found: Found) -> pa.RecordBatch:
+        n_hit = found.n_hit()
+        columns = [
+            rows.field(0),
+            pa.array(found.segment.n_words),
+            pa.array(n_hit, pa.int64()),
+            pa.array([len(x) for x in found.items], pa.int64()),
+            pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found.items], pa.string()),
+            pa.array(n_hit > 0),
+            pa.array(found.near, pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return runtime.id_and_text(docs).mapInArrow(run, SCHEMA)
+    return search(runtime.id_and_text(docs), ["doc_id"], benchmark, size, finish, SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that are not contaminated."""
-    runtime.small_batches(docs.sparkSession)
-    blocks = shared_blocks(benchmark)
+    """The rows of ``docs``, all columns as they are, in which no benchmark window occurs; rows are treated as by ``decontaminate``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(blocks, size)
-        for batch in batches:
-            yield batch.filter(pa.array(judge(batch.column("text"))[1] == 0))
+    def finish(rows: pa.Array, found: Found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_struct_array(rows).filter(pa.array(found.n_hit() == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return search(docs, docs.columns, benchmark, size, finish, docs.schema)

@@ -35,7 +35,7 @@ def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +65,15 @@ win as (select distinct item, least(len(w), 10) as size, array_to_string(w[i:i +
 own as (select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as gram from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from d, (select distinct size from win) where len(w) >= size)),
 hits as materialized (select distinct doc_id, i, o.size, item from own o join win using (size, gram)),
 marked as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + size)) as p from (select distinct doc_id, i, size from hits)) group by 1),
+pos as materialized (select doc_id, i as p, w[i] as w from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
+bw as (select *, row_number() over () as id from (select item, w[i:i + least(len(w), 10) - 1] as w from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0))),
+wt as materialized (select id, t as w, k, coalesce(n, 0) as n from (select id, t, min(k) as k from (select id, unnest(w) as t, generate_subscripts(w, 1) as k from bw) group by 1, 2) x left join (select w as t, count(*) as n from pos group by 1) c using (t)),
+rare as (select id, arg_min(w, n * 16 + k) as w, count(*) as terms from wt group by 1),
+close as (select c.doc_id, c.id, c.p from (select doc_id, id, p, terms from rare join pos using (w)) c join wt on wt.id = c.id join pos q on q.doc_id = c.doc_id and q.w = wt.w and q.p between c.p - 15 and c.p + 15 group by c.doc_id, c.id, c.p, c.terms having count(distinct wt.w) = c.terms),
+nears as (select doc_id, count(distinct id) as n from close group by 1),
 items as (select doc_id, count(distinct item) as n, array_to_string(list_sort(list_distinct(list(item))), ',') as names from hits group by 1)
-select d.doc_id, len(w)::bigint as n_words, coalesce(m.n, 0)::bigint as n_hit, coalesce(x.n, 0)::bigint as n_items, sha256(coalesce(x.names, '')) as items_sha256, coalesce(m.n, 0) > 0 as contaminated
-from d left join marked m using (doc_id) left join items x using (doc_id)"""
+select d.doc_id, len(w)::bigint as n_words, coalesce(m.n, 0)::bigint as n_hit, coalesce(x.n, 0)::bigint as n_items, sha256(coalesce(x.names, '')) as items_sha256, coalesce(m.n, 0) > 0 as contaminated, coalesce(y.n, 0)::bigint as n_near
+from d left join marked m using (doc_id) left join items x using (doc_id) left join nears y using (doc_id)"""
 
 _OP10 = f"""
 with recursive d as (select doc_id, {_SPACED} as w from documents),

@@ -76,6 +76,23 @@ def contamination(text: str | None, items: list[tuple], size: int = 10) -> tuple
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
+def nearness(texts: dict, items: list[tuple], size: int = 10, slop: int = 15) -> dict:
+    """Of each text, how many places of items are windows with a proximity match."""
+    words = {d: alnum(t) for d, t in texts.items()}
+    often = Counter(w for x in words.values() for w in x)
+    out = dict.fromkeys(texts, 0)
+    for _, body in items:
+        w = alnum(body)
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            window = w[k : k + size]
+            rare = min(window, key=lambda t: often[t])
+            if not all(often[t] for t in window):
+                continue
+            for d, own in words.items():
+                out[d] += any(x == rare and set(window) <= set(own[max(0, p - slop) : p + slop + 1]) for p, x in enumerate(own))
+    return out
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 

@@ -176,6 +176,9 @@ def test_decontamination(table, benchmark):
     items = [tuple(r) for r in benchmark.select("item_id", "text").collect()] + [(900, PASSAGE), (901, "same few words"), (902, None)]
     extended = benchmark.select("item_id", "text").unionByName(benchmark.sparkSession.createDataFrame(items[-3:], "item_id long, text string"))
     got = by_id(decontaminate.decontaminate(table, extended))
+    near = brute.nearness(texts_of(table), items[::7] if len(items) > 20 else items)
+    some = extended.filter(F.col("item_id").cast("string").isin([str(x) for x, _ in items[::7]])) if len(items) > 20 else extended
+    assert {d: x[5] for d, x in by_id(decontaminate.decontaminate(table, some)).items()} == near
     for d, text in texts_of(table).items():
         assert got[d][:5] == brute.contamination(text, items)
     kept = {r["doc_id"] for r in decontaminate.clean(table, extended).collect()}
@@ -268,8 +271,13 @@ def test_jaccard_groups_whose_leader_links_with_nobody(spark, monkeypatch):
     assert by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == expect
 
 
+def benchmark_of(df):
+    return df.sparkSession.createDataFrame([(1, PASSAGE), (None, "short"), (2, None), (2, "w1 w2")], "item_id long, text string")
+
+
 OPERATORS = {
     "quality": quality.assess,
+    "decontamination": lambda df: decontaminate.decontaminate(df, benchmark_of(df)),
     "token_counts": token_counts.count_tokens,
     "token_file": token_file.round_trip,
     "packing": packing.pack,
