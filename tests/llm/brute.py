@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -105,6 +106,18 @@ def secrets(text: str | None) -> tuple:
     return *(sum(x[1] == k for x in found) for k in range(3)), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in found).encode()).hexdigest()
 
 
+def entropy_spans(text: str | None, rules) -> list[str]:
+    out = []
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{rules.window},}}", text or ""):
+        value, w = m[0], rules.window
+        kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+        bits = rules.hex_bits if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) else rules.alnum_bits if re.fullmatch("[A-Za-z0-9]+", value) else rules.key_bits
+        most = max(-sum(c / w * math.log2(c / w) for c in Counter(value[k : k + w]).values()) for k in range(len(value) - w + 1))
+        if kinds >= rules.kinds and most >= bits - 1e-9 and not any(re.fullmatch(p, value) for p in rules.allow):
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
 def licenses(text: str | None, phrases) -> tuple:
     w, at, labels = alnum(text), [], set()
     for phrase, label in phrases:
