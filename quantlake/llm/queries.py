@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantlake.llm import decontaminate, jaccard, language, licenses, packing, quality, repeats, secrets, token_counts, token_file
 from quantlake.llm.runtime import table
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(table(spark, sf_dir, "documents")).drop("cleaned")
+    return quality.assess(table(spark, sf_dir, "documents")).withColumn("cleaned_sha256", F.sha2(F.col("cleaned").cast("binary"), 256)).drop("cleaned")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,25 +85,31 @@ reach(x, y) as (select doc_id, doc_id from d union select r.x, l.y from reach r
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id from d left join n using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by 1) c using (doc_id)"""
 
 _RULES = quality.Rules()
-_BOILERPLATE = quality.BOILERPLATE.pattern.replace("'", "''")
-_ENDS = "".join(sorted(quality.SENTENCE_END)).replace("'", "''")
-_SEPARATES = "".join(sorted(quality.SEPARATORS)).replace("'", "''")
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 _OP1 = f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, {_WORD}) as w from d),
-l as (select doc_id, line, regexp_extract_all(line, {_WORD}) as w from (select doc_id, unnest(string_split(t, chr(10))) as line from d)),
-judged as (select doc_id, line, len(w) as n, len(list_filter(w, lambda x: translate(x, '{_SEPARATES}', '') = '')) >= greatest(2, {_RULES.separators_per_word} * len(w))
-    or length(line) - length(translate(line, '#*$%&<>{{}}', '')) > {_RULES.symbols_per_word} * len(w) or (len(w) < 25 and regexp_matches(line, '(?i){_BOILERPLATE}'))
-    or (len(w) < {_RULES.short_line} and not contains('{_ENDS}', right(w[len(w)], 1))) as fails from l where len(w) > 0),
-lines as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as dup, count(*) filter (where fails) as removed, coalesce(sum(n) filter (where fails), 0) as lost from judged group by 1),
+l as (select doc_id, i, line, regexp_extract_all(line, {_WORD}) as w, len(regexp_extract_all(line, {_quoted(quality.GLUE)})) as glue from (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as i from d)),
+judged as (select doc_id, i, line, len(w) as n, case when len(w) = 0 then 0
+    when len(list_filter(w, lambda x: regexp_matches(x, {_quoted(quality.SEPARATOR_WORD)}))) >= greatest(2, {_RULES.separators_per_word} * len(w)) or (glue >= 2 and len(w) <= {_RULES.words_per_item} * (glue + 1)) or regexp_matches(line, {_quoted(quality.MENU)}) then 1
+    when len(regexp_extract_all(line, {_quoted(quality.SYMBOL)})) > {_RULES.symbols_per_word} * len(w) then 2
+    when len(w) < {_RULES.boilerplate_words} and regexp_matches(line, {_quoted("(?i)" + quality.BOILERPLATE)}) then 3
+    when not regexp_matches(line, {_quoted(quality.END_MARK)}) and (len(w) < {_RULES.short_line} or (len(w) >= {_RULES.long_line} and len(regexp_extract_all(line, {_quoted(quality.MARK)})) * {_RULES.words_per_mark} < len(w) and not regexp_matches(line, {_quoted(quality.LIST_ITEM)}))) then 4 else 0 end as rule from l),
+lines as (select doc_id, count(*) filter (where n > 0) as n_lines, count(*) filter (where n > 0) - count(distinct line) filter (where n > 0) as dup, coalesce(sum(n) filter (where rule > 0), 0) as lost,
+    {", ".join(f"count(*) filter (where rule = {k}) as n_lines_{r}" for k, r in enumerate(quality.RULES, 1))}, coalesce(string_agg(line, chr(10) order by i) filter (where rule = 0), '') as cleaned from judged group by 1),
 grams as (select doc_id, i, array_to_string(w[i:i + 2], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) > 2)),
 again as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, g) as c from grams) where c > 1) group by 1),
-x as (select w.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, coalesce(dup, 0)::bigint as n_dup_lines,
-    coalesce(again.n, 0)::bigint as n_repeat_words, coalesce(n_lines, 0)::bigint as n_lines, coalesce(removed, 0)::bigint as n_lines_removed, coalesce(lost, 0)::bigint as words_removed from w left join lines using (doc_id) left join again using (doc_id))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {_RULES.min_words} or 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words as base_failed,
-    not (n_words < {_RULES.min_words} or 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words) and words_removed <= {_RULES.max_lost} * n_words as kept, n_lines, n_lines_removed, words_removed from x"""
+x as (select w.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, dup::bigint as n_dup_lines,
+    coalesce(again.n, 0)::bigint as n_repeat_words, n_lines::bigint as n_lines, ({" + ".join(f"n_lines_{r}" for r in quality.RULES)})::bigint as n_lines_removed, lost::bigint as words_removed,
+    {", ".join(f"n_lines_{r}::bigint as n_lines_{r}" for r in quality.RULES)}, sha256(cleaned) as cleaned_sha256 from w left join lines using (doc_id) left join again using (doc_id))
+select *, n_words < {_RULES.min_words} or 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words as base_failed,
+    not (n_words < {_RULES.min_words} or 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words) and words_removed <= {_RULES.max_lost} * n_words as kept from x"""
 
 _TEMPLATES = ", ".join(f"({t}, '{label}', {k}, string_split('{text}', ' '))" for t, (text, label, k) in enumerate([(*x, licenses.PHRASE_GRAM) for x in licenses.PHRASES] + [(*x, licenses.NOTICE_GRAM) for x in licenses.NOTICES]))
 

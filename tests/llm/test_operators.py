@@ -87,6 +87,44 @@ def test_quality_lines(spark):
     assert not rows[2]["base_failed"] and not rows[2]["kept"]
 
 
+LINES = {
+    "Home | About | News": "navigation",
+    "Home|About|News|Login": "navigation",
+    "Home About News Login": "navigation",
+    "» Startseite » Über » Kontakt": "navigation",
+    "#### $$$$ %%%% end.": "symbols",
+    "Alle Rechte vorbehalten.": "boilerplate",
+    "Lire la suite de cet article.": "boilerplate",
+    "Click here for more.": "boilerplate",
+    "Orphan": "punctuation",
+    "one two three four five six seven eight nine ten eleven twelve": "punctuation",
+    "- one two three four five six seven eight nine ten eleven twelve": None,
+    "1. one two three four five six seven eight nine ten eleven twelve": None,
+    "A heading of some words": None,
+    "A sentence that ends as one should, with a mark.": None,
+    "the first part of a line, wrapped in the middle of a long": None,
+    "He said \"so it is.\"  ": None,
+    "A | in the middle of a sentence is no menu, nor is another one.": None,
+}
+
+
+def test_quality_rules_by_line(spark):
+    got = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(list(enumerate(LINES)), "doc_id long, text string")).collect()}
+    for d, (line, rule) in enumerate(LINES.items()):
+        assert {x for x in quality.RULES if got[d][f"n_lines_{x}"]} == ({rule} if rule else set()), line
+        assert got[d]["cleaned"] == ("" if rule else line)
+
+
+def test_quality_lines_of_many_documents(spark):
+    rng = random.Random(9)
+    rows = [(d, "\n".join(rng.choice([*LINES, "", " \t"]) for _ in range(rng.randint(0, 30)))) for d in range(200)]
+    for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect():
+        lines = rows[r["doc_id"]][1].split("\n")
+        assert r["cleaned"] == "\n".join(x for x in lines if not LINES.get(x))
+        assert [r[f"n_lines_{x}"] for x in quality.RULES] == [sum(LINES.get(y) == x for y in lines) for x in quality.RULES]
+        assert (r["n_lines"], r["words_removed"]) == (sum(bool(x.split()) for x in lines), sum(len(x.split()) for x in lines if LINES.get(x)))
+
+
 def test_token_counts(table, tokenizer):
     got: dict = {}
     for r in token_counts.count_tokens(table, most=40).collect():
