@@ -111,19 +111,24 @@ x as (select w.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transfo
 select *, n_words < {_RULES.min_words} or 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words as base_failed,
     not (n_words < {_RULES.min_words} or 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words) and words_removed <= {_RULES.max_lost} * n_words as kept from x"""
 
-_TEMPLATES = ", ".join(f"({t}, '{label}', {k}, string_split('{text}', ' '))" for t, (text, label, k) in enumerate([(*x, licenses.PHRASE_GRAM) for x in licenses.PHRASES] + [(*x, licenses.NOTICE_GRAM) for x in licenses.NOTICES]))
+_TEMPLATES = ", ".join(f"({t}, '{label}', {k}, string_split('{text}', ' '))" for t, (text, label, k) in enumerate(licenses.TEMPLATES))
 
 _OP5 = f"""
 with d as (select doc_id, {_ALNUM} as w from documents), t as (select * from (values {_TEMPLATES}) v(template, label, k, w)),
 tg as (select template, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (select template, k, w, unnest(range(1, len(w) - k + 2)) as i from t)),
 dg as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from t) where len(w) >= k)),
-votes as (select doc_id, template, dg.i - tg.i as diagonal, count(*) as votes, min(dg.i) - 1 as first from dg join tg using (k, g) group by 1, 2, 3),
-marked as (select v.*, label, k, len(w) - k + 1 as grams, case when k = {licenses.PHRASE_GRAM} or diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) <= {licenses.NEAR} is not true then 1 else 0 end as far from votes v join t using (template)),
-runs as (select doc_id, template, label, k, grams, sum(votes) as votes, min(first) as first from (select *, sum(far) over (partition by doc_id, template order by diagonal) as island from marked) group by doc_id, template, label, k, grams, island),
-found as (select *, least(1.0::double, votes::double / grams) as share, k = {licenses.PHRASE_GRAM} and votes = grams as base from runs)
+hits as materialized (select doc_id, template, dg.i - tg.i as diagonal, dg.i - 1 as place, tg.i as own from dg join tg using (k, g)),
+votes as (select distinct doc_id, template, diagonal from hits),
+marked as (select v.*, label, k, len(w) as size, len(w) - k + 1 as grams, case when k = {licenses.PHRASE_GRAM} or diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) <= {licenses.NEAR} is not true then 1 else 0 end as far from votes v join t using (template)),
+islands as (select *, sum(far) over (partition by doc_id, template order by diagonal) as island from marked),
+found as (select *, covered::double / grams as share, k = {licenses.PHRASE_GRAM} and covered = grams as base, k <> {licenses.PHRASE_GRAM} and covered::double / grams >= {licenses.COVERED} and last - first < {licenses.STRETCH} * size as likely
+    from (select doc_id, template, label, k, size, grams, count(distinct own) as covered, min(place) as first, max(place) as last from islands join hits using (doc_id, template, diagonal) group by doc_id, template, label, k, size, grams, island)),
+apart as (select *, case when first <= max(last) over (partition by doc_id, likely order by first, last, template rows between unbounded preceding and 1 preceding) then 0 else 1 end as apart from found),
+placed as (select *, sum(apart) over (partition by doc_id, likely order by first, last, template rows between unbounded preceding and current row) as place from apart),
+judged as (select *, likely and share = max(share) over (partition by doc_id, likely, place) as added from placed)
 select d.doc_id, len(any_value(w))::bigint as n_words, count(*) filter (where base) as n_base, (min(first) filter (where base))::bigint as first_word, (max(first) filter (where base))::bigint as last_word,
-    coalesce(array_to_string(list_sort(list_distinct(list(label) filter (where base))), ','), '') as base_labels, coalesce(array_to_string(list_sort(list_distinct(list(label) filter (where base or (k <> {licenses.PHRASE_GRAM} and share >= {licenses.COVERED})))), ','), '') as labels,
-    coalesce(max(share), 0) as score from d left join found using (doc_id) group by d.doc_id"""
+    coalesce(array_to_string(list_sort(list_distinct(list(label) filter (where base))), ','), '') as base_labels, coalesce(array_to_string(list_sort(list_distinct(list(label) filter (where base or added))), ','), '') as labels,
+    coalesce(max(share), 0) as score from d left join judged using (doc_id) group by d.doc_id"""
 
 #: Tokens, packing, profiles, byte strings and entropy scans are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {"op1_line_quality": _OP1, "op5_license_scan": _OP5, "op7_decontamination": _OP7, "op10_ngram_jaccard": _OP10}

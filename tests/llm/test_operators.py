@@ -198,11 +198,16 @@ def test_licenses(table):
         assert set(filter(None, got[d][4].split(","))) <= set(got[d][5].split(",")) and 0 <= got[d][6] <= 1
 
 
-def test_license_notice_with_a_word_put_in(spark):
-    words = licenses.NOTICES[0][0].split()
-    df = spark.createDataFrame([(1, " ".join([*words[:20], "indeed", *words[20:]]))], "doc_id long, text string")
-    r = licenses.scan(df).first()
-    assert r["labels"] == "mit" and r["base_labels"] == "" and r["score"] > 0.9
+def test_license_notices(spark):
+    mit = licenses.NOTICES[0][0].split()
+    rows = [(k, "x " * k + text) for k, (text, _) in enumerate(licenses.NOTICES)]
+    rows += [(100, " ".join([*mit[:20], "indeed", *mit[20:]])), (101, " ".join(mit[: len(mit) // 2])), (102, " ".join(w for x in mit for w in (x, "and"))), (103, " ".join(mit[:12] * 12))]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (_, label) in enumerate(licenses.NOTICES):
+        assert label in got[k]["labels"].split(",") and got[k]["score"] == 1
+        assert set(got[k]["labels"].split(",")) - {label} <= {"gpl", "apache"}  # base phrases inside notices
+    assert got[100]["labels"] == "mit" and got[100]["base_labels"] == "" and 0.9 < got[100]["score"] < 1
+    assert got[101]["labels"] == got[102]["labels"] == got[103]["labels"] == "" and got[103]["score"] < 0.2
 
 
 @pytest.mark.parametrize("group", [repeats.GROUP, 2])
