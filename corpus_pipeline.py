@@ -1,7 +1,8 @@
 """A corpus pipeline: language, near duplicates, benchmark passages, secrets, packing.
 
 Each stage takes the documents that its predecessor kept and returns documents with all their columns; the last returns where
-each piece of a document stands in the packed sequences.
+each piece of a document stands in the packed sequences.  All stages read texts whole, carry extra columns of any name, give no
+rows for an empty table, and run on rows with null or repeated ids.
 """
 
 from __future__ import annotations
@@ -14,27 +15,35 @@ from quantlake.llm import decontaminate, jaccard, language, packing, runtime, se
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language rank-order profiles tell; those without a letter, or with no n-gram that a profile ranks near, go."""
+    """Documents whose language rank-order profiles tell; those without a letter, or with no n-gram that a profile ranks near, go.
+
+    So null and empty texts go.  Each row is judged by itself, whatever its doc_id; where no row has a lang, nothing is
+    learned and every row goes.
+    """
     return language.keep(docs, language.learn(language.training_rows(docs)))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shingle similarity links."""
+    """Of the documents that shingle similarity links, the one of the smallest doc_id, null being the largest.
+
+    Each row is a document of its own: rows that share an id but not a text both stay, repeated rows leave one.  Texts
+    without words, null or not, are linked with nothing and stay.
+    """
     return jaccard.distinct_documents(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs; null and empty texts have none, and an empty benchmark has none either."""
     return decontaminate.clean(docs, runtime.table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts."""
+    """All documents, with secrets masked in their texts, overlapping ones as one; null texts stay null."""
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in sequences of 4096 tokens."""
+    """Where each piece of each document stands in sequences of 4096 tokens; a null text is an end token alone."""
     return packing.pack(docs)
 
 
