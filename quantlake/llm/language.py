@@ -97,7 +97,13 @@ def held_out() -> F.Column:
 
 
 def learn(labelled: DataFrame, n: int = PROFILE) -> dict[str, list[int]]:
-    """Profiles of a table (text, lang); rows without either are left out; the smaller n-gram code first among equals."""
+    """Profiles of a table (text, lang): of each language the ``n`` most frequent n-grams of all its texts.
+
+    Rows without either are left out, repeated rows count as often as they occur, texts count whole; of equally frequent
+    n-grams the smaller code comes first.  An empty table gives no profiles.  What reaches the driver and is broadcast later
+    is ``n`` whole numbers a language; there are as many languages as ``lang`` has values, a few hundred at the most in what
+    language codes can say, however large the corpus.
+    """
     runtime.small_batches(labelled.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +144,9 @@ def learn(labelled: DataFrame, n: int = PROFILE) -> dict[str, list[int]]:
 def predict(docs: DataFrame, ranked: dict[str, list[int]], n: int = PROFILE) -> DataFrame:
     """doc_id, lang_pred and score (1 less the share of the greatest distance possible) of every whole text.
 
-    ``und`` with score 0 where the text is null or has no letter, or where nothing was learned.
+    ``und`` with score 0 where the text is null, empty or has no letter, or where nothing was learned; of languages at one
+    distance the alphabetically first.  Rows are judged one by one, so repeated rows have equal results and null ids need no
+    care; only doc_id and text are read, whatever other columns there are.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     runtime.small_batches(spark)
@@ -156,7 +164,9 @@ def predict(docs: DataFrame, ranked: dict[str, list[int]], n: int = PROFILE) ->
 def keep(docs: DataFrame, ranked: dict[str, list[int]], n: int = PROFILE, least: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a language (not ``und``) with a score above ``least``.
 
-    A text at the greatest distance from every profile, as in a script that no training row has, scores 0 and goes.
+    A text at the greatest distance from every profile, as in a script that no training row has, scores 0 and goes; so does
+    a null or empty one.  Rows are judged one by one: repeated rows stay or go together, an empty table stays empty, and with
+    nothing learned every row goes.
     """
     spark = docs.sparkSession
     runtime.small_batches(spark)
@@ -181,7 +191,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out, and predict all rows.
 
     A row's fold is crc32(doc_id as text) mod 3: remainder 1 is held out, a null doc_id is not.  ``lang`` may be missing or
-    null; then nothing is learned from the row.  Repeated rows count as often as they occur.
+    null; then nothing is learned from the row.  Repeated rows count as often as they occur; otherwise rows are treated as by
+    ``learn`` and ``predict``.
     """
     out = predict(docs, learn(training_rows(docs)))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

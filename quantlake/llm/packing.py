@@ -104,7 +104,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """One row per piece with its sequence and its gapless place there.
 
     A text's ids end with ``end``; a null text has that id alone.  Texts of more than ``capacity`` ids are cut into pieces of
-    that many, the last as long as is left.  Repeated rows are packed as often as they occur; an empty table gives no rows.
+    that many, the last as long as is left, whatever their length.  Repeated rows are packed as often as they occur, rows
+    without a doc_id like others; which of equal pieces stands where is arbitrary.  Only doc_id and text are read, whatever
+    other columns there are; an empty table gives no rows.
     """
     spark = docs.sparkSession
     runtime.small_batches(spark)
@@ -112,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     table = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     salts = max(1, -(-sum(counts.values()) // SALT_ROWS))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = by_salt.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -153,6 +154,34 @@ def components(texts: dict[int, str | None]) -> dict[int, tuple]:
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
+def _profile(texts: list, n: int) -> list[int]:
+    counts: Counter = Counter()
+    for text in texts:
+        letters = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower())
+        for word in letters.split(" "):
+            if word:
+                padded = f" {word} "
+                counts.update(word)
+                counts.update(padded[i : i + 2] for i in range(len(padded) - 1))
+                counts.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    code = lambda gram: sum(ord(c) << 21 * (len(gram) - 1 - k) for k, c in enumerate(gram))
+    return sorted(map(code, counts), key=lambda c: (-named[c], c))[:n] if (named := {code(g): k for g, k in counts.items()}) else []
+
+
+def languages(rows: list[tuple], n: int = 400) -> dict:
+    """doc_id -> (held_out, lang_pred, score) by rank-order profiles, from rows (doc_id, text, lang)."""
+    held = {d: zlib.crc32(str(d).encode()) % 3 == 1 for d, _, _ in rows}
+    langs = sorted({x for d, t, x in rows if x is not None and t is not None and not held[d]})
+    profiles = {x: {c: k for k, c in enumerate(_profile([t for d, t, y in rows if y == x and not held[d]], n))} for x in langs}
+    out = {}
+    for d, text, _ in rows:
+        own = _profile([text], n)
+        far = {x: sum(min(abs(profiles[x][c] - k), n) if c in profiles[x] else n for k, c in enumerate(own)) for x in langs}
+        best = min(langs, key=lambda x: far[x]) if own and langs else "und"
+        out[d] = (held[d], best, 1 - far[best] / (n * len(own)) if best != "und" else 0.0)
+    return out
+
+
 def crc(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
 

@@ -32,7 +32,7 @@ AWKWARD = [
     (15, "password=secret: abcdefghijklmnopqrst deadbeefdeadbeef k9Xq2LmZ8vRt4WbN7cYp1AsD"),
     (16, "gnu general public gnu general public license apache\nlicense CC-BY cc by"),
 ]
-CLASHES = ("key", "tag", "place", "node", "root", "token", "n", "g", "grams", "found", "section", "salt", "length", "_kept_id", "secret_spans")
+CLASHES = ("own", "row", "doc", "hits", "print", "key", "tag", "place", "node", "root", "token", "n", "g", "grams", "found", "section", "salt", "length", "_kept_id", "secret_spans")
 
 
 @pytest.fixture(scope="module")
@@ -321,6 +321,18 @@ def test_language(documents):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def test_language_by_brute_force(table):
+    expect = brute.languages([(r["doc_id"], r["text"], r["lang"]) for r in table.collect()])
+    for d, (held_out, lang, score) in by_id(language.identify(table)).items():
+        assert (held_out, lang) == expect[d][:2] and abs(score - expect[d][2]) < 1e-12
+
+
+def test_languages_at_one_distance(spark):
+    rows = [(0, "abc abd", "xx"), (1, "abc abd", "aa"), (2, "abc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language.predict(df, language.learn(df.select("text", "lang"))).collect()} == {"aa"}
+
+
 def test_language_of_awkward_rows(awkward):
     rows = by_id(language.identify(awkward))
     assert rows[2][1:] == ("und", 0.0) and rows[3][1] == rows[4][1] == "und" and rows[5][1] == "en"
@@ -396,6 +408,30 @@ def test_very_long_text(spark, name):
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == {1, 2}
 
 
+FILTERS = {
+    "keep": lambda df: language.keep(df, language.learn(language.training_rows(df))),
+    "distinct_documents": jaccard.distinct_documents,
+    "clean": lambda df: decontaminate.clean(df, benchmark_of(df)),
+    "redact": secrets.redact,
+}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_forms_that_return_documents(spark, name):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    assert FILTERS[name](spark.createDataFrame([], schema)).count() == 0
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(250_000))
+    rows = [(3, long, "en", None, 1), (4, long + " more", "en", None, 1), (5, "words that occur here alone", "en", "s", None), (5, "words that occur here alone", "en", "s", None), (None, "more words that have no id", "en", None, None), (8, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit("clash") for c in CLASHES})
+    out = FILTERS[name](df)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"] and len(r["text"]), r["key"]) for r in out.collect()), key=str)
+    lengths = {"keep": (3, 4, 5, 5, None), "distinct_documents": (3, 5, None, 8), "clean": (3, 4, 5, 5, None, 8), "redact": (3, 4, 5, 5, None, 8)}[name]
+    text = {d: t and len(t) for d, t, *_ in rows}
+    assert got == sorted(((d, text[d], "clash") for d in lengths), key=str)
+
+
 def test_queries_are_registered():
     names = [n.split("_")[0] for n in queries.QUERIES]
     assert names == [f"op{k}" for k in range(1, 11)]
