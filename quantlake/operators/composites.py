@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from quantlake.functions.expr import layer_name, quantise
 from quantlake.operators.diagnostics import assign_layers
 from quantlake.operators.portfolio import nav, period_calendar
-from quantlake.specs import FACTORS, Strategy
+from quantlake.specs import COMPOSITE_EQUAL, COMPOSITE_ROLLING, FACTORS, Strategy
 
 SCORE_DIGITS = 10
 
 
-def equal_composite(scores: DataFrame, name: str = "Equal", min_count: int = 1, score: str = "neutralized_score") -> DataFrame:
+def equal_composite(scores: DataFrame, name: str = COMPOSITE_EQUAL, min_count: int = 1, score: str = "neutralized_score") -> DataFrame:
     """Mean of the factors that a security has; NULL under ``min_count``; securities without any are left out."""
     n = F.count(score)
     out = scores.groupBy("trade_date", "ts_code").agg(F.when(n >= min_count, quantise(F.avg(score), SCORE_DIGITS)).alias("score"), n.alias("available_count"))
@@ -41,20 +41,29 @@ def point_in_time_history(scores: DataFrame, rank_ic: DataFrame, calendar: DataF
     return past.join(F.broadcast(target), F.col("next_exec_date") <= F.col("target")).drop("next_exec_date")
 
 
-def rolling_weights(scores: DataFrame, history: DataFrame, window: int = 12, min_periods: int = 6) -> DataFrame:
-    """Weights by the mean of the last ``window`` rank coefficients, none below 0; equal where nothing qualifies."""
+def rolling_weights(scores: DataFrame, history: DataFrame, window: int = 12, min_periods: int = 6, of_date: bool = False, score: str = "neutralized_score") -> DataFrame:
+    """Weights by the mean of the last ``window`` rank coefficients, none below 0; equal where nothing qualifies.
+
+    Every factor has a weight on every date, or, if ``of_date``, on those dates on which it has a score.
+    """
     last = F.row_number().over(Window.partitionBy("target", "factor").orderBy(F.desc("trade_date")))
-    recent = history.withColumn("_k", last).filter(F.col("_k") <= window)
-    mean = recent.groupBy("target", "factor").agg(F.when(F.count("*") >= min_periods, F.greatest(F.avg("rank_ic"), F.lit(0.0))).otherwise(0.0).alias("raw"))
-    scaffold = scores.select(F.col("trade_date").alias("target")).distinct().crossJoin(F.broadcast(scores.select("factor").distinct()))
-    every = scaffold.join(F.broadcast(mean), ["target", "factor"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    recent = history.withColumn("_k", last).filter(F.col("_k") <= window).groupBy("target", "factor").agg(F.avg("rank_ic").alias("rank_ic_mean"), F.count("*").alias("rank_ic_periods"))
+    if of_date:
+        scaffold = scores.filter(F.col(score).isNotNull()).select(F.col("trade_date").alias("target"), "factor").distinct()
+    else:
+        scaffold = scores.select(F.col("trade_date").alias("target")).distinct().crossJoin(scores.select("factor").distinct())
+    raw = F.when(F.col("rank_ic_periods") >= min_periods, F.greatest("rank_ic_mean", F.lit(0.0))).otherwise(0.0)
+    every = scaffold.join(recent, ["target", "factor"], "left").withColumn("raw", raw)
     whole = Window.partitionBy("target")
     total = F.sum("raw").over(whole)
     weight = F.when(total > 0, F.col("raw") / total).otherwise(1.0 / F.count("*").over(whole))
-    return every.select(F.col("target").alias("trade_date"), "factor", quantise(weight, 12).alias("weight"), F.when(total > 0, F.lit("rolling_rankic")).otherwise(F.lit("fallback_equal")).alias("weight_source"))
+    return every.select(
+        F.col("target").alias("trade_date"), "factor", quantise(weight, 12).alias("weight"), F.when(total > 0, F.lit("rolling_rankic")).otherwise(F.lit("fallback_equal")).alias("weight_source"),
+        "rank_ic_mean", F.coalesce("rank_ic_periods", F.lit(0)).alias("rank_ic_periods"),
+    )
 
 
-def weighted_composite(scores: DataFrame, weights: DataFrame, name: str = "Rolling_RankIC", min_count: int = 1, score: str = "neutralized_score") -> DataFrame:
+def weighted_composite(scores: DataFrame, weights: DataFrame, name: str = COMPOSITE_ROLLING, min_count: int = 1, score: str = "neutralized_score") -> DataFrame:
     """Weighted mean over the factors that a security has, weights scaled to them."""
     rows = scores.join(F.broadcast(weights.select("trade_date", "factor", "weight")), ["trade_date", "factor"])
     n, w = F.count(score), F.sum(F.when(F.col(score).isNotNull(), F.col("weight")))

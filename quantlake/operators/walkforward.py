@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quantlake.functions.expr import annualised, compound, divide, quantise
 from quantlake.operators.diagnostics import assign_layers, decile_returns, long_short
 from quantlake.operators.portfolio import backtest, nav, period_calendar, top_quantile_weights, turnover
+from quantlake import specs
 from quantlake.specs import WalkForward
 
 
@@ -98,11 +99,12 @@ def long_short_periods(scores: DataFrame, forward: DataFrame, config: WalkForwar
 
 
 def candidates(rank_ic: DataFrame, periods: DataFrame, folds: DataFrame, config: WalkForward) -> DataFrame:
-    """Training and validation statistics of each factor in each fold, and whether it may be chosen.
+    """Training and validation statistics of each factor in each complete fold, and whether it may be chosen.
 
     The Sharpe ratio is mean over deviation, for a year of twelve periods.
     """
-    dates = F.broadcast(fold_dates(folds).filter("part != 'oos'"))
+    folds = folds.filter("status = 'complete'")
+    dates = fold_dates(folds).filter("part != 'oos'")
     ic = rank_ic.join(dates, "trade_date").groupBy("fold_id", "factor").agg(
         F.count(F.when(F.col("part") == "train", F.col("rank_ic"))).alias("train_rankic_periods"),
         F.avg(F.when(F.col("part") == "train", F.col("rank_ic"))).alias("train_rankic_mean"),
@@ -116,7 +118,7 @@ def candidates(rank_ic: DataFrame, periods: DataFrame, folds: DataFrame, config:
         quantise(F.when(F.stddev_pop(r) > 1e-12, F.try_divide(F.avg(r), F.stddev_pop(r)) * math.sqrt(12)), 8).alias("validation_sharpe"),
         quantise(F.avg("two_leg_turnover"), 10).alias("validation_average_two_leg_turnover"),
     )
-    every = folds.select("fold_id").crossJoin(F.broadcast(rank_ic.select("factor").distinct()))
+    every = folds.select("fold_id").crossJoin(rank_ic.select("factor").distinct())
     out = every.join(ic, ["fold_id", "factor"], "left").join(ls, ["fold_id", "factor"], "left").fillna(0, ["train_rankic_periods", "validation_rankic_periods", "validation_return_periods"])
     reasons = F.array(
         F.when(F.col("train_rankic_periods") < config.min_train_rankic, F.lit("insufficient_train_rankic")),
@@ -129,86 +131,165 @@ def candidates(rank_ic: DataFrame, periods: DataFrame, folds: DataFrame, config:
     return out.withColumn("selection_rank", F.when(F.col("is_eligible"), F.row_number().over(best)))
 
 
-def champions(rows: DataFrame, config: WalkForward) -> list[tuple[str, str | None, str]]:
-    """(fold, champion, reason) in the order of folds; the incumbent stays unless beaten by the margin."""
-    by_fold: dict[str, list] = {}
-    for r in rows.orderBy("fold_id", "selection_rank").collect():
-        by_fold.setdefault(r["fold_id"], []).append(r)
+def successor(incumbent: str | None, ranked: dict[str, float], margin: float) -> tuple[str | None, str]:
+    """Who holds a fold, and why; ``ranked`` has the Sharpe ratio of the eligible factors, the best first."""
+    best, held = next(iter(ranked), None), ranked.get(incumbent)
+    if best is None:
+        return None, specs.NO_CANDIDATE
+    if held is None:
+        return best, specs.LOST if incumbent else specs.FIRST
+    if ranked[best] >= held + margin and best != incumbent:
+        return best, specs.BEATEN
+    return incumbent, specs.STAYS if best == incumbent else specs.KEPT
+
+
+def champions(rows: DataFrame, config: WalkForward) -> list[tuple[str, str | None, str | None, str]]:
+    """(fold, incumbent before, champion, reason) in the order of folds: a path over a few dozen rows of candidates.
+
+    The champion of the last fold that had one is the incumbent.
+    """
+    by_fold: dict[str, dict[str, float]] = {}
+    for r in rows.select("fold_id", "factor", "is_eligible", "validation_sharpe").orderBy("fold_id", "selection_rank").collect():
+        ranked = by_fold.setdefault(r["fold_id"], {})
+        if r["is_eligible"]:
+            ranked[r["factor"]] = r["validation_sharpe"]
     incumbent, out = None, []
-    for fold, candidates_ in by_fold.items():
-        ranked = [r for r in candidates_ if r["is_eligible"]]
-        sharpe = {r["factor"]: r["validation_sharpe"] for r in ranked}
-        if not ranked:
-            out.append((fold, None, "no_eligible_factor"))
-            continue
-        best = ranked[0]["factor"]
-        if incumbent is None:
-            incumbent, why = best, "initial_champion"
-        elif incumbent not in sharpe:
-            incumbent, why = best, "incumbent_ineligible"
-        elif best == incumbent:
-            why = "incumbent_remains_best"
-        elif sharpe[best] >= sharpe[incumbent] + config.switch_margin:
-            incumbent, why = best, "challenger_margin_met"
-        else:
-            why = "incumbent_retained_by_margin"
-        out.append((fold, incumbent, why))
+    for fold, ranked in by_fold.items():
+        holder, why = successor(incumbent, ranked, config.switch_margin)
+        out.append((fold, incumbent, holder, why))
+        incumbent = holder or incumbent
     return out
 
 
-def oos_daily(scores: DataFrame, returns: DataFrame, calendar: DataFrame, folds: DataFrame, benchmark: DataFrame, end: str, config: WalkForward, suspensions: DataFrame | None = None) -> DataFrame:
-    """Daily returns of three legs (top quantile, highest and lowest layer) and of highest less lowest, on out-of-sample dates.
+def selection_log(candidate_rows: DataFrame, path: DataFrame) -> DataFrame:
+    """Candidates with the outcome of their fold: every row's reason, which is the fold's for the one selected."""
+    chosen = F.coalesce(F.col("factor") == F.col("champion"), F.lit(False))
+    why = F.when(chosen | (F.col("fold_reason") == specs.NO_CANDIDATE), F.col("fold_reason")).otherwise(specs.NOT_SELECTED)
+    rows = candidate_rows.join(path.withColumnRenamed("decision_reason", "fold_reason"), "fold_id")
+    return rows.select("fold_id", "factor", "is_eligible", "selection_rank", "incumbent_before", chosen.alias("selected"), why.alias("decision_reason"), F.col("fold_reason").alias("fold_decision_reason"))
+
+
+def oos_signals(folds: DataFrame, path: DataFrame) -> DataFrame:
+    """(fold_id, decision_signal_date, champion, signal_date) of the out-of-sample dates of complete folds that have a champion."""
+    held = path.filter(F.col("champion").isNotNull()).select("fold_id", "champion")
+    return folds.filter("status = 'complete'").join(held, "fold_id").select("fold_id", "decision_signal_date", "champion", F.explode("oos_signal_dates").alias("signal_date"))
+
+
+def oos_inputs(neutral: DataFrame, composites: DataFrame, signals: DataFrame) -> DataFrame:
+    """(factor, trade_date, ts_code, score) to be traded out of sample: each fold's champion under one name, and the composites."""
+    own = neutral.join(signals.select(F.col("champion").alias("factor"), F.col("signal_date").alias("trade_date")), ["factor", "trade_date"])
+    dates = signals.select(F.col("signal_date").alias("trade_date"))
+    both = composites.filter(F.col("factor").isin(specs.COMPOSITE_EQUAL, specs.COMPOSITE_ROLLING)).join(dates, "trade_date")
+    return own.select(F.lit(specs.CHAMPION).alias("factor"), "trade_date", "ts_code", F.col("neutralized_score").alias("score")).unionByName(both.select("factor", "trade_date", "ts_code", "score"))
+
+
+def factor_weights(signals: DataFrame, rolling: DataFrame, calendar: DataFrame) -> DataFrame:
+    """What each strategy holds of each factor on each out-of-sample date, and up to when what it rests on was known."""
+    of_champion = signals.select(
+        "fold_id", "signal_date", F.lit(specs.CHAMPION).alias("strategy_id"), F.col("champion").alias("source_factor"), F.lit(1.0).alias("weight"), F.lit("selected_champion").alias("weight_source"),
+        F.col("decision_signal_date").alias("weight_as_of_date"), F.lit(None).cast("double").alias("rank_ic_mean"), F.lit(None).cast("long").alias("rank_ic_periods"),
+    )
+    ended = period_calendar(calendar).filter("next_exec_date is not null").select("next_exec_date")
+    known = signals.select("fold_id", "signal_date").join(ended, F.col("next_exec_date") <= F.col("signal_date"), "left").groupBy("fold_id", "signal_date").agg(F.max("next_exec_date").alias("weight_as_of_date"))
+    rows = rolling.withColumnRenamed("trade_date", "signal_date").withColumnRenamed("factor", "source_factor").join(known, "signal_date")
+    n = F.count("*").over(Window.partitionBy("signal_date"))
+    columns = ("fold_id", "signal_date", "strategy_id", "source_factor", "weight", "weight_source", "weight_as_of_date", "rank_ic_mean", "rank_ic_periods")
+    equal = rows.withColumns({"weight": quantise(1.0 / n, 12), "strategy_id": F.lit(specs.COMPOSITE_EQUAL), "weight_source": F.lit("equal"), "rank_ic_mean": F.lit(None).cast("double"), "rank_ic_periods": F.lit(0).cast("long")})
+    rolled = rows.withColumn("strategy_id", F.lit(specs.COMPOSITE_ROLLING))
+    return of_champion.select(*columns).unionByName(equal.select(*columns)).unionByName(rolled.select(*columns))
+
+
+def oos_daily(scores: DataFrame, returns: DataFrame, calendar: DataFrame, signals: DataFrame, benchmark: DataFrame, end: str, config: WalkForward, suspensions: DataFrame | None = None) -> DataFrame:
+    """Daily returns of three legs (top quantile, highest and lowest layer), of highest less lowest, and of the benchmark.
 
     All legs go through one backtest without cost; each leg's cost is then taken off its first day.
     """
-    dates = fold_dates(folds).filter("part = 'oos'").select("fold_id", F.col("trade_date").alias("signal_date"))
-    chosen = scores.join(F.broadcast(dates.select(F.col("signal_date").alias("trade_date")).distinct()), "trade_date")
-    layers = assign_layers(chosen, config.buckets).filter(F.col("decile").isin(1, config.buckets))
+    layers = assign_layers(scores, config.buckets).filter(F.col("decile").isin(1, config.buckets))
     n = F.count("*").over(Window.partitionBy("factor", "trade_date", "decile"))
     name = F.when(F.col("decile") == 1, F.lit("d1")).otherwise(F.lit("d10"))
     legs = layers.select(F.concat_ws("|", "factor", name).alias("factor"), "trade_date", "ts_code", (1.0 / n).alias("weight"))
-    top = top_quantile_weights(chosen, config.top_quantile)
+    top = top_quantile_weights(scores, config.top_quantile)
     weights = legs.unionByName(top.withColumn("factor", F.concat_ws("|", "factor", F.lit("top20"))))
     daily = backtest(weights, returns, calendar, end, 0.0, suspensions)
     t = turnover(weights).withColumnRenamed("trade_date", "signal_date")
     first = F.row_number().over(Window.partitionBy("factor", "signal_date").orderBy("trade_date")) == 1
-    rows = daily.join(F.broadcast(t), ["factor", "signal_date"]).withColumn("turnover", F.when(first, F.col("turnover")).otherwise(0.0))
+    rows = daily.join(t, ["factor", "signal_date"]).withColumn("turnover", F.when(first, F.col("turnover")).otherwise(0.0))
+    counts = ("suspended_count", "invalid_missing_count")
     rows = rows.select(
         F.substring_index("factor", "|", 1).alias("strategy_id"), F.substring_index("factor", "|", -1).alias("portfolio_leg"), "signal_date", "trade_date",
-        F.col("portfolio_return").alias("gross_return"), "turnover", (F.col("turnover") * config.cost).alias("transaction_cost"),
+        F.col("portfolio_return").alias("gross_return"), "turnover", (F.col("turnover") * config.cost).alias("transaction_cost"), *counts,
     )
     pick = lambda leg, c: F.max(F.when(F.col("portfolio_leg") == leg, F.col(c)))
     pair = rows.filter("portfolio_leg in ('d10', 'd1')").groupBy("strategy_id", "signal_date", "trade_date").agg(
-        F.lit("long_short").alias("portfolio_leg"), (pick("d10", "gross_return") - pick("d1", "gross_return")).alias("gross_return"), F.sum("turnover").alias("turnover"), F.sum("transaction_cost").alias("transaction_cost")
+        F.lit("long_short").alias("portfolio_leg"), (pick("d10", "gross_return") - pick("d1", "gross_return")).alias("gross_return"), *(F.sum(c).alias(c) for c in ("turnover", "transaction_cost", *counts))
     )
     every = rows.unionByName(pair.filter(F.col("gross_return").isNotNull()))
-    b = F.broadcast(benchmark.select("trade_date", F.coalesce("benchmark_return", F.lit(0.0)).alias("b")))
-    out = every.join(F.broadcast(dates), "signal_date").join(b, "trade_date", "left")
-    net = quantise(F.col("gross_return") - F.col("transaction_cost"), 10)
-    base = F.when(F.col("portfolio_leg") == "long_short", F.lit(0.0)).otherwise(F.coalesce("b", F.lit(0.0)))
-    return out.select("fold_id", "strategy_id", "portfolio_leg", "signal_date", "trade_date", "gross_return", "turnover", "transaction_cost", net.alias("net_return"), base.alias("benchmark_return"), (net - base).alias("excess_return"))
+    out = every.join(signals.select("fold_id", "champion", "signal_date"), "signal_date").join(benchmark.select("trade_date", F.col("benchmark_return").alias("b")), "trade_date", "left")
+    net, base = quantise(F.col("gross_return") - F.col("transaction_cost"), 10), F.coalesce("b", F.lit(0.0))
+    kind = F.when(F.col("strategy_id") == specs.CHAMPION, "champion_single").otherwise("multifactor")
+    keys = ("fold_id", "strategy_id", "portfolio_leg", "signal_date", "trade_date")
+    legs_out = out.select(
+        *keys, kind.alias("strategy_type"), F.col("champion").alias("selected_factor"), "gross_return", "turnover", "transaction_cost", net.alias("net_return"), base.alias("benchmark_return"),
+        F.when(F.col("portfolio_leg") == "long_short", net).otherwise(net - base).alias("excess_return"), *counts,
+    )
+    zero = lambda kind: F.lit(0).cast(kind)
+    days = legs_out.select("fold_id", "signal_date", "trade_date", "benchmark_return").distinct().select(
+        "fold_id", F.lit(specs.BENCHMARK).alias("strategy_id"), F.lit("benchmark").alias("portfolio_leg"), "signal_date", "trade_date", F.lit("benchmark").alias("strategy_type"), F.lit(None).cast("string").alias("selected_factor"),
+        F.col("benchmark_return").alias("gross_return"), zero("double").alias("turnover"), zero("double").alias("transaction_cost"), F.col("benchmark_return").alias("net_return"), "benchmark_return", zero("double").alias("excess_return"),
+        *(zero("long").alias(c) for c in counts),
+    )
+    return legs_out.unionByName(days)
+
+
+OOS_KEY = ("fold_id", "trade_date", "strategy_id", "portfolio_leg")
+
 
+def duplicate_oos_keys(daily: DataFrame) -> DataFrame:
+    """Keys of out-of-sample rows that occur more than once; a sound result has none."""
+    return daily.groupBy(*OOS_KEY).agg(F.count("*").alias("n")).filter("n > 1")
 
-def oos_metrics(daily: DataFrame) -> DataFrame:
+
+def require_unique_oos(daily: DataFrame) -> DataFrame:
+    """The rows as they are, once it is sure that no key is repeated."""
+    repeated = duplicate_oos_keys(daily).first()
+    if repeated:
+        raise ValueError(f"repeated out-of-sample row: {repeated.asDict()}")
+    return daily
+
+
+def oos_coefficients(ic: DataFrame, composite_ic: DataFrame, signals: DataFrame) -> DataFrame:
+    """(strategy_id, fold_id, trade_date, rank_ic) of the champion in each fold and of the composites."""
+    dates = signals.select("fold_id", "champion", F.col("signal_date").alias("trade_date"))
+    own = ic.join(dates, "trade_date").filter(F.col("factor") == F.col("champion")).select(F.lit(specs.CHAMPION).alias("strategy_id"), "fold_id", "trade_date", "rank_ic")
+    return own.unionByName(composite_ic.join(dates, "trade_date").select(F.col("factor").alias("strategy_id"), "fold_id", "trade_date", "rank_ic"))
+
+
+def oos_metrics(daily: DataFrame, coefficients: DataFrame) -> DataFrame:
     """Metrics by fold and pooled: long-short compounds to periods (12 a year), other legs are daily (252).
 
-    The Sharpe ratio is mean over deviation.
+    The Sharpe ratio is mean over deviation; the information ratio is that of daily excess returns, of a year of 252 days.
     """
-    both = daily.withColumn("scope", F.explode(F.array(F.lit("fold"), F.lit("pooled")))).withColumn("fold_id", F.when(F.col("scope") == "fold", F.col("fold_id")).otherwise("ALL"))
+    scopes = F.explode(F.array(F.lit("fold"), F.lit("pooled")))
+    fold = F.when(F.col("scope") == "fold", F.col("fold_id")).otherwise("ALL")
+    both = daily.withColumn("scope", scopes).withColumn("fold_id", fold)
     keys = ("scope", "fold_id", "strategy_id", "portfolio_leg")
     is_pair = F.col("portfolio_leg") == "long_short"
     point = F.when(is_pair, F.col("signal_date")).otherwise(F.col("trade_date"))
-    points = both.groupBy(*keys, point.alias("point")).agg(quantise(compound("net_return"), 10).alias("r"), F.min("trade_date").alias("trade_date"), F.max("trade_date").alias("last"), F.sum("turnover").alias("turnover"), F.sum("transaction_cost").alias("cost"), F.max("benchmark_return").alias("b"), F.max("excess_return").alias("x"))
-    walked = nav(points, keys, "r")
+    points = both.groupBy(*keys, point.alias("point")).agg(quantise(compound("net_return"), 10).alias("r"), F.min("trade_date").alias("trade_date"))
     year = F.when(is_pair, F.lit(12.0)).otherwise(F.lit(252.0))
-    n = walked.groupBy(*keys).agg(
-        F.min("trade_date").alias("start_date"), F.max("last").alias("end_date"), F.count("*").alias("observation_count"), compound("r").alias("cumulative_return"), F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"), F.min("drawdown").alias("max_drawdown"),
-        F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.sum("cost").alias("total_transaction_cost"), annualised("b", 252).alias("_b"), divide(F.avg("x"), F.nullif(F.stddev_pop("x"), F.lit(0.0))).alias("_ir"),
+    walked = nav(points, keys, "r").groupBy(*keys).agg(
+        F.count("*").alias("observation_count"), compound("r").alias("cumulative_return"), F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"), F.min("drawdown").alias("max_drawdown"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate")
+    )
+    deviation = F.stddev_pop("excess_return")
+    by_day = both.groupBy(*keys).agg(
+        F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), divide(F.sum("turnover"), F.countDistinct("signal_date")).alias("average_period_turnover"), F.sum("transaction_cost").alias("total_transaction_cost"),
+        annualised("benchmark_return", 252).alias("_b"), (F.when(deviation > 1e-12, F.avg("excess_return") / deviation) * math.sqrt(252)).alias("information_ratio"),
     )
+    known = coefficients.withColumn("scope", scopes).withColumn("fold_id", fold).groupBy("scope", "fold_id", "strategy_id").agg(F.avg("rank_ic").alias("rank_ic_mean"), F.count("rank_ic").alias("rank_ic_periods"))
     annual = F.pow(1.0 + F.col("cumulative_return"), year / F.col("observation_count")) - 1.0
-    return n.select(
-        *keys, "start_date", "end_date", "observation_count", annual.alias("annual_return"), (F.col("_s") * F.sqrt(year)).alias("annual_volatility"),
-        F.when(F.col("_s") > 1e-12, divide("_m", "_s") * F.sqrt(year)).alias("sharpe"), "max_drawdown", "win_rate", "cumulative_return", "total_transaction_cost",
-        F.when(is_pair, F.lit(0.0)).otherwise(F.col("_b")).alias("benchmark_annual_return"), F.when(is_pair, annual).otherwise(annual - F.col("_b")).alias("excess_annual_return"),
-        F.when(~is_pair, F.col("_ir") * math.sqrt(252)).alias("information_ratio"),
+    return walked.join(by_day, list(keys)).join(known, ["scope", "fold_id", "strategy_id"], "left").select(
+        *keys, F.when(is_pair, "monthly").otherwise("daily").alias("metric_frequency"), "start_date", "end_date", "observation_count", annual.alias("annual_return"), (F.col("_s") * F.sqrt(year)).alias("annual_volatility"),
+        F.when(F.col("_s") > 1e-12, divide("_m", "_s") * F.sqrt(year)).alias("sharpe"), "max_drawdown", "win_rate", "cumulative_return", "average_period_turnover", "total_transaction_cost",
+        F.when(is_pair, F.lit(0.0)).otherwise(F.col("_b")).alias("benchmark_annual_return"), F.when(is_pair, annual).otherwise(annual - F.col("_b")).alias("excess_annual_return"), "information_ratio",
+        "rank_ic_mean", F.coalesce("rank_ic_periods", F.lit(0)).alias("rank_ic_periods"),
     )

@@ -7,7 +7,7 @@ import re
 from quantlake.plans.research import CONFIG, DEVIATION_ROWS, END, LAG, MEAN_ROWS, OOS_START, PERIODS, START, WARMUP, YEAR
 from quantlake.sources.bridge import RELATIONS as BRIDGE
 from quantlake.sources.bridge import duckdb_sql
-from quantlake.specs import FACTORS, experiments
+from quantlake.specs import BENCHMARK, CHAMPION, COMPOSITE_EQUAL, COMPOSITE_ROLLING, FACTORS, experiments
 
 
 def q(x: str, digits: int = 10) -> str:
@@ -108,11 +108,11 @@ def composite(source: str, name: str, least: int, mean: str = "avg(neutralized_s
     return f"select '{name}' as factor, trade_date, ts_code, case when count(neutralized_score) >= {least} then {q(mean)} end as score, count(neutralized_score) as available_count from {source} group by trade_date, ts_code having count(neutralized_score) > 0"
 
 
-def weights_from(history: str) -> str:
-    return f"""select trade_date, factor, {q("case when total > 0 then raw / total else 1.0::double / n end", 12)} as weight, case when total > 0 then 'rolling_rankic' else 'fallback_equal' end as weight_source from (
-        select t.trade_date, f.factor, coalesce(raw, 0) as raw, sum(coalesce(raw, 0)) over (partition by t.trade_date) as total, count(*) over (partition by t.trade_date) as n
-        from (select distinct trade_date from executable) t cross join (select distinct factor from executable) f
-        left join (select target, factor, case when count(*) >= 6 then greatest(avg(rank_ic), 0) else 0 end as raw from (select *, row_number() over (partition by target, factor order by trade_date desc) as k from ({history})) where k <= 12 group by 1, 2) m on m.target = t.trade_date and m.factor = f.factor)"""
+def weights_from(history: str, scaffold: str = "(select distinct trade_date from executable) t cross join (select distinct factor from executable) f") -> str:
+    return f"""select trade_date, factor, {q("case when total > 0 then raw / total else 1.0::double / n end", 12)} as weight, case when total > 0 then 'rolling_rankic' else 'fallback_equal' end as weight_source, rank_ic_mean, rank_ic_periods from (
+        select e.trade_date, e.factor, m.rank_ic_mean, coalesce(m.periods, 0) as rank_ic_periods, case when periods >= 6 then greatest(rank_ic_mean, 0) else 0 end as raw, sum(case when periods >= 6 then greatest(rank_ic_mean, 0) else 0 end) over (partition by e.trade_date) as total, count(*) over (partition by e.trade_date) as n
+        from (select trade_date, factor from {scaffold}) e
+        left join (select target, factor, avg(rank_ic) as rank_ic_mean, count(*) as periods from (select *, row_number() over (partition by target, factor order by trade_date desc) as k from ({history})) where k <= 12 group by 1, 2) m on m.target = e.trade_date and m.factor = e.factor)"""
 
 
 def values(rows: list[tuple], names: str) -> str:
@@ -230,10 +230,10 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
         full join (select factor, avg(abs(active_weight)) as mean_abs_active, max(abs(active_weight)) as max_abs_active from industry_exposure group by 1) using (factor)
         left join (select factor, avg(portfolio_weight) as unknown_weight from industry_exposure where industry = 'Unknown' group by 1) using (factor)""",
     "neutral_ic": coefficients("executable", "neutralized_score"),
-    "equal_composite": composite("executable", "Equal", 6),
+    "equal_composite": composite("executable", COMPOSITE_EQUAL, 6),
     "naive_weights": weights_from("select i.*, t.trade_date as target from neutral_ic i join (select distinct trade_date from executable) t on i.trade_date < t.trade_date where rank_ic is not null"),
-    "pit_weights": weights_from("select i.*, t.trade_date as target from neutral_ic i join periods p on p.signal_date = i.trade_date join (select distinct trade_date from executable) t on p.next_exec_date <= t.trade_date where rank_ic is not null"),
-    "rolling_composite": composite("(select * from executable join pit_weights using (trade_date, factor))", "Rolling_RankIC", 6, "sum(neutralized_score * weight) / nullif(sum(case when neutralized_score is not null then weight end), 0)"),
+    "pit_weights": weights_from("select i.*, t.trade_date as target from neutral_ic i join periods p on p.signal_date = i.trade_date join (select distinct trade_date from executable) t on p.next_exec_date <= t.trade_date where rank_ic is not null", "(select distinct trade_date, factor from executable where neutralized_score is not null)"),
+    "rolling_composite": composite("(select * from executable join pit_weights using (trade_date, factor))", COMPOSITE_ROLLING, 6, "sum(neutralized_score * weight) / nullif(sum(case when neutralized_score is not null then weight end), 0)"),
     "grouped_composite": f"select 'Grouped' as factor, trade_date, ts_code, case when count(*) >= 5 then {q('avg(group_score)')} end as score, count(*) as available_count from {_GROUP_SCORES} group by 2, 3",
     "composite_scores": "select * from equal_composite union all select * from rolling_composite",
     "composite_coverage": "select factor, count(*) as signal_count, avg(valid) as average_valid_stocks, min(valid) as min_valid_stocks, avg(components) as average_components from (select factor, trade_date, count(score) as valid, avg(available_count) as components from composite_scores group by 1, 2) group by 1",
@@ -256,25 +256,52 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
     "candidates": f"""select *, case when is_eligible then row_number() over (partition by fold_id, is_eligible order by validation_sharpe desc nulls last, validation_average_two_leg_turnover nulls last, validation_rankic_mean desc nulls last, factor) end as selection_rank from (
         select *, why = '' as is_eligible, case when why = '' then 'eligible' else why end as eligibility_reason from (select *, concat_ws('|', case when train_rankic_periods < {CONFIG.min_train_rankic} then 'insufficient_train_rankic' end, case when validation_return_periods < {CONFIG.min_validation_returns} then 'insufficient_validation_returns' end, case when validation_sharpe is null then 'invalid_validation_sharpe' end) as why
         from (select f.fold_id, n.factor, coalesce(train_rankic_periods, 0) as train_rankic_periods, train_rankic_mean, coalesce(validation_rankic_periods, 0) as validation_rankic_periods, validation_rankic_mean, coalesce(validation_return_periods, 0) as validation_return_periods, validation_return_mean, validation_sharpe, validation_average_two_leg_turnover
-              from fold_frame f cross join (select distinct factor from neutral_ic) n
+              from (select * from fold_frame where status = 'complete') f cross join (select distinct factor from neutral_ic) n
               left join (select fold_id, factor, count(rank_ic) filter (where part = 'train') as train_rankic_periods, avg(rank_ic) filter (where part = 'train') as train_rankic_mean, count(rank_ic) filter (where part = 'validation') as validation_rankic_periods, {q("avg(rank_ic) filter (where part = 'validation')")} as validation_rankic_mean from neutral_ic join fold_dates using (trade_date) where part <> 'oos' group by 1, 2) i using (fold_id, factor)
               left join (select fold_id, factor, count(net_long_short_return) as validation_return_periods, avg(net_long_short_return) as validation_return_mean, {q("case when stddev_pop(net_long_short_return) > 1e-12 then avg(net_long_short_return) / stddev_pop(net_long_short_return) * sqrt(12.0::double) end", 8)} as validation_sharpe, {q("avg(two_leg_turnover)")} as validation_average_two_leg_turnover from ls_periods join fold_dates using (trade_date) where part = 'validation' group by 1, 2) l using (fold_id, factor))))""",
-    "oos_weights": f"""with s as (select * from composite_scores where trade_date in (select trade_date from fold_dates where part = 'oos'))
-        select factor || '|' || case decile when 1 then 'd1' else 'd10' end as factor, trade_date, ts_code, 1.0::double / count(*) over (partition by factor, trade_date, decile) as weight from ({layers("s")}) where decile in (1, 10)
-        union all select factor || '|top20', trade_date, ts_code, weight from ({top_quantile("s")})""",
+    "composite_ic": coefficients("composite_scores", "score"),
+    # The path as recursion over the folds in order: the incumbent is whoever held the last fold that had a holder.
+    "champions": f"""with recursive f as (select fold_id, row_number() over (order by fold_id) as k from fold_frame where status = 'complete'),
+        best as (select fold_id, factor, validation_sharpe as sharpe from candidates where selection_rank = 1),
+        path(k, fold_id, before, champion, after, reason) as (select 0::bigint, null::varchar, null::varchar, null::varchar, null::varchar, null::varchar union all
+            select f.k, f.fold_id, p.after, x.champion, coalesce(x.champion, p.after), x.reason from path p join f on f.k = p.k + 1, lateral (
+                select case when b.factor is null then null when h.factor is null or (b.factor <> p.after and b.sharpe >= h.validation_sharpe + {CONFIG.switch_margin}) then b.factor else p.after end as champion,
+                       case when b.factor is null then 'no_eligible_factor' when p.after is null then 'initial_champion' when h.factor is null then 'incumbent_ineligible' when b.factor = p.after then 'incumbent_remains_best'
+                            when b.sharpe >= h.validation_sharpe + {CONFIG.switch_margin} then 'challenger_margin_met' else 'incumbent_retained_by_margin' end as reason
+                from (select 1) one left join best b on b.fold_id = f.fold_id left join candidates h on h.fold_id = f.fold_id and h.factor = p.after and h.is_eligible) x)
+        select fold_id, before as incumbent_before, champion, reason as decision_reason from path where k > 0""",
+    "selection_log": """select fold_id, factor, is_eligible, selection_rank, incumbent_before, coalesce(factor = champion, false) as selected, case when factor = champion or decision_reason = 'no_eligible_factor' then decision_reason else 'not_selected' end as decision_reason, decision_reason as fold_decision_reason
+        from candidates join champions using (fold_id)""",
+    "oos_signals": "select fold_id, decision_signal_date, champion, trade_date as signal_date from fold_frame join champions using (fold_id) join fold_dates using (fold_id) where status = 'complete' and champion is not null and part = 'oos'",
+    "oos_inputs": f"""select '{CHAMPION}' as factor, trade_date, ts_code, neutralized_score as score from executable join oos_signals on factor = champion and trade_date = signal_date
+        union all select factor, trade_date, ts_code, score from composite_scores join oos_signals on trade_date = signal_date""",
+    "factor_weights": f"""with known as (select o.*, (select max(p.next_exec_date) from periods p where p.next_exec_date <= o.signal_date) as as_of from oos_signals o)
+        select fold_id, signal_date, '{CHAMPION}' as strategy_id, champion as source_factor, 1.0::double as weight, 'selected_champion' as weight_source, decision_signal_date as weight_as_of_date, null::double as rank_ic_mean, null::bigint as rank_ic_periods from oos_signals
+        union all select fold_id, signal_date, '{COMPOSITE_EQUAL}', factor, {q("1.0::double / count(*) over (partition by signal_date)", 12)}, 'equal', as_of, null, 0 from known join pit_weights on trade_date = signal_date
+        union all select fold_id, signal_date, '{COMPOSITE_ROLLING}', factor, weight, weight_source, as_of, rank_ic_mean, rank_ic_periods from known join pit_weights on trade_date = signal_date""",
+    "oos_weights": f"""select factor || '|' || case decile when 1 then 'd1' else 'd10' end as factor, trade_date, ts_code, 1.0::double / count(*) over (partition by factor, trade_date, decile) as weight from ({layers("oos_inputs")}) where decile in (1, 10)
+        union all select factor || '|top20', trade_date, ts_code, weight from ({top_quantile("oos_inputs")})""",
     "oos_turnover": turnover("oos_weights"),
     "oos_backtest": backtest("oos_weights", "oos_turnover", 0.0),
-    "oos_daily": f"""with legs as (select split_part(b.factor, '|', 1) as strategy_id, split_part(b.factor, '|', 2) as portfolio_leg, signal_date, b.trade_date, portfolio_return as gross_return, case when row_number() over (partition by b.factor, signal_date order by b.trade_date) = 1 then turnover else 0 end as turnover from oos_backtest b join oos_turnover t on t.factor = b.factor and t.trade_date = signal_date),
-        every as (select *, turnover * {CONFIG.cost}::double as transaction_cost from legs union all select strategy_id, 'long_short', signal_date, trade_date, max(gross_return) filter (where portfolio_leg = 'd10') - max(gross_return) filter (where portfolio_leg = 'd1') as g, sum(turnover), sum(turnover * {CONFIG.cost}::double) from legs where portfolio_leg <> 'top20' group by 1, 3, 4 having g is not null)
-        select fold_id, strategy_id, portfolio_leg, signal_date, e.trade_date, gross_return, turnover, transaction_cost, {q("gross_return - transaction_cost")} as net_return, case when portfolio_leg = 'long_short' then 0 else coalesce(benchmark_return, 0) end as benchmark_return,
-               {q("gross_return - transaction_cost")} - case when portfolio_leg = 'long_short' then 0 else coalesce(benchmark_return, 0) end as excess_return
-        from every e join (select fold_id, trade_date as signal_date from fold_dates where part = 'oos') using (signal_date) left join benchmark b on b.trade_date = e.trade_date""",
-    "oos_metrics": f"""with points as (select scope, case when scope = 'fold' then fold_id else 'ALL' end as fold_id, strategy_id, portfolio_leg, case when portfolio_leg = 'long_short' then signal_date else trade_date end as point, {q("product(1 + net_return) - 1")} as r, min(trade_date) as trade_date, max(trade_date) as last, sum(transaction_cost) as cost, max(benchmark_return) as b, max(excess_return) as x
-            from oos_daily cross join (values ('fold'), ('pooled')) s(scope) group by 1, 2, 3, 4, 5),
-        n as (select {_SIDES}, min(trade_date) as start_date, max(last) as end_date, count(*) as observation_count, product(1 + r) - 1 as cumulative_return, avg(r) as m, stddev_pop(r) as s, min(drawdown) as max_drawdown, avg((r > 0)::int::double) as win_rate, sum(cost) as total_transaction_cost, pow(product(1 + b), 252.0::double / count(b)) - 1 as b, avg(x) / nullif(stddev_pop(x), 0) as ir,
-                  case when portfolio_leg = 'long_short' then 12.0::double else 252 end as y from ({nav("points", _SIDES, "r")}) group by {_SIDES})
-        select {_SIDES}, start_date, end_date, observation_count, pow(1 + cumulative_return, y / observation_count) - 1 as annual_return, s * sqrt(y) as annual_volatility, case when s > 1e-12 then m / s * sqrt(y) end as sharpe, max_drawdown, win_rate, cumulative_return, total_transaction_cost,
-               case when y = 12 then 0 else b end as benchmark_annual_return, pow(1 + cumulative_return, y / observation_count) - 1 - case when y = 12 then 0 else b end as excess_annual_return, case when y <> 12 then ir * sqrt(252.0::double) end as information_ratio from n""",
+    "oos_daily": f"""with legs as (select split_part(b.factor, '|', 1) as strategy_id, split_part(b.factor, '|', 2) as portfolio_leg, signal_date, b.trade_date, portfolio_return as gross_return, case when row_number() over (partition by b.factor, signal_date order by b.trade_date) = 1 then turnover else 0 end as turnover, suspended_count, invalid_missing_count from oos_backtest b join oos_turnover t on t.factor = b.factor and t.trade_date = signal_date),
+        every as (select *, turnover * {CONFIG.cost}::double as transaction_cost from legs union all by name select strategy_id, 'long_short' as portfolio_leg, signal_date, trade_date, max(gross_return) filter (where portfolio_leg = 'd10') - max(gross_return) filter (where portfolio_leg = 'd1') as gross_return, sum(turnover) as turnover,
+            sum(turnover * {CONFIG.cost}::double) as transaction_cost, sum(suspended_count)::bigint as suspended_count, sum(invalid_missing_count)::bigint as invalid_missing_count from legs where portfolio_leg <> 'top20' group by 1, 3, 4 having max(gross_return) filter (where portfolio_leg = 'd10') is not null and max(gross_return) filter (where portfolio_leg = 'd1') is not null),
+        rows as (select fold_id, strategy_id, portfolio_leg, signal_date, e.trade_date, case when strategy_id = '{CHAMPION}' then 'champion_single' else 'multifactor' end as strategy_type, champion as selected_factor, gross_return, turnover, transaction_cost, {q("gross_return - transaction_cost")} as net_return, coalesce(benchmark_return, 0) as benchmark_return,
+               {q("gross_return - transaction_cost")} - case when portfolio_leg = 'long_short' then 0 else coalesce(benchmark_return, 0) end as excess_return, suspended_count, invalid_missing_count
+            from every e join oos_signals using (signal_date) left join benchmark b on b.trade_date = e.trade_date)
+        select * from rows union all select distinct fold_id, '{BENCHMARK}', 'benchmark', signal_date, trade_date, 'benchmark', null, benchmark_return, 0, 0, benchmark_return, benchmark_return, 0, 0, 0 from rows""",
+    "oos_duplicates": "select fold_id, trade_date, strategy_id, portfolio_leg, count(*) as n from oos_daily group by 1, 2, 3, 4 having count(*) > 1",
+    "oos_ic": f"""select '{CHAMPION}' as strategy_id, fold_id, trade_date, rank_ic from neutral_ic join oos_signals on trade_date = signal_date and factor = champion
+        union all select factor, fold_id, trade_date, rank_ic from composite_ic join oos_signals on trade_date = signal_date""",
+    "oos_metrics": f"""with scoped as (select *, case when scope = 'fold' then fold_id else 'ALL' end as f from oos_daily cross join (values ('fold'), ('pooled')) s(scope)),
+        points as (select scope, f as fold_id, strategy_id, portfolio_leg, case when portfolio_leg = 'long_short' then signal_date else trade_date end as point, {q("product(1 + net_return) - 1")} as r, min(trade_date) as trade_date from scoped group by 1, 2, 3, 4, 5),
+        n as (select {_SIDES}, count(*) as observation_count, product(1 + r) - 1 as cumulative_return, avg(r) as m, stddev_pop(r) as s, min(drawdown) as max_drawdown, avg((r > 0)::int::double) as win_rate, case when portfolio_leg = 'long_short' then 12.0::double else 252 end as y from ({nav("points", _SIDES, "r")}) group by {_SIDES}),
+        d as (select scope, f as fold_id, strategy_id, portfolio_leg, min(trade_date) as start_date, max(trade_date) as end_date, sum(turnover) / count(distinct signal_date) as average_period_turnover, sum(transaction_cost) as total_transaction_cost, pow(product(1 + benchmark_return), 252.0::double / count(*)) - 1 as b,
+                  case when stddev_pop(excess_return) > 1e-12 then avg(excess_return) / stddev_pop(excess_return) * sqrt(252.0::double) end as information_ratio from scoped group by 1, 2, 3, 4),
+        c as (select scope, case when scope = 'fold' then fold_id else 'ALL' end as fold_id, strategy_id, avg(rank_ic) as rank_ic_mean, count(rank_ic) as rank_ic_periods from oos_ic cross join (values ('fold'), ('pooled')) s(scope) group by 1, 2, 3)
+        select {_SIDES}, case when y = 12 then 'monthly' else 'daily' end as metric_frequency, start_date, end_date, observation_count, pow(1 + cumulative_return, y / observation_count) - 1 as annual_return, s * sqrt(y) as annual_volatility, case when s > 1e-12 then m / s * sqrt(y) end as sharpe, max_drawdown, win_rate, cumulative_return,
+               average_period_turnover, total_transaction_cost, case when y = 12 then 0 else b end as benchmark_annual_return, pow(1 + cumulative_return, y / observation_count) - 1 - case when y = 12 then 0 else b end as excess_annual_return, information_ratio, rank_ic_mean, coalesce(rank_ic_periods, 0) as rank_ic_periods
+        from n join d using ({_SIDES}) left join c using (scope, fold_id, strategy_id)""",
     "strategies": f"""select e.strategy_id as factor, e.trade_date, e.ts_code, g.score, coalesce(g.available_count, 0) as available_count from (select distinct trade_date, ts_code, strategy_id from executable cross join (select distinct strategy_id from {_STRATEGIES}) where neutralized_score is not null) e
         left join (select strategy_id, trade_date, ts_code, case when count(*) >= first(min_count) then {q("avg(neutralized_score)")} end as score, count(*) as available_count from executable join {_STRATEGIES} using (factor) where neutralized_score is not null group by 1, 2, 3) g using (strategy_id, trade_date, ts_code)
         union all select 'grouped', trade_date, ts_code, score, available_count from grouped_composite""",

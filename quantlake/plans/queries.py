@@ -71,8 +71,8 @@ SPECS: tuple[tuple[str, str, str, str], ...] = (
     ("f13_executable", "executable", "factor trade_date ts_code", "neutralized_score"),
     ("g2_neutral_ic", "neutral_ic", "factor trade_date sample_count", "ic rank_ic"),
     ("m1_equal_composite", "equal_composite", "factor trade_date ts_code available_count", "score"),
-    ("m2_naive_weights", "naive_weights", "trade_date factor weight_source", "weight"),
-    ("k6_pit_weights", "pit_weights", "trade_date factor weight_source", "weight"),
+    ("m2_naive_weights", "naive_weights", "trade_date factor weight_source rank_ic_periods", "weight rank_ic_mean"),
+    ("k6_pit_weights", "pit_weights", "trade_date factor weight_source rank_ic_periods", "weight rank_ic_mean"),
     ("m3_rolling_composite", "rolling_composite", "factor trade_date ts_code available_count", "score"),
     ("c4_grouped_composite", "grouped_composite", "factor trade_date ts_code available_count", "score"),
     ("m1_composite_scores", "composite_scores", "factor trade_date ts_code available_count", "score"),
@@ -85,8 +85,16 @@ SPECS: tuple[tuple[str, str, str, str], ...] = (
     ("k3_fold_dates", "fold_dates", "fold_id part trade_date", ""),
     ("k4_ls_periods", "ls_periods", "factor trade_date", "gross_long_short_return two_leg_turnover transaction_cost net_long_short_return"),
     ("k5_candidates", "candidates", "fold_id factor train_rankic_periods validation_rankic_periods validation_return_periods is_eligible eligibility_reason selection_rank", "train_rankic_mean validation_rankic_mean validation_return_mean validation_sharpe validation_average_two_leg_turnover"),
-    ("k8_oos_daily", "oos_daily", "fold_id strategy_id portfolio_leg signal_date trade_date", "gross_return turnover transaction_cost net_return benchmark_return excess_return"),
-    ("k9_oos_metrics", "oos_metrics", "scope fold_id strategy_id portfolio_leg start_date end_date observation_count", "annual_return annual_volatility sharpe max_drawdown win_rate cumulative_return total_transaction_cost benchmark_annual_return excess_annual_return information_ratio"),
+    ("k11_champions", "champions", "fold_id incumbent_before champion decision_reason", ""),
+    ("k5_selection_log", "selection_log", "fold_id factor is_eligible selection_rank incumbent_before selected decision_reason fold_decision_reason", ""),
+    ("k7_oos_signals", "oos_signals", "fold_id decision_signal_date champion signal_date", ""),
+    ("k7_oos_inputs", "oos_inputs", "factor trade_date ts_code", "score"),
+    ("k7_factor_weights", "factor_weights", "fold_id signal_date strategy_id source_factor weight_source weight_as_of_date rank_ic_periods", "weight rank_ic_mean"),
+    ("k7_composite_ic", "composite_ic", "factor trade_date sample_count", "ic rank_ic"),
+    ("k8_oos_daily", "oos_daily", "fold_id strategy_id portfolio_leg signal_date trade_date strategy_type selected_factor suspended_count invalid_missing_count", "gross_return turnover transaction_cost net_return benchmark_return excess_return"),
+    ("a27_oos_duplicates", "oos_duplicates", "fold_id trade_date strategy_id portfolio_leg n", ""),
+    ("k9_oos_ic", "oos_ic", "strategy_id fold_id trade_date", "rank_ic"),
+    ("k9_oos_metrics", "oos_metrics", "scope fold_id strategy_id portfolio_leg metric_frequency start_date end_date observation_count rank_ic_periods", "annual_return annual_volatility sharpe max_drawdown win_rate cumulative_return average_period_turnover total_transaction_cost benchmark_annual_return excess_annual_return information_ratio rank_ic_mean"),
     ("c3_strategies", "strategies", "factor trade_date ts_code available_count", "score"),
     ("c5_group_correlation", "group_correlation", "group_a group_b dates", "correlation"),
     ("c3_strategy_ic", "strategy_ic", "factor trade_date sample_count", "ic rank_ic"),
@@ -236,13 +244,8 @@ STORAGE_SQL: dict[str, str] = {
 }
 
 
-def champions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The incumbent's path over the folds: sequential, so tested against its rule and not in SQL."""
-    return research(spark, sf_dir)["champions"]
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q: _relation(name, keys, doubles) for q, name, keys, doubles in SPECS if name in RELATIONS} | STORAGE | {"k11_champions": champions}
+    return {q: _relation(name, keys, doubles) for q, name, keys, doubles in SPECS if name in RELATIONS} | STORAGE
 
 
 def oracle_sql() -> dict[str, str]:

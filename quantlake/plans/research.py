@@ -41,9 +41,11 @@ def forget() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own where the session names none (tests)."""
+    """The folder that driver and executors share; one of our own in local mode where the session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="quantlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -54,7 +56,7 @@ class Research:
     LAZY = frozenset(
         "union_by_name adjusted open_days periods f_roe f_growth f_debt f_margin f_pe f_yield f_momentum f_turnover f_volatility f_inflow f_holders period_days nav performance "
         "neutral_performance comparison coverage monthly yearly ic_summary decile_summary long_short_metrics long_short_yearly exposure_summary naive_weights composite_coverage "
-        "layer_nav layer_profile fold_dates champions oos_metrics group_correlation stability paired_tests newey_west annual_stability "
+        "layer_nav layer_profile fold_dates champions selection_log factor_weights oos_duplicates oos_ic oos_metrics group_correlation stability paired_tests newey_west annual_stability "
         "trade_cal index_daily stock_basic adj_factor index_member".split()
     )
 
@@ -112,7 +114,11 @@ def _fold_frame(r: Research) -> DataFrame:
 
 
 def _champions(r: Research) -> DataFrame:
-    return r.spark.createDataFrame(walkforward.champions(r["candidates"], CONFIG), "fold_id string, champion string, decision_reason string")
+    return r.spark.createDataFrame(walkforward.champions(r["candidates"], CONFIG), "fold_id string, incumbent_before string, champion string, decision_reason string")
+
+
+def _oos_daily(r: Research) -> DataFrame:
+    return walkforward.oos_daily(r["oos_inputs"], r["returns"], r["calendar"], r["oos_signals"], r["benchmark"], END, CONFIG, r["suspend_d"])
 
 
 def _strategies(r: Research) -> DataFrame:
@@ -200,7 +206,7 @@ RELATIONS: dict[str, Callable[[Research], DataFrame]] = {
     "neutral_ic": lambda r: diagnostics.information_coefficients(r["executable"], r["forward"], "neutralized_score"),
     "equal_composite": lambda r: composites.equal_composite(r["executable"], min_count=6),
     "naive_weights": lambda r: composites.rolling_weights(r["executable"], composites.naive_history(r["executable"], r["neutral_ic"])),
-    "pit_weights": lambda r: composites.rolling_weights(r["executable"], composites.point_in_time_history(r["executable"], r["neutral_ic"], r["calendar"])),
+    "pit_weights": lambda r: composites.rolling_weights(r["executable"], composites.point_in_time_history(r["executable"], r["neutral_ic"], r["calendar"]), of_date=True),
     "rolling_composite": lambda r: composites.weighted_composite(r["executable"], r["pit_weights"], min_count=6),
     "grouped_composite": lambda r: composites.grouped_composite(r["executable"]),
     "composite_scores": lambda r: r["equal_composite"].unionByName(r["rolling_composite"]),
@@ -214,8 +220,15 @@ RELATIONS: dict[str, Callable[[Research], DataFrame]] = {
     "ls_periods": lambda r: walkforward.long_short_periods(r["executable"].withColumnRenamed("neutralized_score", "score"), r["forward"], CONFIG),
     "candidates": lambda r: walkforward.candidates(r["neutral_ic"], r["ls_periods"], r["fold_frame"], CONFIG),
     "champions": _champions,
-    "oos_daily": lambda r: walkforward.oos_daily(r["composite_scores"], r["returns"], r["calendar"], r["fold_frame"], r["benchmark"], END, CONFIG, r["suspend_d"]),
-    "oos_metrics": lambda r: walkforward.oos_metrics(r["oos_daily"]),
+    "selection_log": lambda r: walkforward.selection_log(r["candidates"], r["champions"]),
+    "oos_signals": lambda r: walkforward.oos_signals(r["fold_frame"], r["champions"]),
+    "oos_inputs": lambda r: walkforward.oos_inputs(r["executable"], r["composite_scores"], r["oos_signals"]),
+    "factor_weights": lambda r: walkforward.factor_weights(r["oos_signals"], r["pit_weights"], r["calendar"]),
+    "composite_ic": lambda r: diagnostics.information_coefficients(r["composite_scores"], r["forward"]),
+    "oos_ic": lambda r: walkforward.oos_coefficients(r["neutral_ic"], r["composite_ic"], r["oos_signals"]),
+    "oos_daily": _oos_daily,
+    "oos_duplicates": lambda r: walkforward.duplicate_oos_keys(r["oos_daily"]),
+    "oos_metrics": lambda r: walkforward.oos_metrics(walkforward.require_unique_oos(r["oos_daily"]), r["oos_ic"]),
     "strategies": _strategies,
     "group_correlation": lambda r: marginal.group_correlation(r["executable"]),
     "strategy_ic": lambda r: diagnostics.information_coefficients(r["strategies"], r["forward"]),

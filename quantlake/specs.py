@@ -32,12 +32,26 @@ _CODE_DATE = ("ts_code", "trade_date")
 _STATEMENT = ("ts_code", "ann_date", "f_ann_date", "end_date", "report_type", "comp_type", "end_type", "update_flag")
 _HOLDER = ("ts_code", "ann_date", "end_date", "holder_name")
 
+#: What the datasets are asked for.
+STOCK_FIELDS = ("ts_code", "symbol", "name", "area", "industry", "market", "exchange", "list_status", "list_date", "delist_date", "is_hs", "act_name", "act_ent_type")
+LIST_STATUSES = ("L", "D", "P")
+INDEX_MARKETS = ("SSE", "SZSE", "CSI", "CICC", "SW", "OTH")
+INDEX_CODES = ("000001.SH", "399001.SZ", "399006.SZ", "000300.SH", "000905.SH", "000852.SH", "000985.CSI")
+WEIGHTED_INDEX_CODES = ("000300.SH", "000905.SH", "000852.SH", "000985.CSI")
+INDUSTRY_LEVELS = ("L1", "L2", "L3")
+
+
+def _sets(name: str, values: tuple[str, ...], **more: str) -> tuple[dict, ...]:
+    """One set of parameters for each value."""
+    return tuple({name: v} | more for v in values)
+
+
 #: Keys, fetch strategies and chunk sizes of the datasets.
 DATASETS: dict[str, DatasetSpec] = {
     d.name: d
     for d in (
-        DatasetSpec("stock_basic", ("ts_code",), "param_sets", "static", param_sets=({"list_status": "L"}, {"list_status": "D"}, {"list_status": "P"})),
-        DatasetSpec("trade_cal", ("exchange", "cal_date"), "range", "market", "cal_date", 366),
+        DatasetSpec("stock_basic", ("ts_code",), "param_sets", "static", param_sets=_sets("list_status", LIST_STATUSES), fields=STOCK_FIELDS),
+        DatasetSpec("trade_cal", ("exchange", "cal_date"), "range", "market", "cal_date", 366, default_params={"exchange": "SSE"}),
         DatasetSpec("namechange", ("ts_code", "name", "start_date", "end_date", "ann_date", "change_reason"), "paged", "static"),
         DatasetSpec("stock_company", ("ts_code",), "static", "static"),
         DatasetSpec("daily", _CODE_DATE, "range", "market", "trade_date", 1),
@@ -54,10 +68,10 @@ DATASETS: dict[str, DatasetSpec] = {
         DatasetSpec("top10_floatholders", _HOLDER, "paged_range", "corporate", "ann_date", 31),
         DatasetSpec("moneyflow", _CODE_DATE, "range", "market", "trade_date", 1),
         DatasetSpec("top_list", ("trade_date", "_row_no"), "daily", "trading", "trade_date", 1),
-        DatasetSpec("index_basic", ("ts_code",), "param_sets", "static", param_sets=tuple({"market": m} for m in ("CSI", "SSE", "SZSE", "CICC", "SW", "OTH"))),
-        DatasetSpec("index_daily", _CODE_DATE, "param_sets_range", "market", "trade_date", 366),
-        DatasetSpec("index_weight", ("index_code", "con_code", "trade_date"), "param_sets_range", "benchmark", "trade_date", 31),
-        DatasetSpec("index_classify", ("index_code", "industry_name", "level", "src"), "param_sets", "industry", param_sets=tuple({"level": x, "src": "SW2021"} for x in ("L1", "L2", "L3"))),
+        DatasetSpec("index_basic", ("ts_code",), "param_sets", "static", param_sets=_sets("market", INDEX_MARKETS)),
+        DatasetSpec("index_daily", _CODE_DATE, "param_sets_range", "market", "trade_date", 366, param_sets=_sets("ts_code", INDEX_CODES)),
+        DatasetSpec("index_weight", ("index_code", "con_code", "trade_date"), "param_sets_range", "benchmark", "trade_date", 31, param_sets=_sets("index_code", WEIGHTED_INDEX_CODES)),
+        DatasetSpec("index_classify", ("index_code", "industry_name", "level", "src"), "param_sets", "industry", param_sets=_sets("level", INDUSTRY_LEVELS, src="SW2021")),
         DatasetSpec("index_member_all", ("ts_code", "l1_code", "l2_code", "l3_code", "in_date", "out_date"), "paged", "industry"),
     )
 }
@@ -111,6 +125,21 @@ FACTORS = (
     FactorSpec("Holder_Concen", 1, "Ownership"),
     FactorSpec("Gross_Margin", 1, "Quality"),
 )
+#: Names of composites and out-of-sample strategies, and codes of reasons.
+COMPOSITE_EQUAL = "Composite_Equal"
+COMPOSITE_ROLLING = "Composite_RollingRankIC"
+CHAMPION = "Champion_SingleFactor"
+BENCHMARK = "Benchmark_000985_CSI"
+BENCHMARK_CODE = "000985.CSI"
+NO_CANDIDATE, FIRST, LOST, STAYS, BEATEN, KEPT, NOT_SELECTED = (
+    "no_eligible_factor",
+    "initial_champion",
+    "incumbent_ineligible",
+    "incumbent_remains_best",
+    "challenger_margin_met",
+    "incumbent_retained_by_margin",
+    "not_selected",
+)
 FIXED_POOL = ("PE_TTM", "Dividend_Yield", "Volatility", "Main_Net_In")
 
 
