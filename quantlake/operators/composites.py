@@ -65,7 +65,7 @@ def rolling_weights(scores: DataFrame, history: DataFrame, window: int = 12, min
 
 def weighted_composite(scores: DataFrame, weights: DataFrame, name: str = COMPOSITE_ROLLING, min_count: int = 1, score: str = "neutralized_score") -> DataFrame:
     """Weighted mean over the factors that a security has, weights scaled to them."""
-    rows = scores.join(F.broadcast(weights.select("trade_date", "factor", "weight")), ["trade_date", "factor"])
+    rows = scores.join(weights.select("trade_date", "factor", "weight"), ["trade_date", "factor"])
     n, w = F.count(score), F.sum(F.when(F.col(score).isNotNull(), F.col("weight")))
     mean = F.try_divide(F.sum(F.col(score) * F.col("weight")), F.nullif(w, F.lit(0.0)))
     out = rows.groupBy("trade_date", "ts_code").agg(F.when(n >= min_count, quantise(mean, SCORE_DIGITS)).alias("score"), n.alias("available_count"))

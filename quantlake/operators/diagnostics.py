@@ -15,7 +15,8 @@ def forward_returns(returns: DataFrame, calendar: DataFrame, end: str, codes: Da
     """Compounded return of each security over each holding period.
 
     A day without a return counts 0 where the security is suspended, and otherwise makes the period's return NULL.  What is
-    missing is counted as days of the period less days with a return, so the scaffold of securities and days is never built.
+    missing is counted as days of the period less days with a return: there is a row for each security and period, as asked
+    for, but none for each security and day.
     """
     days = period_days(returns, calendar, end)
     length = days.groupBy("signal_date", "exec_date").agg(F.count("*").alias("holding_days"))

@@ -48,11 +48,11 @@ def turnover(weights: DataFrame) -> DataFrame:
     days = weights.select("factor", "trade_date").distinct()
     order = Window.partitionBy("factor").orderBy("trade_date")
     days = days.withColumns({"next_date": F.lead("trade_date").over(order), "is_first": F.lag("trade_date").over(order).isNull()})
-    out = weights.join(F.broadcast(days.select("factor", "trade_date", "next_date")), ["factor", "trade_date"])
+    out = weights.join(days.select("factor", "trade_date", "next_date"), ["factor", "trade_date"])
     left = out.filter(F.col("next_date").isNotNull()).select("factor", F.col("next_date").alias("trade_date"), "ts_code", (-F.col("weight")).alias("weight"))
     change = weights.select("factor", "trade_date", "ts_code", "weight").unionByName(left).groupBy("factor", "trade_date", "ts_code").agg(F.sum("weight").alias("d"))
     total = change.groupBy("factor", "trade_date").agg((F.sum(F.abs("d")) / 2.0).alias("t"))
-    return total.join(F.broadcast(days), ["factor", "trade_date"]).select("factor", "trade_date", quantise(F.when(F.col("is_first"), F.lit(1.0)).otherwise(F.col("t")), 10).alias("turnover"))
+    return total.join(days, ["factor", "trade_date"]).select("factor", "trade_date", quantise(F.when(F.col("is_first"), F.lit(1.0)).otherwise(F.col("t")), 10).alias("turnover"))
 
 
 def period_days(returns: DataFrame, calendar: DataFrame, end: str) -> DataFrame:
@@ -87,7 +87,7 @@ def backtest(weights: DataFrame, returns: DataFrame, calendar: DataFrame, end: s
         F.count_if(missing & F.col("_halted")).alias("suspended_count"),
         F.count_if(missing & ~F.col("_halted")).alias("invalid_missing_count"),
     )
-    charged = per_day.join(F.broadcast(turnover(weights).withColumnRenamed("trade_date", "signal_date")), ["factor", "signal_date"])
+    charged = per_day.join(turnover(weights).withColumnRenamed("trade_date", "signal_date"), ["factor", "signal_date"])
     first = F.row_number().over(Window.partitionBy("factor", "signal_date").orderBy("day")) == 1
     gross = F.coalesce(divide("_r", "_w"), F.lit(0.0))
     fee = F.when(first, F.col("turnover") * cost).otherwise(0.0)
@@ -110,7 +110,7 @@ def nav(daily: DataFrame, keys: tuple[str, ...] = ("factor",), value: str = "por
 
 def performance(daily: DataFrame, benchmark: DataFrame, turnovers: DataFrame, year: int = 252) -> DataFrame:
     """Metrics of each factor's daily returns; the Sharpe ratio is annual return over annual deviation."""
-    rows = nav(daily).join(F.broadcast(benchmark), "trade_date", "left").withColumn("b", F.coalesce("benchmark_return", F.lit(0.0)))
+    rows = nav(daily).join(benchmark, "trade_date", "left").withColumn("b", F.coalesce("benchmark_return", F.lit(0.0)))
     n = rows.groupBy("factor").agg(
         F.min("trade_date").alias("start_date"),
         F.max("trade_date").alias("end_date"),
@@ -127,7 +127,7 @@ def performance(daily: DataFrame, benchmark: DataFrame, turnovers: DataFrame, ye
         F.max(1.0 - F.col("active_weight")).alias("max_invalid_missing_weight"),
     )
     t = turnovers.groupBy("factor").agg(F.avg("turnover").alias("average_monthly_turnover"), (F.avg("turnover") * 12).alias("annualized_turnover"))
-    return n.join(F.broadcast(t), "factor", "left").withColumns(
+    return n.join(t, "factor", "left").withColumns(
         {"sharpe": divide("annual_return", F.nullif("annual_volatility", F.lit(0.0))), "excess_annual_return": F.col("annual_return") - F.col("benchmark_annual_return")}
     )
 

@@ -129,7 +129,7 @@ def _strategies(r: Research) -> DataFrame:
 def _top_daily(r: Research) -> DataFrame:
     weights = portfolio.top_quantile_weights(r["strategies"])
     daily = portfolio.backtest(weights, r["returns"], r["calendar"], END, CONFIG.cost, r["suspend_d"])
-    return daily.join(F.broadcast(r["benchmark"]), "trade_date", "left").withColumn("benchmark_return", F.coalesce("benchmark_return", F.lit(0.0)))
+    return daily.join(r["benchmark"], "trade_date", "left").withColumn("benchmark_return", F.coalesce("benchmark_return", F.lit(0.0)))
 
 
 def _newey_west(r: Research) -> DataFrame:
