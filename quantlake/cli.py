@@ -1,4 +1,4 @@
-"""Command line of the lake: status, validate, consolidate, repair, sync and sync-phased.
+"""Command line of the lake: init-db, status, validate, consolidate, repair, sync and sync-phased.
 
 Exit codes: 0 done, 1 a check or a chunk failed, 2 a wrong call.
 """
@@ -12,10 +12,12 @@ import sys
 from datetime import UTC, datetime
 from pathlib import Path
 
+from quantlake import config
 from quantlake.operators.views import open_trade_dates
 from quantlake.session import session
 from quantlake.sources import ingest, sinks
-from quantlake.sources.lake import Lake, validate
+from quantlake.sources.catalog import Catalog, status_of_known
+from quantlake.sources.lake import Lake
 from quantlake.specs import DATASETS, DatasetNotFoundError, dataset, group
 
 
@@ -28,9 +30,11 @@ def compact(day: str) -> str:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quantlake")
-    p.add_argument("--root", required=True, help="folder of the lake, on any store that Spark reads")
+    p.add_argument("--root", help="folder of the lake, on any store that Spark reads")
+    p.add_argument("--config", help="file with settings; --root, --start and --end go before it")
     p.add_argument("--adapter", help="module:callable that gives the data source's adapter")
     sub = p.add_subparsers(dest="verb", required=True)
+    sub.add_parser("init-db")
     sub.add_parser("status")
     for verb in ("validate", "consolidate-bronze", "repair-security-codes"):
         sub.add_parser(verb).add_argument("--dataset", action="append")
@@ -38,8 +42,8 @@ def parser() -> argparse.ArgumentParser:
         s = sub.add_parser(verb)
         s.add_argument("--dataset", action="append")
         s.add_argument("--group", default="all")
-        s.add_argument("--start", default="20150101")
-        s.add_argument("--end", default="today")
+        s.add_argument("--start")
+        s.add_argument("--end")
         s.add_argument("--bronze-only", action="store_true")
         s.add_argument("--dry-run", action="store_true")
         s.add_argument("--checkpoint", default="sync-checkpoint.json")
@@ -49,22 +53,27 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark=None, adapter=None) -> int:  # noqa: ANN001
     args = parser().parse_args(argv)
     try:
-        specs = [dataset(n) for n in args.dataset] if getattr(args, "dataset", None) else group(getattr(args, "group", "all"))
-        span = (compact(args.start), compact(args.end)) if args.verb.startswith("sync") else None
-    except (DatasetNotFoundError, ValueError) as error:
+        settings = config.load(args.config)
+        named = getattr(args, "dataset", None)
+        specs = [dataset(n) for n in named] if named else [d for d in group(getattr(args, "group", "all")) if settings.datasets.get(d.name, True)]
+        span = (compact(args.start or settings.default_start_date), compact(args.end or settings.default_end_date)) if args.verb.startswith("sync") else None
+    except (DatasetNotFoundError, ValueError, OSError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2
-    lake = Lake(spark or session(), args.root)
+    lake = Lake(spark or session(), args.root or settings.data_root)
+    catalog = Catalog(lake)
+    if args.verb == "init-db":
+        catalog.init()
+        return 0
     if args.verb == "status":
-        rows = lake.table("catalog/sync_status")
-        for r in rows.orderBy("dataset").collect() if rows is not None else ():
+        for r in status_of_known(catalog.table("sync_status"), catalog.table("dataset_catalog")).orderBy("dataset").collect():
             print(json.dumps(r.asDict(), default=str))
         return 0
     if args.verb == "validate":
-        found = {s.name: validate(s, lake.silver(s.name)) for s in specs}
-        for name, (status, detail) in found.items():
-            print(f"{name}\t{status}\t{detail}")
-        return int(any(status != "passed" for status, _ in found.values()))
+        found = catalog.validate_all(specs if named else None)
+        for row in found:
+            print(*row, sep="\t")
+        return int(any(status != "passed" for _, status, _ in found))
     if args.verb == "consolidate-bronze":
         for s in specs:
             print(f"{s.name}\t{lake.consolidate_bronze(s)}")
@@ -78,7 +87,7 @@ def main(argv: list[str] | None = None, spark=None, adapter=None) -> int:  # noq
             print("error: sync needs --adapter", file=sys.stderr)
             return 2
         module, _, name = args.adapter.partition(":")
-        adapter = getattr(importlib.import_module(module), name)()
+        adapter = ingest.Retrying(getattr(importlib.import_module(module), name)(), settings.source.rate_limit_seconds, settings.source.max_retries, settings.source.retry_backoff_seconds)
     sync = ingest.Sync(lake.spark, lake, adapter)
     if args.verb != "sync-phased":
         for s in specs:

@@ -41,20 +41,24 @@ def adjusted_returns(adjusted: DataFrame) -> DataFrame:
     return adjusted.withColumn("return_adjusted", divide("close_hfq", F.nullif(before, F.lit(0.0))) - 1.0)
 
 
-def stock_universe_daily(daily: DataFrame, stock_basic: DataFrame | None, suspend_d: DataFrame | None) -> DataFrame:
-    """Flags of each security and day; without metadata a security is not listed, and the current name decides on ST."""
+def stock_universe_daily(daily: DataFrame, stock_basic: DataFrame | None, suspend_d: DataFrame | None, columns: Sequence[str] = ("name", "list_date", "delist_date")) -> DataFrame:
+    """Flags of each security and day; without metadata a security is not listed, and the current name decides on ST.
+
+    A security whose dates are unknown counts as listed, as long as there is a row for it.
+    """
     out = daily.select("ts_code", "trade_date")
     if stock_basic is None:
-        out = out.withColumns({x: F.lit(None).cast("string") for x in ("name", "list_date", "delist_date")})
+        out = out.withColumns({x: F.lit(None).cast("string") for x in columns}).withColumn("_known", F.lit(False))
     else:
-        out = out.join(stock_basic.select("ts_code", *(optional(stock_basic, x, "string") for x in ("name", "list_date", "delist_date"))), "ts_code", "left")
+        out = out.join(stock_basic.select("ts_code", *(optional(stock_basic, x, "string") for x in columns), F.lit(True).alias("_known")), "ts_code", "left")
     if suspend_d is None:
         out = out.withColumn("is_suspended", F.lit(False))
     else:
         halted = suspend_d.select("ts_code", "trade_date").distinct().withColumn("_halted", F.lit(True))
         out = out.join(halted, ["ts_code", "trade_date"], "left").withColumn("is_suspended", F.coalesce("_halted", F.lit(False))).drop("_halted")
-    listed = (F.col("list_date") <= F.col("trade_date")) & (F.col("delist_date").isNull() | (F.col("trade_date") <= F.col("delist_date")))
-    return out.withColumns({"is_listed_on_date": F.coalesce(listed, F.lit(False)), "is_st_name": F.coalesce(F.col("name").contains("ST"), F.lit(False))})
+    not_yet, no_more = F.coalesce(F.col("trade_date") < F.col("list_date"), F.lit(False)), F.coalesce(F.col("trade_date") > F.col("delist_date"), F.lit(False))
+    listed = F.coalesce("_known", F.lit(False)) & ~not_yet & ~no_more
+    return out.withColumns({"is_listed_on_date": listed, "is_st_name": F.coalesce(F.col("name").contains("ST"), F.lit(False))}).drop("_known")
 
 
 def asof_intervals(reports: DataFrame) -> DataFrame:

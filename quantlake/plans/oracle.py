@@ -148,7 +148,7 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
         from daily d left join adj_factor a on d.ts_code = a.ts_code and d.trade_date = a.trade_date left join (select ts_code, max_by(adj_factor, trade_date) as latest_adj_factor from adj_factor group by 1) l on l.ts_code = d.ts_code""",
     "returns": "select *, close_hfq / nullif(lag(close_hfq) over (partition by ts_code order by trade_date), 0) - 1 as return_adjusted from adjusted",
     "universe": """select d.ts_code, d.trade_date, name, list_date, delist_date, s.ts_code is not null as is_suspended,
-        coalesce(list_date <= d.trade_date and (delist_date is null or d.trade_date <= delist_date), false) as is_listed_on_date, coalesce(name like '%ST%', false) as is_st_name
+        case when b.ts_code is null then false when list_date is not null and d.trade_date < list_date then false when delist_date is not null and d.trade_date > delist_date then false else true end as is_listed_on_date, coalesce(name like '%ST%', false) as is_st_name
         from daily d left join stock_basic b on b.ts_code = d.ts_code left join (select distinct ts_code, trade_date from suspend_d) s on s.ts_code = d.ts_code and s.trade_date = d.trade_date""",
     "intervals": "select *, ann_date as visible_from, lead(ann_date) over (partition by ts_code, end_date order by ann_date, _ingested_at) as next_visible_from from fina_indicator",
     "open_days": f"select distinct cal_date as trade_date from trade_cal where cal_date between '{START}' and '{END}' and is_open = 1",

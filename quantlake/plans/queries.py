@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantlake.functions.expr import bucket, clip, divide, number, quantise
+from quantlake.operators import marginal
 from quantlake.plans import oracle
 from quantlake.plans.research import RELATIONS, research
-from quantlake.sources import lake
+from quantlake.sources import catalog, lake
 from quantlake.sources.bridge import duckdb_sql
 from quantlake.specs import DATASETS, DatasetSpec
 
@@ -161,7 +162,58 @@ def status_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     old = c.groupBy(F.col("c_mktsegment").alias("dataset")).agg(F.count("*").alias("rows"), F.lit("success").alias("status"), F.lit("20240101").alias("last_success"))
     new = c.filter("c_custkey % 2 = 0").groupBy(F.col("c_mktsegment").alias("dataset")).agg(F.count("*").alias("rows"), F.lit("failed").alias("status"), F.lit(None).cast("string").alias("last_success"))
-    return lake.upsert(old, new, ["dataset"])
+    return lake.upsert(old, new, ["dataset"], ["last_success"])
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as results of checks: the type stands for the dataset, a digit of the user for the check."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    check, at = F.concat(F.lit("check_"), F.col("user_id") % 10), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return events.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("check_id"), F.col("event_type").alias("dataset"), check.alias("check_name"), F.when(F.col("value") > 20, "failed").otherwise("passed").alias("status"), at.alias("checked_at"))
+
+
+def latest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.latest_quality(_checks(spark, sf_dir))
+
+
+def quality_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results appended in two goes: both stay."""
+    rows = _checks(spark, sf_dir)
+    return rows.filter("status = 'failed'").unionByName(rows.filter("status = 'passed'")).groupBy("dataset", "check_name", "status").agg(F.count("*").alias("n"))
+
+
+def refreshed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as datasets: those of region 0 are no more, those of regions 1 and 2 change, those of region 4 are new."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("dataset"), F.col("n_regionkey").alias("region"))
+    old = n.filter("region < 4").withColumns({"strategy": F.lit("range"), "updated_at": F.lit("1")})
+    current = n.filter("region > 0").withColumns({"strategy": F.when(F.col("region") < 3, "daily").otherwise("range"), "updated_at": F.lit("2")})
+    return catalog.refreshed(old, current)
+
+
+def finished_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as batches that run, of which one has ended."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    none = F.lit(None).cast("string")
+    batches = o.select(F.col("o_orderkey").cast("string").alias("batch_id"), F.lit("running").alias("status"), F.lit(0).cast("long").alias("row_count"), none.alias("finished_at"), none.alias("error_message"))
+    return catalog.finished(batches, "7", "failed", 3, "2024-01-01T00:00:00Z", "no answer")
+
+
+def known_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    status = c.groupBy(F.col("c_nationkey").alias("dataset")).agg(F.count("*").alias("row_count"))
+    return catalog.status_of_known(status, spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_regionkey <> 2").select(F.col("n_nationkey").alias("dataset")))
+
+
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query with named parameters."""
+    text = "select l_returnflag, count(*) as n from {lines} where l_shipdate >= to_timestamp(:start, 'yyyyMMdd') and l_linenumber <= :most group by l_returnflag"
+    return spark.sql(text, args={"start": "19970101", "most": 3}, lines=_lines(spark, sf_dir))
+
+
+def rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean over the last twelve values of a series, where it has six of them."""
+    r = research(spark, sf_dir)
+    return marginal.rolling_advantage(r["long_short"], "long_short_return", "trade_date", ["factor"]).select("factor", "trade_date", quantise("rolling_mean").alias("rolling_mean"))
 
 
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +230,7 @@ def validations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usability(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = research(spark, sf_dir)
-    return lake.usability(r["daily"], r["adj_factor"], r["stock_basic"], r["trade_cal"], r["universe"])
+    return lake.usability(r["daily"], r["adj_factor"], r["stock_basic"], r["trade_cal"], r["adjusted"])
 
 
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +262,13 @@ STORAGE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q9_validate": validations,
     "q11_usability": usability,
     "p_scalars": scalars,
+    "w18_latest_quality": latest_quality,
+    "d6_quality_history": quality_history,
+    "d5_refreshed_catalog": refreshed_catalog,
+    "q12_finished_batches": finished_batches,
+    "j4_known_status": known_status,
+    "d7_parameters": parameters,
+    "w16_rolling_mean": rolling_mean,
 }
 
 _DAILY = duckdb_sql("daily")
@@ -222,6 +281,8 @@ def _with(*names: str) -> str:
     return "with " + ", ".join(f"{x} as materialized ({oracle.CTES[x]})" for x in seen)
 
 
+_CHECKS = "(select lpad(event_id::varchar, 12, '0') as check_id, event_type as dataset, 'check_' || (user_id % 10) as check_name, case when value > 20 then 'failed' else 'passed' end as status, strftime(ts, '%Y-%m-%d %H:%M:%S') as checked_at from events)"
+
 STORAGE_SQL: dict[str, str] = {
     "q1_latest_per_key": f"select * exclude (rn) from (select *, row_number() over (partition by l_orderkey, l_linenumber order by {', '.join(f'{c} desc nulls last' for c in _PICK)}) as rn from lineitem) where rn = 1",
     "a3_duplicate_keys": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1",
@@ -233,11 +294,18 @@ STORAGE_SQL: dict[str, str] = {
     "s12_row_numbers": "select strftime(ts, '%Y%m%d') as trade_date, event_id, row_number() over (partition by strftime(ts, '%Y%m%d') order by event_id)::int as _row_no from events",
     "q9_validate": _with("daily", "adj_factor", "stock_basic", "trade_cal") + """ select 'daily' as dataset, 'passed' as status, 'rows: ' || count(*) as detail from daily union all select 'adj_factor', 'passed', 'rows: ' || count(*) from adj_factor union all select 'stock_basic', 'passed', 'rows: ' || count(*) from stock_basic
         union all select 'trade_cal', 'passed', 'rows: ' || count(*) from trade_cal union all select 'moneyflow', 'missing', 'no table' union all select 'suspend_d', 'failed', 'duplicate keys: ' || count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)""",
-    "q11_usability": _with("daily", "adj_factor", "stock_basic", "trade_cal", "universe") + """ select check_name, failures, case when failures = 0 then 'passed' else 'failed' end as status from (
-        select 'daily_has_adj_factor' as check_name, count(*) as failures from daily d where not exists (select 1 from adj_factor a where a.ts_code = d.ts_code and a.trade_date = d.trade_date)
-        union all select 'daily_has_stock_basic', count(*) from daily d where not exists (select 1 from stock_basic b where b.ts_code = d.ts_code) union all select 'no_former_codes', 0
-        union all select 'daily_covers_open_days', count(*) from (select distinct cal_date from trade_cal where is_open = 1 and cal_date between (select min(trade_date) from daily) and (select max(trade_date) from daily)) c where not exists (select 1 from daily d where d.trade_date = c.cal_date)
-        union all select 'universe_rows', abs((select count(*) from daily) - (select count(*) from universe)))""",
+    "q11_usability": _with("daily", "adj_factor", "stock_basic", "trade_cal", "adjusted") + """ select check_name, failures, case when failures = 0 then 'passed' else 'failed' end as status from (
+        select 'cross:daily_adj_factor' as check_name, count(*) as failures from daily d where not exists (select 1 from adj_factor a where a.ts_code = d.ts_code and a.trade_date = d.trade_date)
+        union all select 'cross:daily_stock_basic', count(*) from daily d where not exists (select 1 from stock_basic b where b.ts_code = d.ts_code) union all select 'cross:canonical_security_codes', 0
+        union all select 'cross:daily_trade_calendar', count(*) from (select distinct cal_date from trade_cal where is_open = 1 and cal_date between (select min(trade_date) from daily) and (select max(trade_date) from daily)) c where not exists (select 1 from daily d where d.trade_date = c.cal_date)
+        union all select 'view:v_adjusted_daily_row_count', abs((select count(*) from daily) - (select count(*) from adjusted)))""",
+    "w18_latest_quality": f"select * exclude (k) from (select *, row_number() over (partition by dataset, check_name order by checked_at desc, check_id desc) as k from {_CHECKS}) where k = 1",
+    "d6_quality_history": f"select dataset, check_name, status, count(*) as n from {_CHECKS} group by 1, 2, 3",
+    "d5_refreshed_catalog": "select n_name as dataset, n_regionkey as region, case when n_regionkey < 3 then 'daily' else 'range' end as strategy, '2' as updated_at from nation where n_regionkey > 0",
+    "q12_finished_batches": "select o_orderkey::varchar as batch_id, case when o_orderkey = 7 then 'failed' else 'running' end as status, case when o_orderkey = 7 then 3 else 0 end::bigint as row_count, case when o_orderkey = 7 then '2024-01-01T00:00:00Z' end as finished_at, case when o_orderkey = 7 then 'no answer' end as error_message from orders",
+    "j4_known_status": "select c_nationkey as dataset, count(*) as row_count from customer join nation on n_nationkey = c_nationkey where n_regionkey <> 2 group by 1",
+    "d7_parameters": "select l_returnflag, count(*) as n from lineitem where l_shipdate >= timestamp '1997-01-01' and l_linenumber <= 3 group by 1",
+    "w16_rolling_mean": _with("long_short") + f" select factor, trade_date, {oracle.q('case when count(long_short_return) over w >= 6 then avg(long_short_return) over w end', 6)} as rolling_mean from long_short window w as (partition by factor order by trade_date rows between 11 preceding and current row)",
     "p_scalars": """select l_orderkey, l_linenumber, l_partkey, strftime(l_shipdate, '%Y%m%d') as ship_day, strftime(l_shipdate, '%Y-%m') as ship_month, regexp_matches(strftime(l_shipdate, '%Y%m%d'), '^199[0-9]{5}$') as is_nineties, l_returnflag in ('A', 'R') as is_returned,
         floor(least(greatest(l_extendedprice, 1000), 50000) * 1e6 + 0.5::double) / 1e6 as clipped, floor(case when l_discount > 0 then ln(l_discount) end * 1e6 + 0.5::double) / 1e6 as log_discount, floor(l_extendedprice / nullif(l_tax, 0) * 1e6 + 0.5::double) / 1e6 as per_tax, case when l_linenumber = 1 then null else l_linenumber::double end as coerced,
         least(greatest(ceil(row_number() over (partition by l_suppkey order by l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_discount, l_tax) * 10.0::double / count(*) over (partition by l_suppkey)), 1), 10)::int as bucket from lineitem""",

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
-from datetime import UTC, date, datetime, timedelta
+from datetime import date, datetime, timedelta
 from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantlake.sources.catalog import Catalog, now
 from quantlake.sources.lake import Lake, with_row_numbers
 from quantlake.specs import TRADING_DAY_DATASETS, DatasetSpec
 
@@ -23,6 +25,24 @@ class Adapter(Protocol):
     def fetch(self, api_name: str, params: Mapping, fields: Iterable[str]) -> list[dict]: ...
 
 
+class Vendor:
+    """An adapter to a vendor's client, which is made with a token from the environment when it is first needed.
+
+    ``connect`` takes the token and gives a function of (api_name, params, fields) to records, or None for no rows.
+    """
+
+    def __init__(self, connect: Callable[[str], Callable[[str, dict, list[str]], list[dict] | None]], token_env: str) -> None:
+        self.connect, self.token_env, self.client = connect, token_env, None
+
+    def fetch(self, api_name: str, params: Mapping, fields: Iterable[str]) -> list[dict]:
+        if self.client is None:
+            token = os.environ.get(self.token_env)
+            if not token:
+                raise RuntimeError(f"the environment variable {self.token_env} must hold the vendor's token")
+            self.client = self.connect(token)
+        return self.client(api_name, dict(params), list(fields)) or []
+
+
 class Retrying:
     """An adapter that waits between calls and tries again, each time longer."""
 
@@ -106,22 +126,19 @@ def plan_chunks(specs: Iterable[DatasetSpec], start: str, end: str, open_days: s
     return out
 
 
-def now() -> str:
-    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
-
-
 class Sync:
-    def __init__(self, spark: SparkSession, lake: Lake, adapter: Adapter) -> None:
-        self.spark, self.lake, self.adapter = spark, lake, adapter
+    """Fetches datasets into a lake and keeps its catalog."""
 
-    def _status(self, dataset: str, batch: str, status: str, rows: int | None, error: str | None, at: str) -> None:
-        kinds = "dataset string, batch_id string, status string, rows bigint, error string, last_success string, updated_at string"
-        done = at if status == "success" else None
-        self.lake.record("sync_status", self.spark.createDataFrame([(dataset, batch, status, rows, error, done, at)], kinds), ["dataset"])
+    def __init__(self, spark: SparkSession, lake: Lake, adapter: Adapter) -> None:
+        self.spark, self.lake, self.adapter, self.catalog = spark, lake, adapter, Catalog(lake)
 
     def dataset(self, spec: DatasetSpec, start: str | None = None, end: str | None = None, silver: bool = True) -> int:
-        """Fetch, write bronze and, unless told otherwise, silver; the outcome is recorded, a failure raised again."""
+        """Fetch, write bronze and, unless told otherwise, silver; the batch is recorded, a failure raised again.
+
+        A call that brings no rows is a success and writes nothing.
+        """
         batch, at = uuid.uuid4().hex, now()
+        self.catalog.start_batch(batch, spec, {"start": start, "end": end})
         try:
             rows = fetch(self.adapter, spec, start, end)
             if rows:
@@ -131,9 +148,9 @@ class Sync:
                 if silver:
                     self.lake.upsert_silver(spec, df, batch, at)
         except Exception as error:
-            self._status(spec.name, batch, "failed", None, str(error)[:500], at)
+            self.catalog.finish_batch(batch, spec, "failed", 0, start, end, str(error)[:500])
             raise
-        self._status(spec.name, batch, "success", len(rows), None, at)
+        self.catalog.finish_batch(batch, spec, "success", len(rows), start, end)
         return len(rows)
 
 

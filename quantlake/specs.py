@@ -89,6 +89,26 @@ NULLABLE_KEYS = {
 #: Former security codes and the codes that replaced them.
 CODE_ALIASES = {"000022.SZ": "001872.SZ", "000043.SZ": "001914.SZ", "300114.SZ": "302132.SZ"}
 
+#: Names of checks between tables, of views, and of the datasets that each view unites.
+CROSS_CHECKS = ("cross:daily_adj_factor", "cross:daily_stock_basic", "cross:canonical_security_codes", "cross:daily_trade_calendar", "view:v_adjusted_daily_row_count")
+UNION_VIEWS = {
+    "v_stock_master": ("stock_basic", "namechange", "stock_company"),
+    "v_daily_market": ("daily", "daily_basic", "adj_factor", "suspend_d", "stk_limit", "moneyflow"),
+    "v_financial_reports": ("income_vip", "balancesheet_vip", "cashflow_vip", "fina_indicator_vip"),
+    "v_corporate_actions": ("dividend", "top10_holders", "top10_floatholders"),
+    "v_index_data": ("index_basic", "index_daily", "index_weight"),
+    "v_industry_data": ("index_classify", "index_member_all"),
+}
+INTERVAL_VIEWS = {
+    "v_fina_indicator_asof_intervals": "fina_indicator_vip",
+    "v_income_asof_intervals": "income_vip",
+    "v_balancesheet_asof_intervals": "balancesheet_vip",
+    "v_cashflow_asof_intervals": "cashflow_vip",
+}
+DAILY_COLUMNS = ("open", "high", "low", "close", "pre_close", "change", "pct_chg", "vol", "amount")
+PRICES = ("open", "high", "low", "close")
+STOCK_COLUMNS = ("name", "market", "exchange", "industry", "list_status", "list_date", "delist_date", "is_hs")
+
 
 def dataset(name: str) -> DatasetSpec:
     if name not in DATASETS:

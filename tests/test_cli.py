@@ -13,6 +13,7 @@ def test_verbs(spark, tmp_path, capsys):
     assert main([*root, "sync", "--dataset", "daily", "--start", "2024-13-01"], spark) == 2
     assert main([*root, "sync", "--dataset", "daily"], spark) == 2
     assert main([*root, "sync", "--dataset", "daily", "--start", "2024-01-01", "--end", "2024-01-02"], spark, Fake(2)) == 0
+    assert main([*root, "init-db"], spark) == 0
     assert main([*root, "validate", "--dataset", "daily"], spark) == 0
     assert main([*root, "validate", "--dataset", "moneyflow"], spark) == 1
     assert main([*root, "status"], spark) == 0 and '"status": "success"' in capsys.readouterr().out
@@ -23,6 +24,15 @@ def test_verbs(spark, tmp_path, capsys):
     assert main(phased, spark, Fake(fail=True)) == 1 and main([*phased, "--bronze-only"], spark, Fake()) == 0
 
 
+def test_settings_of_a_file(spark, tmp_path, capsys):
+    at = tmp_path / "settings.json"
+    at.write_text('{"data_root": "lake", "default_start_date": "20240101", "default_end_date": "20240102", "datasets": {"adj_factor": false}}')
+    assert main(["--config", str(at), "sync-phased", "--group", "market", "--dry-run"], spark, Fake()) == 0
+    out = capsys.readouterr().out
+    assert "daily:20240102:20240102" in out and "adj_factor" not in out
+    assert main(["--config", str(tmp_path / "none.json"), "status"], spark) == 2
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("b", 2.5), ("a", None)], "k string, v double")
     sinks.write_csv(df, tmp_path / "r.csv", ["k"])
