@@ -36,12 +36,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges from a node to itself count for nothing; repeated edges and an empty table are allowed.
     """
-    now = runtime.materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
-        new = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-        if (new["n"], new["x"]) == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = (new["n"], new["x"])
-        large = runtime.materialize(_large_star(now, new["n"]).distinct(), "stars")
-        now = runtime.materialize(_small_star(large, new["n"]).filter("a != b").distinct(), "edges")
+    with runtime.Scratch(edges.sparkSession) as scratch:
+        now = scratch.write(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        state = None
+        while True:
+            new = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
+            if (new["n"], new["x"]) == state:
+                return runtime.materialize(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
+            state = (new["n"], new["x"])
+            large = scratch.write(_large_star(now, new["n"]).distinct(), "stars")
+            small = scratch.write(_small_star(large, new["n"]).filter("a != b").distinct(), "edges")
+            scratch.drop(now)
+            scratch.drop(large)
+            now = small

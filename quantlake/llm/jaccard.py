@@ -205,11 +205,8 @@ def room(n1: str, place1: str, n2: str, place2: str) -> F.Column:
     return most * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (F.col(n1) + F.col(n2))
 
 
-ROLE = "row long, a long, part int, other long"
-
-
-def verified(pairs: DataFrame, prefixed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of classes whose whole sets are alike enough.
+def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, scratch: runtime.Scratch) -> DataFrame:
+    """Those pairs (a, b) of classes whose whole sets are alike enough; ``texts`` has (row, text).
 
     Texts meet in one shuffle by ``a`` and part: first the text of ``a``, then those of its ``b``, of which none is held.
     """
@@ -233,61 +230,71 @@ def verified(pairs: DataFrame, prefixed: DataFrame, classes: DataFrame) -> DataF
     members = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     leaders = dealt.select("a", "parts").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     roles = members.select(F.col("b").alias("node"), "a", "part", F.col("b").alias("other")).unionByName(leaders.select(F.col("a").alias("node"), "a", "part", F.lit(-1).cast("long").alias("other")))
-    of_row = runtime.materialize(roles.join(classes.select("node", "row"), "node").drop("node"), "roles")
-    met = prefixed.select("row", "text").join(of_row, "row")
-    return met.repartition("a", "part").sortWithinPartitions("a", "part", "other").select("a", "other", "text").mapInArrow(run, "a long, b long")
-
+    of_row = scratch.write(roles.join(classes.select("node", "row"), "node").drop("node"), "roles")
+    met = texts.join(of_row, "row").repartition("a", "part").sortWithinPartitions("a", "part", "other")
+    return scratch.write(met.select("a", "other", "text").mapInArrow(run, "a long, b long"), "links")
 
-def link_components(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Documents and classes.
 
-    Documents: row, doc (the doc_id, null as the largest), n, print and, if ``whole``, all columns of ``docs`` as ``own``.
-    Classes, the sets that are not empty: print, node, doc and row (of the smallest doc_id), and root, the smallest node that
-    links reach.  Nodes stand in the order of doc.
-    """
-    runtime.small_batches(docs.sparkSession)
-    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")] if whole else []
-    doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
-    prefixed = runtime.materialize(prefixes(docs.select(F.monotonically_increasing_id().alias("row"), doc, text, *own)), "prefixes")
-    firsts = prefixed.filter("n > 0").groupBy("print").agg(F.min(F.struct("doc", "row")).alias("first"), F.min("g").alias("g"), F.min("n").alias("n"))
-    ordered = firsts.select("print", "g", "n", "first.doc", "first.row").orderBy("doc", "print")
-    classes = runtime.materialize(ordered.withColumn("node", F.monotonically_increasing_id()), "classes")
+def _linked(prefixed: DataFrame, texts: DataFrame, classes: DataFrame, scratch: runtime.Scratch) -> DataFrame:
+    """(node, root) of the classes that links connect."""
     members = classes.select("g", "n", "node")
     leaders = members.groupBy("g").agg(F.min("node").alias("leader"))
-    shared = runtime.materialize(shared_postings(prefixed), "postings")
+    shared = scratch.write(shared_postings(prefixed), "postings")
 
     # First, each group against the leading group of each of its shingles, and each group's members against its leader.
     lead = shared.groupBy("token").agg(F.min(F.struct("place", F.xxhash64("g", "token").alias("order"), "g", "n")).alias("lead"))
     near = skew.lookup(shared, lead, "token").select("g", "n", "place", F.col("lead.g").alias("h"), F.col("lead.n").alias("m"), F.col("lead.place").alias("at"))
-    near = runtime.materialize(near.filter((F.col("g") != F.col("h")) & room("n", "place", "m", "at")).select("g", "h").distinct(), "near")
+    near = scratch.write(near.filter((F.col("g") != F.col("h")) & room("n", "place", "m", "at")).select("g", "h").distinct(), "near")
     of_h = skew.lookup(near, leaders.select(F.col("g").alias("h"), F.col("leader").alias("a")), "h")
     across = of_h.join(leaders.select("g", F.col("leader").alias("b")), "g")
     within = skew.lookup(members.drop("n"), leaders, "g").filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    pairs = runtime.materialize(across.select("a", "b").union(within).distinct(), "pairs")
-    links = runtime.materialize(verified(pairs, prefixed, classes), "links")
+    pairs = scratch.write(across.select("a", "b").union(within).distinct(), "pairs")
+    # There are about as many roles as documents: of either table only a shuffle can be counted on.
+    links = verified(pairs, texts.hint("shuffle_hash"), classes, scratch)
     roots = components.components(links)
 
     # Then all pairs that remain between different components: of different groups by the shingles that these share, of one
     # group by the group itself, as their common prefix need not be shared with another.  Of a shingle's rows, those of its
     # commonest component are met by the others only, never by each other.
-    of_node = runtime.materialize(members.join(roots, "node", "left").select("g", "n", "node", F.coalesce("root", "node").alias("root")), "roots")
+    of_node = scratch.write(members.join(roots, "node", "left").select("g", "n", "node", F.coalesce("root", "node").alias("root")), "roots")
     of_group = of_node.groupBy("g", "root").agg(F.count("*").alias("k"))
     split = of_group.groupBy("g").agg(F.count("*").alias("roots")).filter("roots > 1").select("g")
     by_root = shared.select("token", "g").join(of_group, "g").groupBy("token", "root").agg(F.sum("k").alias("k"))
     by_root = by_root.unionByName(of_group.join(split, "g").select(F.col("g").alias("token"), "root", "k"))
     main = by_root.groupBy("token").agg(F.max(F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    main = runtime.materialize(main.select("token", F.col("main.root").alias("main")), "main")
+    main = scratch.write(main.select("token", F.col("main.root").alias("main")), "main")
     split_shared = shared.select("token", "place", "g").join(main, "token")
     rows = split_shared.join(of_node, "g").unionByName(of_node.join(split, "g").withColumn("token", F.col("g")).withColumn("place", F.lit(0)).join(main, "token"))
-    mixed = runtime.materialize(rows.select("token", "place", "n", "node", "root", "main"), "mixed")
+    mixed = scratch.write(rows.select("token", "place", "n", "node", "root", "main"), "mixed")
     few = mixed.filter("root != main").select("token", F.col("place").alias("at"), F.col("n").alias("m"), F.col("node").alias("other"), F.col("root").alias("other_root"))
     fits = (F.col("root") != F.col("other_root")) & room("n", "place", "m", "at") & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("other")))
     rest = mixed.join(few, "token").filter(fits).select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
     met = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = runtime.materialize(rest.join(met, ["a", "b"], "left_anti"), "rest")
-    every = runtime.materialize(links.union(verified(rest, prefixed, classes)), "links")
-    found = classes.select("print", "node", "doc", "row").join(components.components(every), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return prefixed.drop("text", "g", "prefix", "parts"), runtime.materialize(found, "components")
+    rest = scratch.write(rest.join(met, ["a", "b"], "left_anti"), "rest")
+    return components.components(links.union(verified(rest, texts, classes, scratch)))
+
+
+def link_components(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents and classes.
+
+    Documents: row, doc (the doc_id, null as the largest), n, print and, if ``whole``, all columns of ``docs`` as ``own``.
+    Classes, the sets that are not empty: print, node, doc and row (of the smallest doc_id), and root, the smallest node that
+    links reach.  Nodes stand in the order of doc.
+    """
+    spark = docs.sparkSession
+    runtime.small_batches(spark)
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")] if whole else []
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc")
+    keyed = prefixes(docs.select(F.monotonically_increasing_id().alias("row"), doc, F.coalesce("text", F.lit("")).alias("text"), *own))
+    with runtime.Scratch(spark) as scratch:
+        prefixed = runtime.materialize(keyed.drop("text") if whole else keyed, "prefixes")
+        texts = prefixed.select("row", F.coalesce("own.text", F.lit("")).alias("text") if whole else "text")
+        firsts = prefixed.filter("n > 0").groupBy("print").agg(F.min(F.struct("doc", "row")).alias("first"), F.min("g").alias("g"), F.min("n").alias("n"))
+        ordered = firsts.select("print", "g", "n", "first.doc", "first.row").orderBy("doc", "print")
+        classes = scratch.write(ordered.withColumn("node", F.monotonically_increasing_id()), "classes")
+        roots = _linked(prefixed, texts, classes, scratch)
+        found = classes.select("print", "node", "doc", "row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return prefixed.select("row", "doc", "n", "print", *(["own"] if whole else [])), runtime.materialize(found, "components")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
