@@ -264,10 +264,10 @@ def oos_coefficients(ic: DataFrame, composite_ic: DataFrame, signals: DataFrame)
     return own.unionByName(composite_ic.join(dates, "trade_date").select(F.col("factor").alias("strategy_id"), "fold_id", "trade_date", "rank_ic"))
 
 
-def oos_metrics(daily: DataFrame, coefficients: DataFrame) -> DataFrame:
-    """Metrics by fold and pooled: long-short compounds to periods (12 a year), other legs are daily (252).
+def oos_metrics(daily: DataFrame, coefficients: DataFrame, days: int = 252) -> DataFrame:
+    """Metrics by fold and pooled: long-short compounds to periods (12 a year), other legs are daily (``days`` a year).
 
-    The Sharpe ratio is mean over deviation; the information ratio is that of daily excess returns, of a year of 252 days.
+    The Sharpe ratio is mean over deviation; the information ratio is that of daily excess returns.
     """
     scopes = F.explode(F.array(F.lit("fold"), F.lit("pooled")))
     fold = F.when(F.col("scope") == "fold", F.col("fold_id")).otherwise("ALL")
@@ -276,14 +276,14 @@ def oos_metrics(daily: DataFrame, coefficients: DataFrame) -> DataFrame:
     is_pair = F.col("portfolio_leg") == "long_short"
     point = F.when(is_pair, F.col("signal_date")).otherwise(F.col("trade_date"))
     points = both.groupBy(*keys, point.alias("point")).agg(quantise(compound("net_return"), 10).alias("r"), F.min("trade_date").alias("trade_date"))
-    year = F.when(is_pair, F.lit(12.0)).otherwise(F.lit(252.0))
+    year = F.when(is_pair, F.lit(12.0)).otherwise(F.lit(float(days)))
     walked = nav(points, keys, "r").groupBy(*keys).agg(
         F.count("*").alias("observation_count"), compound("r").alias("cumulative_return"), F.avg("r").alias("_m"), F.stddev_pop("r").alias("_s"), F.min("drawdown").alias("max_drawdown"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate")
     )
     deviation = F.stddev_pop("excess_return")
     by_day = both.groupBy(*keys).agg(
         F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), divide(F.sum("turnover"), F.countDistinct("signal_date")).alias("average_period_turnover"), F.sum("transaction_cost").alias("total_transaction_cost"),
-        annualised("benchmark_return", 252).alias("_b"), (F.when(deviation > 1e-12, F.avg("excess_return") / deviation) * math.sqrt(252)).alias("information_ratio"),
+        annualised("benchmark_return", days).alias("_b"), (F.when(deviation > 1e-12, F.avg("excess_return") / deviation) * math.sqrt(days)).alias("information_ratio"),
     )
     known = coefficients.withColumn("scope", scopes).withColumn("fold_id", fold).groupBy("scope", "fold_id", "strategy_id").agg(F.avg("rank_ic").alias("rank_ic_mean"), F.count("rank_ic").alias("rank_ic_periods"))
     annual = F.pow(1.0 + F.col("cumulative_return"), year / F.col("observation_count")) - 1.0

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from quantlake.plans.research import CONFIG, DEVIATION_ROWS, END, LAG, MEAN_ROWS, OOS_START, PERIODS, START, WARMUP, YEAR
+from quantlake.plans.research import CONFIG, DEVIATION_ROWS, END, LAG, MEAN_ROWS, OOS_START, PERIODS, START, WARMUP, YEAR, YEARS
 from quantlake.sources.bridge import RELATIONS as BRIDGE
 from quantlake.sources.bridge import duckdb_sql
-from quantlake.specs import BENCHMARK, CHAMPION, COMPOSITE_EQUAL, COMPOSITE_ROLLING, FACTORS, experiments
+from quantlake.specs import BENCHMARK, CHAMPION, COMPOSITE_EQUAL, COMPOSITE_ROLLING, FACTORS, FIXED_POOL, PRIMARY, experiments
 
 
 def q(x: str, digits: int = 10) -> str:
@@ -33,10 +33,10 @@ def snapshot(factor: str, column: str, where: str = "true") -> str:
     return f"select '{factor}' as factor, trade_date, ts_code, {column}::double as raw_value from daily_basic join fit using (trade_date, ts_code) where {column} is not null and {where}"
 
 
-def rolling(factor: str, table: str, made: str, column: str, rows: int) -> str:
+def rolling(factor: str, table: str, made: str, column: str, rows: int, fit: str = "fit") -> str:
     w = f"over (partition by ts_code order by trade_date rows between {rows - 1} preceding and current row)"
     return f"""select '{factor}' as factor, trade_date, ts_code, x as raw_value from (select ts_code, trade_date, {made.format(w)} as x, count({column}) {w} as n from {table}
-        where trade_date between '{WARMUP}' and '{END}') join fit using (trade_date, ts_code) where n = {rows} and x is not null"""
+        where trade_date between '{WARMUP}' and '{END}') join {fit} using (trade_date, ts_code) where n = {rows} and x is not null"""
 
 
 def turnover(weights: str) -> str:
@@ -93,6 +93,11 @@ def spread(means: str) -> str:
     return f"select factor, trade_date, max(mean_return) filter (where decile = 10) - max(mean_return) filter (where decile = 1) as long_short_return from ({means}) group by 1, 2"
 
 
+def periodic(pairs: str) -> str:
+    return f"""select *, annual_return / nullif(annual_volatility, 0) as sharpe from (select factor, count(*) as periods, pow(product(1 + long_short_return), 12.0::double / count(*)) - 1 as annual_return, stddev_pop(long_short_return) * sqrt(12.0::double) as annual_volatility, min(drawdown) as max_drawdown,
+        avg((long_short_return > 0)::int::double) as win_rate, product(1 + long_short_return) - 1 as cumulative_return from ({nav(f"(select * from ({pairs}) where long_short_return is not null)", "factor", "long_short_return")}) group by 1)"""
+
+
 def leg_turnover(scores: str, score: str = "score") -> str:
     legs = f"select factor || '|' || decile as factor, trade_date, ts_code, 1.0::double / count(*) over (partition by factor, trade_date, decile) as weight from ({layers(scores, score)}) where decile in (1, 10)"
     return f"""select factor, trade_date, low_turnover, high_turnover, coalesce(low_turnover, 0) + coalesce(high_turnover, 0) as two_leg_turnover from (select split_part(t.factor, '|', 1) as factor, trade_date,
@@ -139,6 +144,7 @@ def _contribution_pairs() -> str:
     return values(rows, "family, factor_id, included, excluded")
 
 
+MONTHLY = "d10_d1_return top20_return benchmark_return top20_excess_return rank_ic d10_d1_month_drawdown top20_within_month_max_drawdown d10_d1_two_leg_turnover top20_turnover".split()
 METRICS = "d10_d1_annual_return d10_d1_cumulative_return d10_d1_max_drawdown d10_d1_average_two_leg_turnover top20_excess_annual_return top20_cumulative_return top20_max_drawdown top20_average_monthly_turnover rank_ic_mean".split()
 
 CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
@@ -151,7 +157,7 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
         case when b.ts_code is null then false when list_date is not null and d.trade_date < list_date then false when delist_date is not null and d.trade_date > delist_date then false else true end as is_listed_on_date, coalesce(name like '%ST%', false) as is_st_name
         from daily d left join stock_basic b on b.ts_code = d.ts_code left join (select distinct ts_code, trade_date from suspend_d) s on s.ts_code = d.ts_code and s.trade_date = d.trade_date""",
     "intervals": "select *, ann_date as visible_from, lead(ann_date) over (partition by ts_code, end_date order by ann_date, _ingested_at) as next_visible_from from fina_indicator",
-    "open_days": f"select distinct cal_date as trade_date from trade_cal where cal_date between '{START}' and '{END}' and is_open = 1",
+    "open_days": f"select distinct cal_date as trade_date from trade_cal where cal_date between '{WARMUP}' and '{END}' and is_open = 1",
     "calendar": f"""with every as (select trade_date, lead(trade_date) over (order by trade_date) as exec_date from (select distinct trade_date from trade_dates))
         select trade_date as signal_date, exec_date from every where trade_date in (select max(trade_date) from every where trade_date between '{START}' and '{END}' group by substr(trade_date, 1, 6)) and exec_date is not null and exec_date <= '{END}'""",
     "periods": "select signal_date, exec_date, lead(exec_date) over (order by signal_date) as next_exec_date, (row_number() over (order by signal_date) - 1)::int as period from calendar",
@@ -217,8 +223,7 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
             from decile_returns where mean_return is not null) group by 1, 2) group by 1)
         join (select factor, {", ".join(f"avg(mean_return) filter (where decile = {d}) as d{d}_mean, pow(product(1 + mean_return) filter (where decile = {d}), 12.0::double / count(mean_return) filter (where decile = {d})) - 1 as d{d}_annual" for d in (1, 5, 10))} from decile_returns where mean_return is not null group by 1) using (factor)""",
     "long_short": spread("select * from decile_returns"),
-    "long_short_metrics": f"""select *, annual_return / nullif(annual_volatility, 0) as sharpe from (select factor, count(*) as periods, pow(product(1 + long_short_return), 12.0::double / count(*)) - 1 as annual_return, stddev_pop(long_short_return) * sqrt(12.0::double) as annual_volatility, min(drawdown) as max_drawdown,
-        avg((long_short_return > 0)::int::double) as win_rate, product(1 + long_short_return) - 1 as cumulative_return from ({nav("(select * from long_short where long_short_return is not null)", "factor", "long_short_return")}) group by 1)""",
+    "long_short_metrics": periodic("select * from long_short"),
     "long_short_yearly": "select factor, substr(trade_date, 1, 4) as year, product(1 + long_short_return) - 1 as yearly_return, count(*) as periods from long_short where long_short_return is not null group by 1, 2",
     "size_exposure": f"""select factor, trade_date, avg(l) as baseline_log_total_mv, sum(l * weight) / nullif(sum(case when l is not null then weight end), 0) as portfolio_log_total_mv, sum(l * weight) / nullif(sum(case when l is not null then weight end), 0) - avg(l) as active_log_total_mv,
         sum(pct * weight) / nullif(sum(case when pct is not null then weight end), 0) as portfolio_size_percentile, count(*) as baseline_count, count(weight) as holding_count, count(*) filter (where l is null) as missing_size_count
@@ -295,9 +300,9 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
         union all select factor, fold_id, trade_date, rank_ic from composite_ic join oos_signals on trade_date = signal_date""",
     "oos_metrics": f"""with scoped as (select *, case when scope = 'fold' then fold_id else 'ALL' end as f from oos_daily cross join (values ('fold'), ('pooled')) s(scope)),
         points as (select scope, f as fold_id, strategy_id, portfolio_leg, case when portfolio_leg = 'long_short' then signal_date else trade_date end as point, {q("product(1 + net_return) - 1")} as r, min(trade_date) as trade_date from scoped group by 1, 2, 3, 4, 5),
-        n as (select {_SIDES}, count(*) as observation_count, product(1 + r) - 1 as cumulative_return, avg(r) as m, stddev_pop(r) as s, min(drawdown) as max_drawdown, avg((r > 0)::int::double) as win_rate, case when portfolio_leg = 'long_short' then 12.0::double else 252 end as y from ({nav("points", _SIDES, "r")}) group by {_SIDES}),
-        d as (select scope, f as fold_id, strategy_id, portfolio_leg, min(trade_date) as start_date, max(trade_date) as end_date, sum(turnover) / count(distinct signal_date) as average_period_turnover, sum(transaction_cost) as total_transaction_cost, pow(product(1 + benchmark_return), 252.0::double / count(*)) - 1 as b,
-                  case when stddev_pop(excess_return) > 1e-12 then avg(excess_return) / stddev_pop(excess_return) * sqrt(252.0::double) end as information_ratio from scoped group by 1, 2, 3, 4),
+        n as (select {_SIDES}, count(*) as observation_count, product(1 + r) - 1 as cumulative_return, avg(r) as m, stddev_pop(r) as s, min(drawdown) as max_drawdown, avg((r > 0)::int::double) as win_rate, case when portfolio_leg = 'long_short' then 12.0::double else {YEAR} end as y from ({nav("points", _SIDES, "r")}) group by {_SIDES}),
+        d as (select scope, f as fold_id, strategy_id, portfolio_leg, min(trade_date) as start_date, max(trade_date) as end_date, sum(turnover) / count(distinct signal_date) as average_period_turnover, sum(transaction_cost) as total_transaction_cost, pow(product(1 + benchmark_return), {YEAR}.0::double / count(*)) - 1 as b,
+                  case when stddev_pop(excess_return) > 1e-12 then avg(excess_return) / stddev_pop(excess_return) * sqrt({YEAR}.0::double) end as information_ratio from scoped group by 1, 2, 3, 4),
         c as (select scope, case when scope = 'fold' then fold_id else 'ALL' end as fold_id, strategy_id, avg(rank_ic) as rank_ic_mean, count(rank_ic) as rank_ic_periods from oos_ic cross join (values ('fold'), ('pooled')) s(scope) group by 1, 2, 3)
         select {_SIDES}, case when y = 12 then 'monthly' else 'daily' end as metric_frequency, start_date, end_date, observation_count, pow(1 + cumulative_return, y / observation_count) - 1 as annual_return, s * sqrt(y) as annual_volatility, case when s > 1e-12 then m / s * sqrt(y) end as sharpe, max_drawdown, win_rate, cumulative_return,
                average_period_turnover, total_transaction_cost, case when y = 12 then 0 else b end as benchmark_annual_return, pow(1 + cumulative_return, y / observation_count) - 1 - case when y = 12 then 0 else b end as excess_annual_return, information_ratio, rank_ic_mean, coalesce(rank_ic_periods, 0) as rank_ic_periods
@@ -309,7 +314,7 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
             from (select a.grp as group_a, b.grp as group_b, trade_date, ts_code, a.group_score as x, b.group_score as y from g a join g b using (trade_date, ts_code) where a.grp < b.grp)) group by 1, 2, 3 having count(*) >= 3) group by 1, 2)
         select * from c union all select group_b, group_a, correlation, dates from c union all select distinct grp, grp, 1.0::double, null::bigint from g""",
     "strategy_ic": coefficients("strategies", "score"),
-    "strategy_ls": spread(decile_means(layers("strategies"))),
+    "strategy_ls": spread("select * from strategy_deciles"),
     "strategy_pair_turnover": leg_turnover("strategies"),
     "strategy_weights": top_quantile("strategies"),
     "strategy_turnover": turnover("strategy_weights"),
@@ -327,7 +332,7 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
     "strategy_metrics": f"""with e as (select * from {_EXECUTED}), ls as (select * from {scoped("(select * from strategy_ls join e using (trade_date) where long_short_return is not null)", "attribution_date")}), d as (select * from {scoped("strategy_daily", "trade_date")})
         select period, factor as strategy_id, * exclude (period, factor) from (select period, factor from {_SCOPES} cross join (select distinct factor from strategies))
         left join (select period, factor, count(*) as d10_d1_period_count, pow(product(1 + long_short_return), 12.0::double / count(*)) - 1 as d10_d1_annual_return, product(1 + long_short_return) - 1 as d10_d1_cumulative_return, min(drawdown) as d10_d1_max_drawdown from ({nav("ls", "period, factor", "long_short_return")}) group by 1, 2) using (period, factor)
-        left join (select period, factor, count(*) as top20_trading_days, pow(product(1 + portfolio_return), 252.0::double / count(*)) - 1 as top20_annual_return, pow(product(1 + benchmark_return), 252.0::double / count(*)) - 1 as benchmark_annual_return, pow(product(1 + portfolio_return), 252.0::double / count(*)) - pow(product(1 + benchmark_return), 252.0::double / count(*)) as top20_excess_annual_return,
+        left join (select period, factor, count(*) as top20_trading_days, pow(product(1 + portfolio_return), {YEAR}.0::double / count(*)) - 1 as top20_annual_return, pow(product(1 + benchmark_return), {YEAR}.0::double / count(*)) - 1 as benchmark_annual_return, pow(product(1 + portfolio_return), {YEAR}.0::double / count(*)) - pow(product(1 + benchmark_return), {YEAR}.0::double / count(*)) as top20_excess_annual_return,
                    product(1 + portfolio_return) - 1 as top20_cumulative_return, min(drawdown) as top20_max_drawdown from ({nav("d", "period, factor", "portfolio_return")}) group by 1, 2) using (period, factor)
         left join (select period, factor, avg(rank_ic) as rank_ic_mean, count(rank_ic) as rank_ic_periods from {scoped("(select * from strategy_ic join e using (trade_date))", "attribution_date")} group by 1, 2) using (period, factor)
         left join (select period, factor, avg(turnover) as top20_average_monthly_turnover from {scoped("(select * from strategy_turnover join e using (trade_date))", "attribution_date")} group by 1, 2) using (period, factor)
@@ -337,10 +342,40 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
     "stability": """select *, case when full_contribution > 0 and positive_subperiods >= 2 then 'stable_positive' when full_contribution < 0 and negative_subperiods >= 2 then 'stable_negative' else 'mixed' end as stability from (select family, factor_id, max(d10_d1_annual_return_contribution) filter (where period = 'FULL') as full_contribution,
         count(*) filter (where period <> 'FULL' and d10_d1_annual_return_contribution > 0) as positive_subperiods, count(*) filter (where period <> 'FULL' and d10_d1_annual_return_contribution < 0) as negative_subperiods from contributions where period not in ('2000', '2001') group by 1, 2)""",
     "advantage": "select attribution_month, " + ", ".join(q(f"max({c}) filter (where factor = 'grouped') - max({c}) filter (where factor = 'full')") + f" as {n}" for c, n in (("d10_d1_return", "d10_d1_delta"), ("top20_excess_return", "top20_excess_delta"))) + ", substr(attribution_month, 1, 4)::int as year from strategy_monthly group by 1",
-    "paired_tests": " union all ".join(f"select '{c}' as metric, count({c}) as months, avg({c}) as mean_delta, median({c}) as median_delta, avg(case when {c} is not null then ({c} > 0)::int::double end) as win_rate, avg({c}) / nullif(stddev_samp({c}) / sqrt(count({c})::double), 0) as simple_t from advantage" for c in ("d10_d1_delta", "top20_excess_delta")),
-    "newey_west": """with v as (select row_number() over (order by attribution_month) as k, d10_d1_delta as v from advantage where d10_d1_delta is not null), s as (select count(*) as n, avg(v) as mean, least(greatest(1, floor(4.0::double * pow(count(*) / 100.0::double, 2.0::double / 9.0::double))), count(*) - 1)::int as lag from v)
-        select n, mean, lag, mean / nullif(sqrt(greatest(sum(case when a.k = b.k then 1.0::double else 2.0::double * (1 - (a.k - b.k) / (lag + 1.0::double)) end * (a.v - mean) * (b.v - mean)) / n, 0) / n), 0) as statistic from v a cross join s join v b on b.k <= a.k and b.k >= a.k - lag group by n, mean, lag""",
-    "annual_stability": " union all ".join(f"select period::int as year, '{m}' as metric, max({m}) filter (where strategy_id = 'grouped') as challenger, max({m}) filter (where strategy_id = 'full') as baseline, challenger - baseline as delta, challenger > baseline as challenger_wins from strategy_metrics where period in ('2000', '2001') group by period" for m in ("d10_d1_annual_return", "top20_excess_annual_return")),
+    "paired_tests": f"""with v as materialized (select metric, attribution_month as month, value from (select attribution_month, unnest([{", ".join(f"{{'metric': '{n}', 'value': {c}}}" for n, (c, _) in PRIMARY.items())}], recursive := true) from advantage) where value is not null),
+        p as materialized (select metric, row_number() over (partition by metric order by month) as k, value - avg(value) over (partition by metric) as d, count(*) over (partition by metric) as n, least(greatest(1, floor(4.0::double * pow(count(*) over (partition by metric) / 100.0::double, 2.0::double / 9.0::double))), count(*) over (partition by metric) - 1)::int as lag from v),
+        w as (select a.metric, any_value(a.lag) as newey_west_lag, sum(case when a.k = b.k then 1.0::double else 2.0::double * (1 - (a.k - b.k) / (a.lag + 1.0::double)) end * a.d * b.d) / any_value(a.n) as lv from p a join p b on a.metric = b.metric and b.k <= a.k and b.k >= a.k - a.lag group by 1),
+        m as (select metric, count(*) as months, avg(value) as mean_delta, median(value) as median_delta, avg((value > 0)::int::double) as win_rate, avg(value) / nullif(stddev_samp(value) / sqrt(count(*)::double), 0) as simple_t from v group by 1),
+        t as (select *, mean_delta / nullif(sqrt(greatest(lv, 0) / months), 0) as newey_west_stat from m join w using (metric))
+        select *, case when newey_west_stat is not null then greatest(1 - 2 / sqrt(pi()) * exp(-newey_west_stat * newey_west_stat / 2) * list_sum(list_transform(range(0, 301), lambda n: case when newey_west_stat = 0 then 0 else exp(n * ln(4.0::double) + lgamma(n + 1) - lgamma(2 * n + 2) + (2 * n + 1) * ln(abs(newey_west_stat) / sqrt(2.0::double))) end)), 0) end as newey_west_two_sided_p from t""",
+    "annual_stability": " union all ".join(f"select period::int as year, '{n}' as metric, max({m}) filter (where strategy_id = 'grouped') as challenger, max({m}) filter (where strategy_id = 'full') as baseline, challenger - baseline as delta, challenger > baseline as challenger_wins from strategy_metrics where period in ({', '.join(f"'{y}'" for y in YEARS)}) group by period" for n, (_, m) in PRIMARY.items()),
+    "gates": " union all ".join(
+        f"select '{gate}' as gate, '{metric}' as metric, a.{c} as challenger, b.{c} as baseline, a.{c} {op} b.{c} as passed from strategy_metrics a join strategy_metrics b using (period) where period = 'FULL' and a.strategy_id = 'grouped' and b.strategy_id = 'full'"
+        for gate, metric, c, op in (("return", "d10_d1", "d10_d1_annual_return", ">"), ("return", "top20_excess", "top20_excess_annual_return", ">"), ("drawdown", "d10_d1", "d10_d1_max_drawdown", ">="), ("drawdown", "top20", "top20_max_drawdown", ">="), ("turnover", "d10_d1", "d10_d1_average_two_leg_turnover", "<="), ("turnover", "top20", "top20_average_monthly_turnover", "<="))
+    ) + f" union all select 'annual_stability', metric, count(*) filter (where challenger_wins)::double, ceil(2 * {len(YEARS)} / 3.0::double), count(*) filter (where challenger_wins) >= ceil(2 * {len(YEARS)} / 3.0::double) from annual_stability group by metric",
+    "quality": """select 'adjusted_return_coverage' as check_name, case when min(trade_date) <= '19950131' and max(trade_date) >= '20011001' then 'passed' else 'failed' end as status, true as critical, 'min=' || min(trade_date) || ', max=' || max(trade_date) || ', rows=' || count(*) as detail from returns
+        union all select 'benchmark_coverage', case when min(trade_date) <= '19950131' and max(trade_date) >= '20011001' then 'passed' else 'failed' end, true, 'benchmark=000985.CSI, min=' || min(trade_date) || ', max=' || max(trade_date) || ', rows=' || count(*) from index_daily where ts_code = '000985.CSI' and close is not null
+        union all select 'frozen_factor_availability', case when count(distinct factor) = 11 and min(trade_date) filter (where factor = 'Volatility') <= '19960331' then 'passed' else 'failed' end, true, 'factor_count=' || count(distinct factor) || ', first_volatility=' || min(trade_date) filter (where factor = 'Volatility') from panel
+        union all select 'evaluation_boundary', case when min(exec_date) like '199602%' then 'passed' else 'failed' end, true, 'first_signal=' || min(signal_date) || ', first_execution=' || min(exec_date) from calendar
+        union all select * from (values ('catalog:__database__:cross:daily_adj_factor', 'passed', true, 'rows against it: 0'), ('catalog:__database__:cross:daily_trade_calendar', 'failed', true, 'rows against it: 2'), ('catalog:fina_indicator_vip:dataset_integrity', 'warning', false, 'null or empty keys: 3'))""",
+    "reproduction": " union all ".join(f"select period, strategy_id, '{m}' as metric, {q(m, 8)} as old_value, {m} as new_value, abs({m} - {q(m, 8)}) as absolute_difference, coalesce(abs({m} - {q(m, 8)}) <= 1e-10 + 1e-9 * abs({q(m, 8)}), {m} is null) as within_tolerance from strategy_metrics" for m in METRICS),
+    "monthly_contributions": f"select family, factor_id, a.attribution_month, {', '.join(f'a.{m} - b.{m} as {m}_contribution' for m in MONTHLY)} from strategy_monthly a join {_contribution_pairs()} on a.factor = included join strategy_monthly b on b.attribution_month = a.attribution_month and b.factor = excluded",
+    "grouped_improvement": " union all ".join(f"select '{n}' as metric, count(*) filter (where a.{m} > b.{m}) as positive_periods, count(*) filter (where a.{m} > b.{m}) >= 2 as improved from strategy_metrics a join strategy_metrics b using (period) where a.strategy_id = 'grouped' and b.strategy_id = 'full' and period in ('2000H1', '2000H2', '2001YTD')" for n, (_, m) in PRIMARY.items()),
+    "group_definition": f"select factor, direction, grp as group_id, (count(*) over (partition by grp))::int as group_factor_count, factor in ({', '.join(repr(f) for f in FIXED_POOL)}) as fixed_pool_member, 1.0::double / count(*) over (partition by grp) as within_group_weight, 1.0::double / 8 as between_group_weight, 1.0::double / 8 / count(*) over (partition by grp) as effective_weight from (select * from {_DIRECTIONS}) x join (select * from {_GROUPS}) y using (factor)",
+    "coverage_diagnostics": f"""select factor, trade_date, count(score) as valid_stock_count, count(distinct ts_code) as total_stock_count, avg(available_count) as average_available_component_count, min(available_count) as least_available_component_count, any_value(coalesce(c.n, 8))::int as configured_component_count
+        from strategies left join (select strategy_id as factor, count(*) as n from {_STRATEGIES} group by strategy_id) c using (factor) group by 1, 2""",
+    "strategy_deciles": decile_means(layers("strategies")),
+    "return_profile": f"select factor, decile, {q('avg(mean_return)')} as average_forward_return from strategy_deciles join calendar on signal_date = trade_date where exec_date >= '{OOS_START}' group by 1, 2",
+    "return_monotony": f"select factor, max(average_forward_return) filter (where decile = 1) as d1, max(average_forward_return) filter (where decile = 10) as d10, d10 - d1 as spread, {corr('rd', 'rr')} as monotonic_spearman from (select *, {rank_avg('decile', 'factor')} as rd, {rank_avg('average_forward_return', 'factor')} as rr from return_profile) group by 1",
+    "rolling_advantage": "select *, case when count(d10_d1_delta) over w >= 6 then avg(d10_d1_delta) over w end as rolling_mean from advantage window w as (order by attribution_month rows between 11 preceding and current row)",
+    "naive_composite": composite("(select * from executable join naive_weights using (trade_date, factor))", "Composite_Naive", 6, "sum(neutralized_score * weight) / nullif(sum(case when neutralized_score is not null then weight end), 0)"),
+    "composite_long_short": periodic(spread(decile_means(layers("composite_scores")))),
+    "single_long_short": periodic(spread("select * from ls_means")),
+    "fine_returns": "select *, close_hfq / nullif(lag(close_hfq) over (partition by ts_code order by trade_date), 0) - 1 as return_adjusted from fine_daily",
+    "fine_fit": "select trade_date, ts_code from fine_daily where trade_date in (select trade_date from fine_days)",
+    "fine_momentum": f"select 'Momentum_60D' as factor, trade_date, ts_code, m as raw_value from (select ts_code, trade_date, close_hfq / nullif(lag(close_hfq, 60) over (partition by ts_code order by trade_date), 0) - 1 as m from fine_returns where trade_date between '{WARMUP}' and '{END}') join fine_fit using (trade_date, ts_code) where m is not null",
+    "fine_turnover": rolling("Turnover_20D", "fine_daily", "avg(turnover_rate_f) {}", "turnover_rate_f", 20, "fine_fit"),
+    "fine_volatility": rolling("Volatility", "fine_returns", "stddev_samp(return_adjusted) {} * sqrt(252.0::double)", "return_adjusted", 252, "fine_fit"),
 }
 
 

@@ -13,17 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantlake.functions.expr import split_layer_name
-from quantlake.operators import composites, diagnostics, factors, marginal, portfolio, views, walkforward
+from quantlake.functions.expr import quantise, split_layer_name
+from quantlake.operators import composites, diagnostics, evidence, factors, marginal, portfolio, views, walkforward
 from quantlake.sources.bridge import Bridge
-from quantlake.specs import WalkForward, experiments
+from quantlake.specs import BENCHMARK_CODE, FACTORS, WalkForward, experiments
 
-#: The bridge's days are weeks, so the lags of the daily factors are shorter here.
-WARMUP, START, END = "19950101", "19960101", "20011031"
+#: From the first day of the tables to the end of their last year; the first year is warm-up.  The bridge's days are weeks, so
+#: the lags of the daily factors and the days of a year are fewer here; ``fine_`` relations have days, lags and years as they are.
+WARMUP, START, END = "19950101", "19960101", "20011231"
 LAG, MEAN_ROWS, DEVIATION_ROWS, YEAR = 12, 8, 10, 52
 OOS_START = "20000101"
 CONFIG = WalkForward()
-PERIODS = (("FULL", OOS_START, END), ("2000H1", "20000101", "20000630"), ("2000H2", "20000701", "20001231"), ("2001YTD", "20010101", END), ("2000", "20000101", "20001231"), ("2001", "20010101", "20011231"))
+PERIODS = (("FULL", OOS_START, END), ("2000H1", "20000101", "20000630"), ("2000H2", "20000701", "20001231"), ("2001YTD", "20010101", END), ("2000", "20000101", "20001231"), ("2001", "20010101", END))
+YEARS = evidence.complete_years("19991231", END)
 
 _sessions: dict[tuple[str, str], Research] = {}
 
@@ -56,7 +58,7 @@ class Research:
     LAZY = frozenset(
         "union_by_name adjusted open_days periods f_roe f_growth f_debt f_margin f_pe f_yield f_momentum f_turnover f_volatility f_inflow f_holders period_days nav performance "
         "neutral_performance comparison coverage monthly yearly ic_summary decile_summary long_short_metrics long_short_yearly exposure_summary naive_weights composite_coverage "
-        "layer_nav layer_profile fold_dates champions selection_log factor_weights oos_duplicates oos_ic oos_metrics group_correlation stability paired_tests newey_west annual_stability "
+        "layer_nav layer_profile monthly_contributions grouped_improvement group_definition coverage_diagnostics return_monotony rolling_advantage quality decision reproduction naive_composite composite_long_short single_long_short fine_days fine_fit fine_momentum fine_turnover fine_volatility fold_dates champions selection_log factor_weights oos_duplicates oos_ic oos_metrics group_correlation stability paired_tests intervals_of_means gates "
         "trade_cal index_daily stock_basic adj_factor index_member".split()
     )
 
@@ -132,8 +134,25 @@ def _top_daily(r: Research) -> DataFrame:
     return daily.join(r["benchmark"], "trade_date", "left").withColumn("benchmark_return", F.coalesce("benchmark_return", F.lit(0.0)))
 
 
-def _newey_west(r: Research) -> DataFrame:
-    return marginal.newey_west(r["advantage"], "d10_d1_delta", "attribution_month")
+def _quality(r: Research) -> DataFrame:
+    """Fixed rows stand for the newest of the catalog's quality table."""
+    rows = [("__database__", "cross:daily_adj_factor", "passed", "rows against it: 0"), ("__database__", "cross:daily_trade_calendar", "failed", "rows against it: 2"), ("fina_indicator_vip", "dataset_integrity", "failed", "null or empty keys: 3")]
+    checks = r.spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(row, ("dataset", "check_name", "status", "detail"), strict=True))) for row in rows))))
+    return evidence.quality_gate(r["returns"], r["index_daily"], BENCHMARK_CODE, r["panel"], r["calendar"], checks, "19950131", "20011001", "19960331", "199602")
+
+
+def _archived(r: Research) -> DataFrame:
+    """The metrics as a file with eight digits would have them."""
+    return r["strategy_metrics"].select("period", "strategy_id", *(quantise(m, 8).alias(m) for m in marginal.METRICS))
+
+
+def _bundle(r: Research, scores: str) -> DataFrame:
+    """Long-short metrics of a set of scores."""
+    return diagnostics.periodic_metrics(diagnostics.long_short(diagnostics.decile_returns(diagnostics.assign_layers(r[scores]), r["forward"])))
+
+
+def _configured() -> dict[str, int]:
+    return {s.strategy_id: len(s.factors) for s in experiments()} | {"grouped": len({f.group for f in FACTORS})}
 
 
 def _layer_profile(r: Research) -> DataFrame:
@@ -155,7 +174,7 @@ RELATIONS: dict[str, Callable[[Research], DataFrame]] = {
     "returns": lambda r: views.adjusted_returns(r["adjusted"]),
     "universe": lambda r: views.stock_universe_daily(r["daily"], r["stock_basic"], r["suspend_d"]),
     "intervals": lambda r: views.asof_intervals(r["fina_indicator"]),
-    "open_days": lambda r: views.open_trade_dates(r["trade_cal"], START, END),
+    "open_days": lambda r: views.open_trade_dates(r["trade_cal"], WARMUP, END),
     "calendar": lambda r: portfolio.rebalance_calendar(r["trade_dates"], START, END),
     "periods": lambda r: portfolio.period_calendar(r["calendar"]),
     "fit": lambda r: factors.eligible(r["calendar"], r["universe"], "signal_date"),
@@ -228,20 +247,40 @@ RELATIONS: dict[str, Callable[[Research], DataFrame]] = {
     "oos_ic": lambda r: walkforward.oos_coefficients(r["neutral_ic"], r["composite_ic"], r["oos_signals"]),
     "oos_daily": _oos_daily,
     "oos_duplicates": lambda r: walkforward.duplicate_oos_keys(r["oos_daily"]),
-    "oos_metrics": lambda r: walkforward.oos_metrics(walkforward.require_unique_oos(r["oos_daily"]), r["oos_ic"]),
+    "oos_metrics": lambda r: walkforward.oos_metrics(walkforward.require_unique_oos(r["oos_daily"]), r["oos_ic"], YEAR),
     "strategies": _strategies,
     "group_correlation": lambda r: marginal.group_correlation(r["executable"]),
     "strategy_ic": lambda r: diagnostics.information_coefficients(r["strategies"], r["forward"]),
-    "strategy_ls": lambda r: diagnostics.long_short(diagnostics.decile_returns(diagnostics.assign_layers(r["strategies"]), r["forward"])),
+    "strategy_ls": lambda r: diagnostics.long_short(r["strategy_deciles"]),
     "strategy_pair_turnover": lambda r: walkforward.bucket_turnover(r["strategies"]),
     "strategy_turnover": lambda r: portfolio.turnover(portfolio.top_quantile_weights(r["strategies"])),
     "strategy_daily": _top_daily,
     "strategy_monthly": lambda r: marginal.monthly_results(r["strategy_ls"], r["strategy_ic"], r["strategy_daily"], r["strategy_turnover"], r["strategy_pair_turnover"], r["calendar"], OOS_START, END),
-    "strategy_metrics": lambda r: marginal.period_metrics(PERIODS, r["strategy_ls"], r["strategy_ic"], r["strategy_daily"], r["strategy_turnover"], r["strategy_pair_turnover"], r["strategies"], r["calendar"]),
+    "strategy_metrics": lambda r: marginal.period_metrics(PERIODS, r["strategy_ls"], r["strategy_ic"], r["strategy_daily"], r["strategy_turnover"], r["strategy_pair_turnover"], r["strategies"], r["calendar"], YEAR),
     "contributions": lambda r: marginal.contributions(r["strategy_metrics"], experiments()),
+    "monthly_contributions": lambda r: marginal.contributions(r["strategy_monthly"], experiments(), marginal.MONTHLY, "attribution_month", "factor"),
     "stability": lambda r: marginal.classify_stability(r["contributions"].filter("period not in ('2000', '2001')"), "FULL"),
+    "grouped_improvement": lambda r: marginal.grouped_improvement(r["strategy_metrics"].filter("period in ('2000H1', '2000H2', '2001YTD')"), "grouped", "full"),
+    "group_definition": lambda r: marginal.group_definition(r.spark),
+    "coverage_diagnostics": lambda r: marginal.coverage_diagnostics(r["strategies"], _configured()),
+    "strategy_deciles": lambda r: diagnostics.decile_returns(diagnostics.assign_layers(r["strategies"]), r["forward"]),
+    "return_profile": lambda r: marginal.layer_profile(r["strategy_deciles"], OOS_START, r["calendar"]),
+    "return_monotony": lambda r: marginal.layer_monotony(r["return_profile"]),
     "advantage": lambda r: marginal.monthly_advantage(r["strategy_monthly"], "grouped", "full"),
-    "paired_tests": lambda r: marginal.paired_tests(r["advantage"]),
-    "newey_west": _newey_west,
-    "annual_stability": lambda r: marginal.annual_stability(r["strategy_metrics"], "grouped", "full"),
+    "rolling_advantage": lambda r: marginal.rolling_advantage(r["advantage"], "d10_d1_delta", "attribution_month"),
+    "paired_tests": lambda r: evidence.paired_tests(evidence.paired(r["advantage"])),
+    "intervals_of_means": lambda r: evidence.bootstrap(evidence.paired(r["advantage"])),
+    "annual_stability": lambda r: evidence.annual_stability(r["strategy_metrics"], "grouped", "full", YEARS),
+    "gates": lambda r: evidence.gates(r["strategy_metrics"], r["annual_stability"], "FULL", "grouped", "full", YEARS),
+    "quality": _quality,
+    "decision": lambda r: evidence.decision(evidence.all_gates(r["gates"], r["intervals_of_means"], r["quality"])),
+    "reproduction": lambda r: evidence.reproduction(r["strategy_metrics"], _archived(r), ["period", "strategy_id"], marginal.METRICS),
+    "naive_composite": lambda r: composites.weighted_composite(r["executable"], r["naive_weights"], "Composite_Naive", 6),
+    "composite_long_short": lambda r: _bundle(r, "composite_scores"),
+    "single_long_short": lambda r: diagnostics.periodic_metrics(diagnostics.long_short(diagnostics.decile_returns(diagnostics.assign_layers(r["executable"], score="neutralized_score"), r["forward"]))),
+    "fine_returns": lambda r: views.adjusted_returns(r["fine_daily"]),
+    "fine_fit": lambda r: r["fine_daily"].join(r["fine_days"], "trade_date").select("trade_date", "ts_code"),
+    "fine_momentum": lambda r: factors.momentum(r["fine_fit"], r["fine_returns"], WARMUP, END),
+    "fine_turnover": lambda r: factors.turnover_factor(r["fine_fit"], r["fine_daily"], WARMUP, END),
+    "fine_volatility": lambda r: factors.volatility_factor(r["fine_fit"], r["fine_returns"], WARMUP, END),
 }

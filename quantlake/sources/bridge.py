@@ -78,6 +78,14 @@ RELATIONS: dict[str, str] = {
         select '000985.CSI' as ts_code, ymd(date_trunc('week', l_shipdate)) as trade_date,
                floor((1e2 + floor(sum(l_extendedprice) * 1e2 + 0.5e0) / 1e2 / sum(l_quantity) / 1e3) * 1e6 + 0.5e0) / 1e6 as close
         from lineitem group by 1, 2""",
+    # Days as they are, for factors over their own numbers of rows.
+    "fine_daily": f"""
+        select {CODE.format("l_suppkey")} as ts_code, ymd(l_shipdate) as trade_date,
+               floor((1e2 + floor(sum(l_extendedprice) * 1e2 + 0.5e0) / 1e2 / sum(l_quantity) / 1e3) * 1e6 + 0.5e0) / 1e6 as close_hfq,
+               floor((sum(l_quantity) % 97 + 1) / 10 * 1e4 + 0.5e0) / 1e4 as turnover_rate_f
+        from lineitem group by 1, 2""",
+    "fine_days": """
+        select max(trade_date) as trade_date from fine_daily group by substr(trade_date, 1, 6)""",
     "trade_cal": """
         select 'SSE' as exchange, ymd(d) as cal_date, case when dow in (1, 7) then 0 else 1 end as is_open
         from (select distinct date_trunc('day', l_shipdate) as d, weekday_no(l_shipdate) as dow from lineitem) x""",

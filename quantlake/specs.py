@@ -163,6 +163,12 @@ NO_CANDIDATE, FIRST, LOST, STAYS, BEATEN, KEPT, NOT_SELECTED = (
 FIXED_POOL = ("PE_TTM", "Dividend_Yield", "Volatility", "Main_Net_In")
 
 
+#: The paired metrics, (difference by month, metric of a period), and the labels of a decision.
+PRIMARY = {"d10_d1": ("d10_d1_delta", "d10_d1_annual_return"), "top20_excess": ("top20_excess_delta", "top20_excess_annual_return")}
+LABELS = {"insufficient": "数据不足，无法判定", "replace": "可替换/挑战者更好", "keep": "继续作为挑战者", "worse": "不优于基准"}
+BOOTSTRAP_SEED, BOOTSTRAP_REPETITIONS, BOOTSTRAP_BLOCK = 20260722, 10_000, 6
+
+
 @dataclass(frozen=True)
 class WalkForward:
     train_periods: int = 24
@@ -214,3 +220,13 @@ def experiments(factors: tuple[str, ...] = tuple(f.name for f in FACTORS), fixed
             more = (*fixed, f)
             out.append(Strategy("add_one_back", f"aob_{f}", more, minimum_component_count(len(more)), f, "fixed"))
     return out
+
+
+def check_protocol(factors: tuple[FactorSpec, ...] = FACTORS) -> None:
+    """Refuse factors, groups or thresholds other than those that results were made with: eleven factors in eight groups."""
+    groups = {g: tuple(sorted(f.name for f in factors if f.group == g)) for g in {f.group for f in factors}}
+    frozen = {g: tuple(sorted(f.name for f in FACTORS if f.group == g)) for g in {f.group for f in FACTORS}}
+    if (len(factors), len(groups)) != (11, 8) or groups != frozen:
+        raise ValueError("the definition of eleven factors in eight groups has changed")
+    if (minimum_component_count(11), minimum_component_count(8)) != (6, 5):
+        raise ValueError("the coverage thresholds 6 of 11 and 5 of 8 have changed")

@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantlake.functions import expr
-from quantlake.operators import composites, diagnostics, factors, marginal, portfolio, views, walkforward
+from quantlake.operators import composites, diagnostics, evidence, factors, marginal, portfolio, views, walkforward
 from quantlake.plans import queries as plans
-from quantlake.specs import FactorSpec, WalkForward, experiments, minimum_component_count
+from quantlake.specs import FACTORS, LABELS, FactorSpec, WalkForward, check_protocol, experiments, minimum_component_count
 from tests.conftest import DATA
 
 
@@ -240,26 +240,86 @@ def test_protocol():
 
 
 def test_statistics(spark):
-    values = [0.01, -0.02, 0.03, 0.0, 0.015, -0.005, 0.02, 0.01]
-    df = frame(spark, [(f"2024-{i + 1:02d}", v) for i, v in enumerate(values)], "attribution_month string, d double")
-    r = marginal.newey_west(df, "d", "attribution_month").first()
-    v = np.array(values) - np.mean(values)
-    lag = max(1, math.floor(4 * (len(v) / 100) ** (2 / 9)))
-    long = v @ v / len(v) + sum(2 * (1 - k / (lag + 1)) * (v[k:] @ v[:-k]) / len(v) for k in range(1, lag + 1))
-    assert r["lag"] == lag and r["statistic"] == pytest.approx(np.mean(values) / math.sqrt(long / len(v)))
-    low, high = marginal.block_bootstrap(values, 500)
-    assert low < np.mean(values) < high and marginal.block_bootstrap(values, 500) == (low, high)
-    assert marginal.two_sided_p(0.0) == 1.0
-    assert marginal.complete_years("20160201", "20181219") == [2017] and marginal.complete_years("20160201", "20181220") == [2017, 2018]
-    side = dict.fromkeys(marginal.METRICS, 0.0)
-    good = {m: 1.0 if "turnover" not in m else -1.0 for m in marginal.METRICS}
-    full = {"challenger": good, "baseline": side}
-    wins = {"d10_d1": 2, "top20_excess": 3}
-    yes = {"d10_d1": True, "top20_excess": True}
-    assert marginal.decision(full, wins, yes, [1, 2, 3])["label"] == "replace"
-    assert marginal.decision(full, wins, {}, [1, 2, 3])["label"] == "keep_as_challenger"
-    assert marginal.decision(full, {}, yes, [1, 2, 3])["label"] == "not_better"
-    assert marginal.decision(full, wins, yes, [1, 2, 3], ["daily"])["label"] == "insufficient_data"
+    values = {"d10_d1": [0.01, -0.02, 0.03, 0.0, 0.015, -0.005, 0.02, 0.01], "top20_excess": [0.3, -0.1]}
+    months = [f"2024-{i + 1:02d}" for i in range(8)]
+    advantage = frame(spark, [(m, values["d10_d1"][i], values["top20_excess"][i] if i < 2 else None) for i, m in enumerate(months)], "attribution_month string, d10_d1_delta double, top20_excess_delta double")
+    rows = evidence.paired(advantage)
+    got = {r["metric"]: r for r in evidence.paired_tests(rows).collect()}
+    for name, own in values.items():
+        v, r = np.array(own) - np.mean(own), got[name]
+        lag = min(max(1, math.floor(4 * (len(v) / 100) ** (2 / 9))), len(v) - 1)
+        long = v @ v / len(v) + sum(2 * (1 - k / (lag + 1)) * (v[k:] @ v[:-k]) / len(v) for k in range(1, lag + 1))
+        assert (r["months"], r["newey_west_lag"]) == (len(own), lag) and r["median_delta"] == pytest.approx(np.median(own))
+        if long > 1e-15:
+            assert r["newey_west_stat"] == pytest.approx(np.mean(own) / math.sqrt(long / len(v)))
+            assert r["newey_west_two_sided_p"] == pytest.approx(math.erfc(abs(r["newey_west_stat"]) / math.sqrt(2)), abs=1e-12)
+        assert r["simple_t"] == pytest.approx(np.mean(own) / (np.std(own, ddof=1) / math.sqrt(len(own))))
+    drawn = {r["metric"]: r for r in evidence.bootstrap(rows, 500).collect()}
+    for k, (name, own) in enumerate(values.items()):
+        assert (drawn[name]["bootstrap_ci_95_low"], drawn[name]["bootstrap_ci_95_high"]) == evidence.block_bootstrap(own, 500, seed=20260722 + k)
+        assert drawn[name]["bootstrap_block_months"] == min(6, len(own)) and drawn[name]["bootstrap_significant_positive"] == (drawn[name]["bootstrap_ci_95_low"] > 0)
+    z = [0.0, 0.5, 1.96, 5.0, 9.0, None]
+    p = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(evidence.two_sided_p(F.col("z"))).collect()]
+    assert p[:5] == pytest.approx([math.erfc(x / math.sqrt(2)) for x in z[:5]], abs=1e-12) and p[5] is None
+
+
+def test_block_bootstrap_draws_one_block_after_another():
+    v = np.arange(10.0) ** 2
+    rng = np.random.default_rng(20260722)
+    blocks = [v[k : k + 6] for k in range(5)]
+    means = [np.concatenate([blocks[i] for i in rng.integers(0, 5, 2)])[:10].mean() for _ in range(300)]
+    assert evidence.block_bootstrap(v, 300) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
+@pytest.mark.parametrize(
+    ("better", "wins", "low", "critical", "label"),
+    [(1.0, 2, 0.1, "passed", "replace"), (1.0, 2, -0.1, "passed", "keep"), (1.0, 1, 0.1, "passed", "worse"), (-1.0, 2, 0.1, "passed", "worse"), (1.0, 2, 0.1, "failed", "insufficient"), (1.0, 2, 0.1, "warning", "replace")],
+)
+def test_decision(spark, better, wins, low, critical, label):
+    columns = [c for *_, c, _, _ in evidence.COMPARISONS]
+    ahead = [better if "turnover" not in c else -better for c in columns]
+    metrics = frame(spark, [("FULL", "grouped", *ahead), ("FULL", "full", *(0.0 for _ in columns))], "period string, strategy_id string, " + ", ".join(f"{c} double" for c in columns))
+    stability = frame(spark, [(m, y < wins) for m in ("d10_d1", "top20_excess") for y in range(3)], "metric string, challenger_wins boolean")
+    compared = evidence.gates(metrics, stability, "FULL", "grouped", "full", [2000, 2001, 2002])
+    intervals = frame(spark, [(m, low, low > 0) for m in ("d10_d1", "top20_excess")], "metric string, bootstrap_ci_95_low double, bootstrap_significant_positive boolean")
+    quality = frame(spark, [("a", "passed", True), ("b", critical, critical != "warning")], "check_name string, status string, critical boolean")
+    row = evidence.decision(evidence.all_gates(compared, intervals, quality)).first()
+    assert row["label"] == LABELS[label] and (row["failed_gates"] == "") == (label == "replace")
+
+
+def test_complete_years_and_stability(spark):
+    assert evidence.complete_years("20160201", "20181219") == [2017] and evidence.complete_years("20160201", "20181220") == [2017, 2018]
+    rows = [("2017", "grouped", 0.2, 0.1), ("2017", "full", 0.1, 0.1), ("2018", "grouped", 0.0, 0.3), ("FULL", "grouped", 9.0, 9.0)]
+    metrics = frame(spark, rows, "period string, strategy_id string, d10_d1_annual_return double, top20_excess_annual_return double")
+    got = {(r["year"], r["metric"]): r["challenger_wins"] for r in evidence.annual_stability(metrics, "grouped", "full", [2017, 2018]).collect()}
+    assert got == {(2017, "d10_d1"): True, (2017, "top20_excess"): False}
+
+
+def test_reproduction(spark):
+    old = frame(spark, [("A", 1.0, None), ("B", 2.0, 1.0), ("C", 5.0, 1.0)], "k string, x double, y double")
+    now = frame(spark, [("A", 1.0 + 1e-12, None), ("B", 2.1, None)], "k string, x double, y double")
+    got = {(r["k"], r["metric"]): r["within_tolerance"] for r in evidence.reproduction(now, old, ["k"], ["x", "y"]).collect()}
+    assert got == {("A", "x"): True, ("A", "y"): True, ("B", "x"): False, ("B", "y"): False, ("C", "x"): False, ("C", "y"): False}
+
+
+def test_protocol_has_not_changed():
+    check_protocol()
+    with pytest.raises(ValueError, match="eight groups"):
+        check_protocol(FACTORS[:-1])
+
+
+def test_contributions_and_improvement(spark):
+    metrics = frame(spark, [("P", "full", 0.3), ("P", "loo_ROE", 0.1), ("P", "fixed", 0.2), ("P", "aob_ROE", 0.5), ("Q", "full", 0.3)], "period string, strategy_id string, d10_d1_annual_return double")
+    got = {(r["family"], r["factor_id"], r["period"]): r["d10_d1_annual_return_contribution"] for r in marginal.contributions(metrics, experiments(), ["d10_d1_annual_return"]).filter("factor_id = 'ROE'").collect()}
+    assert got["leave_one_out", "ROE", "P"] == pytest.approx(0.2) and got["add_one_back", "ROE", "P"] == pytest.approx(0.3) and got.get(("leave_one_out", "ROE", "Q")) is None
+    wide = frame(spark, [(p, s, x, -x) for p in "PQR" for s, x in (("g", 1.0), ("f", 0.5))], "period string, strategy_id string, d10_d1_annual_return double, top20_excess_annual_return double")
+    assert {r["metric"]: (r["positive_periods"], r["improved"]) for r in marginal.grouped_improvement(wide, "g", "f").collect()} == {"d10_d1": (3, True), "top20_excess": (0, False)}
+
+
+def test_layer_monotony(spark):
+    profile = frame(spark, [("X", d, d / 100.0) for d in range(1, 11)] + [("Y", d, (11 - d) / 100.0) for d in range(1, 11)], "factor string, decile int, average_forward_return double")
+    got = {r["factor"]: (r["spread"], r["monotonic_spearman"]) for r in marginal.layer_monotony(profile).collect()}
+    assert got["X"] == (pytest.approx(0.09), pytest.approx(1.0)) and got["Y"] == (pytest.approx(-0.09), pytest.approx(-1.0))
 
 
 def _normal(df) -> list[tuple]:
