@@ -33,18 +33,22 @@ def quality(text: str | None) -> tuple:
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed
 
 
-def sections(text: str | None, most: int, encode) -> list[tuple]:
+def sections(text: str | None, most: int, encode, rule: str = "most") -> list[tuple]:
     text, spans, at = text or "", [], 0
     for line in re.findall(r"[^\n]*\n|[^\n]+", text):
         spans += [(at + k, at + min(k + most, len(line))) for k in range(0, len(line), most)]
         at += len(line)
-    spans = spans or [(0, 0)]
+    return attributed(spans or [(0, 0)], encode(text).offsets, rule)
+
+
+def attributed(spans: list[tuple], offsets: list[tuple], rule: str = "most") -> list[tuple]:
     counts = [[0, 0] for _ in spans]
-    for a, b in encode(text).offsets:
+    for a, b in offsets:
         common = [max(0, min(b, y) - max(a, x)) for x, y in spans]
-        k = max(range(len(spans)), key=lambda i: (common[i], -i))
+        held = [i for i, c in enumerate(common) if c]
+        k = {"most": max(range(len(spans)), key=lambda i: (common[i], -i)), "first": held[0], "last": held[-1]}[rule]
         counts[k][0] += 1
-        counts[k][1] += sum(c > 0 for c in common) > 1
+        counts[k][1] += len(held) > 1
     return [(i, x, y, *c) for i, ((x, y), c) in enumerate(zip(spans, counts, strict=True))]
 
 
