@@ -93,3 +93,14 @@ def split_layer_name(name: str | Column) -> tuple[Column, Column]:
 
 def month(date: str | Column) -> Column:
     return F.concat_ws("-", F.substring(col(date), 1, 4), F.substring(col(date), 5, 2))
+
+
+def compact_date(c: str | Column) -> Column:
+    """YYYYMMDD of a date with or without dashes; NULL for what is no date."""
+    text = F.regexp_replace(col(c).cast("string"), "-", "")
+    return F.when(text.rlike("^[0-9]{8}$") & F.try_to_timestamp(text, F.lit("yyyyMMdd")).isNotNull(), text)
+
+
+def dashed_date(c: str | Column) -> Column:
+    """YYYY-MM-DD of a compact date."""
+    return F.concat_ws("-", F.substring(col(c), 1, 4), F.substring(col(c), 5, 2), F.substring(col(c), 7, 2))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantlake.functions.expr import bucket, clip, divide, number, quantise
+from quantlake.functions.expr import bucket, clip, compact_date, dashed_date, divide, number, quantise
 from quantlake.operators import marginal
 from quantlake.plans import oracle
 from quantlake.plans.research import RELATIONS, research
@@ -266,6 +266,9 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         quantise(divide("l_extendedprice", F.nullif("l_tax", F.lit(0.0)))).alias("per_tax"),
         number(F.when(F.col("l_linenumber") == 1, "x").otherwise(F.col("l_linenumber").cast("string"))).alias("coerced"),
         bucket(order, size, 10).alias("bucket"),
+        number(F.when(F.col("l_linenumber") == 2, "Infinity").when(F.col("l_linenumber") == 3, "NaN").when(F.col("l_linenumber") == 4, "-Infinity").otherwise(F.col("l_quantity").cast("string"))).alias("finite"),
+        compact_date(F.when(F.col("l_linenumber") == 1, "1995-13-01").when(F.col("l_linenumber") == 2, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise(day)).alias("compact"),
+        dashed_date(day).alias("dashed"),
     )
 
 
@@ -325,7 +328,7 @@ STORAGE_SQL: dict[str, str] = {
     "w16_rolling_mean": _with("long_short") + f" select factor, trade_date, {oracle.q('case when count(long_short_return) over w >= 6 then avg(long_short_return) over w end', 6)} as rolling_mean from long_short window w as (partition by factor order by trade_date rows between 11 preceding and current row)",
     "p_scalars": """select l_orderkey, l_linenumber, l_partkey, strftime(l_shipdate, '%Y%m%d') as ship_day, strftime(l_shipdate, '%Y-%m') as ship_month, regexp_matches(strftime(l_shipdate, '%Y%m%d'), '^199[0-9]{5}$') as is_nineties, l_returnflag in ('A', 'R') as is_returned,
         floor(least(greatest(l_extendedprice, 1000), 50000) * 1e6 + 0.5::double) / 1e6 as clipped, floor(case when l_discount > 0 then ln(l_discount) end * 1e6 + 0.5::double) / 1e6 as log_discount, floor(l_extendedprice / nullif(l_tax, 0) * 1e6 + 0.5::double) / 1e6 as per_tax, case when l_linenumber = 1 then null else l_linenumber::double end as coerced,
-        least(greatest(ceil(row_number() over (partition by l_suppkey order by l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_discount, l_tax) * 10.0::double / count(*) over (partition by l_suppkey)), 1), 10)::int as bucket from lineitem""",
+        least(greatest(ceil(row_number() over (partition by l_suppkey order by l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_discount, l_tax) * 10.0::double / count(*) over (partition by l_suppkey)), 1), 10)::int as bucket, case when l_linenumber not in (2, 3, 4) then l_quantity end as finite, case when l_linenumber <> 1 then strftime(l_shipdate, '%Y%m%d') end as compact, strftime(l_shipdate, '%Y-%m-%d') as dashed from lineitem""",
 }
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
+from xml.etree import ElementTree
+
+import pytest
+
 from quantlake.cli import main
 from quantlake.sources import sinks
 from tests.test_storage import Fake
@@ -38,6 +43,16 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(df, tmp_path / "r.csv", ["k"])
     assert (tmp_path / "r.csv").read_text(encoding="utf-8").startswith(sinks.BOM + "k,v")
     assert sinks.read_csv(spark, tmp_path / "r.csv").count() == 2
+    with pytest.raises(ValueError, match="at most 1 rows"):
+        sinks.write_csv(df, tmp_path / "x.csv", most=1)
+    assert not (tmp_path / "x.csv").exists()
+    nav = spark.createDataFrame([(s, d, v) for s, k in (("a<b", 1.0), ("c", 2.0)) for d, v in (("20240101", k), ("20240102", k * 1.1), ("20240103", None))], "s string, d string, v double")
+    sinks.line_chart(nav, tmp_path / "nav.svg", "d", "v", "s", "Net & gross")
+    picture = ElementTree.parse(tmp_path / "nav.svg").getroot()
+    assert len(picture.findall("{*}polyline")) == 2 and "Net & gross" in "".join(picture.itertext())
+    sinks.bundle([tmp_path / "r.csv", tmp_path / "nav.svg"], tmp_path / "all.zip")
+    assert zipfile.ZipFile(tmp_path / "all.zip").namelist() == ["nav.svg", "r.csv"]
+    (tmp_path / "all.zip").unlink()
     assert sinks.markdown(df.orderBy("k")).splitlines()[2] == "| a |  |"
     before = sinks.snapshot([tmp_path / "r.csv", tmp_path / "m.json"])
     sinks.write_json({"run": sinks.run_id({"a": 1})}, tmp_path / "m.json")
