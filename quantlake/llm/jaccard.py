@@ -324,5 +324,6 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """
     documents, classes = link_components(docs, whole=True)
     first = classes.filter("node = root").select("row")
-    kept = documents.filter("n > 0").join(first, "row", "left_semi").unionByName(documents.filter("n = 0"))
+    # Of documents and of those that stay only a shuffle can be counted on.
+    kept = documents.filter("n > 0").join(first.hint("shuffle_hash"), "row", "left_semi").unionByName(documents.filter("n = 0"))
     return kept.select(*(F.col("own").getField(c).alias(c) for c in docs.columns))
