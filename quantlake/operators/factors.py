@@ -74,6 +74,18 @@ def volatility_factor(fit: DataFrame, returns: DataFrame, start: str, end: str,
     return rolling_factor(fit, returns, "return_adjusted", rows, "stddev", start, end, name, math.sqrt(year))
 
 
+def price_factors(fit: DataFrame, returns: DataFrame, start: str, end: str, lag: int = 60, rows: int = 252, year: int = 252, names: tuple[str, str] = ("Momentum_60D", "Volatility")) -> DataFrame:
+    """``momentum`` and ``volatility_factor`` from one pass over the returns: one shuffle, one sort, one join."""
+    order = Window.partitionBy("ts_code").orderBy("trade_date")
+    window = order.rowsBetween(1 - rows, 0)
+    made = returns.filter(F.col("trade_date").between(start, end)).select(
+        "trade_date", "ts_code", (divide("close_hfq", F.nullif(F.lag("close_hfq", lag).over(order), F.lit(0.0))) - 1.0).alias("_m"),
+        F.when(F.count("return_adjusted").over(window) == rows, F.stddev_samp("return_adjusted").over(window) * F.lit(math.sqrt(year))).alias("_v"),
+    )
+    long = F.inline(F.array(*(F.struct(F.lit(name).alias("factor"), F.col(c).alias("raw_value")) for name, c in zip(names, ("_m", "_v"), strict=True))))
+    return made.join(fit, ["trade_date", "ts_code"]).select("trade_date", "ts_code", long).filter("raw_value is not null").select("factor", "trade_date", "ts_code", "raw_value")
+
+
 def net_inflow(fit: DataFrame, moneyflow: DataFrame, name: str = "Main_Net_In") -> DataFrame:
     """Large and extra-large purchases less sales; a missing amount counts as nothing."""
     amount = lambda c: F.coalesce(F.col(c), F.lit(0.0))

@@ -90,9 +90,8 @@ def _panel(r: Research) -> DataFrame:
     return factors.factor_panel([
         factors.asof_factors(fit, r["intervals"], {"ROE": "roe", "Revenue_Growth": "tr_yoy", "Debt_to_Equity": "debt_to_eqt", "Gross_Margin": "grossprofit_margin"}),
         factors.snapshot_factor(fit, r["daily_basic"], "PE_TTM", "pe_ttm", "pe_ttm > 0"),
-        r["f_momentum"],
+        factors.price_factors(fit, r["returns"], WARMUP, END, LAG, DEVIATION_ROWS, YEAR),
         r["f_turnover"],
-        r["f_volatility"],
         r["f_inflow"],
         factors.snapshot_factor(fit, r["daily_basic"], "Dividend_Yield", "dv_ttm"),
         r["f_holders"],
