@@ -98,6 +98,17 @@ def periodic(pairs: str) -> str:
         avg((long_short_return > 0)::int::double) as win_rate, product(1 + long_short_return) - 1 as cumulative_return from ({nav(f"(select * from ({pairs}) where long_short_return is not null)", "factor", "long_short_return")}) group by 1)"""
 
 
+def shape(means: str) -> str:
+    return f"""select * from (select factor, avg(case when n >= 2 and rising then 1.0::double else 0 end) as monotonic_ratio, avg(case when n >= 3 then rho end) as mean_spearman from (
+            select factor, trade_date, count(*) as n, min(d) >= 0 as rising, {corr("rd", "rr")} as rho from (select *, mean_return - lag(mean_return) over (partition by factor, trade_date order by decile) as d, {rank_avg("decile", "factor, trade_date")} as rd, {rank_avg("mean_return", "factor, trade_date")} as rr
+            from {means} where mean_return is not null) group by 1, 2) group by 1)
+        join (select factor, {", ".join(f"avg(mean_return) filter (where decile = {d}) as d{d}_mean, pow(product(1 + mean_return) filter (where decile = {d}), 12.0::double / count(mean_return) filter (where decile = {d})) - 1 as d{d}_annual" for d in (1, 5, 10))} from {means} where mean_return is not null group by 1) using (factor)"""
+
+
+def ic_summary(table: str) -> str:
+    return "select factor, " + ", ".join(f"avg({c}) as {c}_mean, stddev_pop({c}) as {c}_std, avg(case when {c} is not null then ({c} > 0)::int::double end) as {c}_win_rate, avg({c}) / nullif(stddev_pop({c}), 0) as {c}_icir, avg({c}) / nullif(stddev_pop({c}), 0) * sqrt(12.0::double) as {c}_annual_icir" for c in ("ic", "rank_ic")) + ", count(rank_ic) as periods from " + table + " group by 1"
+
+
 def leg_turnover(scores: str, score: str = "score") -> str:
     legs = f"select factor || '|' || decile as factor, trade_date, ts_code, 1.0::double / count(*) over (partition by factor, trade_date, decile) as weight from ({layers(scores, score)}) where decile in (1, 10)"
     return f"""select factor, trade_date, low_turnover, high_turnover, coalesce(low_turnover, 0) + coalesce(high_turnover, 0) as two_leg_turnover from (select split_part(t.factor, '|', 1) as factor, trade_date,
@@ -215,13 +226,10 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
         from (select d.signal_date, d.exec_date, c.ts_code, r.return_adjusted as r, s.ts_code as s from period_days d cross join (select distinct ts_code from returns) c left join returns r on r.trade_date = d.day and r.ts_code = c.ts_code
               left join (select distinct trade_date, ts_code from suspend_d) s on s.trade_date = d.day and s.ts_code = c.ts_code) group by 1, 2, 3""",
     "ic": coefficients("scores", "score"),
-    "ic_summary": "select factor, " + ", ".join(f"avg({c}) as {c}_mean, stddev_pop({c}) as {c}_std, avg(case when {c} is not null then ({c} > 0)::int::double end) as {c}_win_rate, avg({c}) / nullif(stddev_pop({c}), 0) as {c}_icir, avg({c}) / nullif(stddev_pop({c}), 0) * sqrt(12.0::double) as {c}_annual_icir" for c in ("ic", "rank_ic")) + ", count(rank_ic) as periods from ic group by 1",
+    "ic_summary": ic_summary("ic"),
     "deciles": layers("scores"),
     "decile_returns": decile_means("select * from deciles"),
-    "decile_summary": f"""select * from (select factor, avg(case when n >= 2 and rising then 1.0::double else 0 end) as monotonic_ratio, avg(case when n >= 3 then rho end) as mean_spearman from (
-            select factor, trade_date, count(*) as n, min(d) >= 0 as rising, {corr("rd", "rr")} as rho from (select *, mean_return - lag(mean_return) over (partition by factor, trade_date order by decile) as d, {rank_avg("decile", "factor, trade_date")} as rd, {rank_avg("mean_return", "factor, trade_date")} as rr
-            from decile_returns where mean_return is not null) group by 1, 2) group by 1)
-        join (select factor, {", ".join(f"avg(mean_return) filter (where decile = {d}) as d{d}_mean, pow(product(1 + mean_return) filter (where decile = {d}), 12.0::double / count(mean_return) filter (where decile = {d})) - 1 as d{d}_annual" for d in (1, 5, 10))} from decile_returns where mean_return is not null group by 1) using (factor)""",
+    "decile_summary": shape("decile_returns"),
     "long_short": spread("select * from decile_returns"),
     "long_short_metrics": periodic("select * from long_short"),
     "long_short_yearly": "select factor, substr(trade_date, 1, 4) as year, product(1 + long_short_return) - 1 as yearly_return, count(*) as periods from long_short where long_short_return is not null group by 1, 2",
@@ -369,7 +377,14 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
     "return_monotony": f"select factor, max(average_forward_return) filter (where decile = 1) as d1, max(average_forward_return) filter (where decile = 10) as d10, d10 - d1 as spread, {corr('rd', 'rr')} as monotonic_spearman from (select *, {rank_avg('decile', 'factor')} as rd, {rank_avg('average_forward_return', 'factor')} as rr from return_profile) group by 1",
     "rolling_advantage": "select *, case when count(d10_d1_delta) over w >= 6 then avg(d10_d1_delta) over w end as rolling_mean from advantage window w as (order by attribution_month rows between 11 preceding and current row)",
     "naive_composite": composite("(select * from executable join naive_weights using (trade_date, factor))", "Composite_Naive", 6, "sum(neutralized_score * weight) / nullif(sum(case when neutralized_score is not null then weight end), 0)"),
-    "composite_long_short": periodic(spread(decile_means(layers("composite_scores")))),
+    "composite_layers": layers("composite_scores", out="bucket"),
+    "top_layer_weights": "select * from layer_weights where factor like '%\\_D10' escape '\\'",
+    "layer_metrics": performance("layer_daily", "layer_turnover"),
+    "layer_period_returns": decile_means("select *, bucket as decile from composite_layers"),
+    "layer_summary": shape("layer_period_returns"),
+    "composite_spread": spread("select * from layer_period_returns"),
+    "composite_long_short": periodic("select * from composite_spread"),
+    "composite_ic_summary": ic_summary("composite_ic"),
     "single_long_short": periodic(spread("select * from ls_means")),
     "fine_returns": "select *, close_hfq / nullif(lag(close_hfq) over (partition by ts_code order by trade_date), 0) - 1 as return_adjusted from fine_daily",
     "fine_fit": "select trade_date, ts_code from fine_daily where trade_date in (select trade_date from fine_days)",

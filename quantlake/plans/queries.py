@@ -124,6 +124,14 @@ SPECS: tuple[tuple[str, str, str, str], ...] = (
     ("w16_rolling_advantage", "rolling_advantage", "attribution_month year", "d10_d1_delta rolling_mean"),
     ("m5_naive_composite", "naive_composite", "factor trade_date ts_code available_count", "score"),
     ("m5_composite_long_short", "composite_long_short", "factor periods", "annual_return annual_volatility max_drawdown win_rate cumulative_return sharpe"),
+    ("m5_layers", "composite_layers", "factor trade_date ts_code bucket", "score"),
+    ("m5_top_layer_weights", "top_layer_weights", "factor trade_date ts_code", "weight"),
+    ("m5_layer_turnover", "layer_turnover", "factor trade_date", "turnover"),
+    ("m5_layer_metrics", "layer_metrics", "factor start_date end_date trading_days missing_return_count suspended_return_count invalid_missing_return_count", "annual_return annual_volatility max_drawdown cumulative_return benchmark_annual_return average_invalid_missing_weight max_invalid_missing_weight average_monthly_turnover annualized_turnover sharpe excess_annual_return"),
+    ("m5_layer_period_returns", "layer_period_returns", "factor trade_date decile stock_count", "mean_return"),
+    ("m5_layer_summary", "layer_summary", "factor", "monotonic_ratio mean_spearman d1_mean d1_annual d5_mean d5_annual d10_mean d10_annual"),
+    ("m5_composite_spread", "composite_spread", "factor trade_date", "long_short_return"),
+    ("m5_composite_ic_summary", "composite_ic_summary", "factor periods", "ic_mean ic_std ic_win_rate ic_icir rank_ic_mean rank_ic_std rank_ic_win_rate rank_ic_icir ic_annual_icir rank_ic_annual_icir"),
     ("m6_single_long_short", "single_long_short", "factor periods", "annual_return annual_volatility max_drawdown win_rate cumulative_return sharpe"),
     ("f3_momentum_60d", "fine_momentum", "factor trade_date ts_code", "raw_value"),
     ("f4_turnover_20d", "fine_turnover", "factor trade_date ts_code", "raw_value"),

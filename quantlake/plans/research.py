@@ -58,7 +58,7 @@ class Research:
     LAZY = frozenset(
         "union_by_name adjusted open_days periods f_roe f_growth f_debt f_margin f_pe f_yield f_momentum f_turnover f_volatility f_inflow f_holders period_days nav performance "
         "neutral_performance comparison coverage monthly yearly ic_summary decile_summary long_short_metrics long_short_yearly exposure_summary naive_weights composite_coverage "
-        "layer_nav layer_profile monthly_contributions grouped_improvement group_definition coverage_diagnostics return_monotony rolling_advantage quality decision reproduction naive_composite composite_long_short single_long_short fine_days fine_fit fine_momentum fine_turnover fine_volatility fold_dates champions selection_log factor_weights oos_duplicates oos_ic oos_metrics group_correlation stability paired_tests intervals_of_means gates "
+        "layer_nav layer_profile monthly_contributions grouped_improvement group_definition coverage_diagnostics return_monotony rolling_advantage quality decision reproduction naive_composite composite_layers top_layer_weights layer_metrics layer_summary composite_spread composite_long_short composite_ic_summary single_long_short fine_days fine_fit fine_momentum fine_turnover fine_volatility fold_dates champions selection_log factor_weights oos_duplicates oos_ic oos_metrics group_correlation stability paired_tests intervals_of_means gates "
         "trade_cal index_daily stock_basic adj_factor index_member".split()
     )
 
@@ -145,19 +145,13 @@ def _archived(r: Research) -> DataFrame:
     return r["strategy_metrics"].select("period", "strategy_id", *(quantise(m, 8).alias(m) for m in marginal.METRICS))
 
 
-def _bundle(r: Research, scores: str) -> DataFrame:
-    """Long-short metrics of a set of scores."""
-    return diagnostics.periodic_metrics(diagnostics.long_short(diagnostics.decile_returns(diagnostics.assign_layers(r[scores]), r["forward"])))
-
-
 def _configured() -> dict[str, int]:
     return {s.strategy_id: len(s.factors) for s in experiments()} | {"grouped": len({f.group for f in FACTORS})}
 
 
 def _layer_profile(r: Research) -> DataFrame:
-    daily = r["layer_daily"]
     base, layer = split_layer_name("factor")
-    return portfolio.performance(daily, r["benchmark"], portfolio.turnover(r["layer_weights"]), YEAR).select(base.alias("composite"), layer.alias("layer"), "annual_return", "sharpe")
+    return r["layer_metrics"].select(base.alias("composite"), layer.alias("layer"), "annual_return", "sharpe")
 
 
 def _union_by_name(r: Research) -> DataFrame:
@@ -167,6 +161,21 @@ def _union_by_name(r: Research) -> DataFrame:
     return views.union_view({"customer": c, "supplier": s})
 
 
+#: The results of a composite study, by the relations that hold them.
+MULTIFACTOR = {
+    "composite_scores": "composite_scores", "composite_factor_weights": "pit_weights", "composite_scores_coverage": "composite_coverage", "layers": "composite_layers", "layer_weights": "layer_weights",
+    "top_layer_weights": "top_layer_weights", "layer_daily_returns": "layer_daily", "layer_turnover": "layer_turnover", "layer_metrics": "layer_metrics", "layer_nav": "layer_nav", "layer_period_returns": "layer_period_returns",
+    "layer_summary": "layer_summary", "long_short_returns": "composite_spread", "long_short_metrics": "composite_long_short", "composite_ic_by_period": "composite_ic", "composite_ic_summary": "composite_ic_summary",
+    "single_factor_top_metrics": "neutral_performance", "single_factor_long_short_metrics": "single_long_short",
+}
+
+
+def multifactor_results(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All results of a composite study and of its single factors, by name."""
+    r = research(spark, sf_dir)
+    return {name: r[relation] for name, relation in MULTIFACTOR.items()}
+
+
 RELATIONS: dict[str, Callable[[Research], DataFrame]] = {
     "union_by_name": _union_by_name,
     "adjusted": lambda r: views.adjusted_daily(r["daily"], r["adj_factor"]),
@@ -275,7 +284,15 @@ RELATIONS: dict[str, Callable[[Research], DataFrame]] = {
     "decision": lambda r: evidence.decision(evidence.all_gates(r["gates"], r["intervals_of_means"], r["quality"])),
     "reproduction": lambda r: evidence.reproduction(r["strategy_metrics"], _archived(r), ["period", "strategy_id"], marginal.METRICS),
     "naive_composite": lambda r: composites.weighted_composite(r["executable"], r["naive_weights"], "Composite_Naive", 6),
-    "composite_long_short": lambda r: _bundle(r, "composite_scores"),
+    "composite_layers": lambda r: diagnostics.assign_layers(r["composite_scores"], out="bucket"),
+    "top_layer_weights": lambda r: r["layer_weights"].filter(split_layer_name("factor")[1] == CONFIG.buckets),
+    "layer_turnover": lambda r: portfolio.turnover(r["layer_weights"]),
+    "layer_metrics": lambda r: portfolio.performance(r["layer_daily"], r["benchmark"], r["layer_turnover"], YEAR),
+    "layer_period_returns": lambda r: diagnostics.decile_returns(r["composite_layers"].withColumnRenamed("bucket", "decile"), r["forward"]),
+    "layer_summary": lambda r: diagnostics.summarize_deciles(r["layer_period_returns"]),
+    "composite_spread": lambda r: diagnostics.long_short(r["layer_period_returns"]),
+    "composite_long_short": lambda r: diagnostics.periodic_metrics(r["composite_spread"]),
+    "composite_ic_summary": lambda r: diagnostics.summarize_ic(r["composite_ic"]),
     "single_long_short": lambda r: diagnostics.periodic_metrics(diagnostics.long_short(diagnostics.decile_returns(diagnostics.assign_layers(r["executable"], score="neutralized_score"), r["forward"]))),
     "fine_returns": lambda r: views.adjusted_returns(r["fine_daily"]),
     "fine_fit": lambda r: r["fine_daily"].join(r["fine_days"], "trade_date").select("trade_date", "ts_code"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quantlake.functions import expr
 from quantlake.operators import composites, diagnostics, evidence, factors, marginal, portfolio, views, walkforward
 from quantlake.plans import queries as plans
+from quantlake.plans import research
 from quantlake.specs import FACTORS, LABELS, FactorSpec, WalkForward, check_protocol, experiments, minimum_component_count
 from tests.conftest import DATA
 
@@ -316,6 +317,12 @@ def test_contributions_and_improvement(spark):
     assert {r["metric"]: (r["positive_periods"], r["improved"]) for r in marginal.grouped_improvement(wide, "g", "f").collect()} == {"d10_d1": (3, True), "top20_excess": (0, False)}
 
 
+def test_results_of_a_composite_study(spark):
+    got = research.multifactor_results(spark, DATA)
+    assert len(got) == 18 and {r["factor"] for r in got["layer_summary"].collect()} == {"Composite_Equal", "Composite_RollingRankIC"}
+    assert got["top_layer_weights"].count() and got["single_factor_top_metrics"].count() == 11
+
+
 def test_layer_monotony(spark):
     profile = frame(spark, [("X", d, d / 100.0) for d in range(1, 11)] + [("Y", d, (11 - d) / 100.0) for d in range(1, 11)], "factor string, decile int, average_forward_return double")
     got = {r["factor"]: (r["spread"], r["monotonic_spearman"]) for r in marginal.layer_monotony(profile).collect()}
