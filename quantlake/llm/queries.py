@@ -130,5 +130,66 @@ select d.doc_id, len(any_value(w))::bigint as n_words, count(*) filter (where ba
     coalesce(array_to_string(list_sort(list_distinct(list(label) filter (where base))), ','), '') as base_labels, coalesce(array_to_string(list_sort(list_distinct(list(label) filter (where base or added))), ','), '') as labels,
     coalesce(max(share), 0) as score from d left join judged using (doc_id) group by d.doc_id"""
 
-#: Tokens, packing, profiles, byte strings and entropy scans are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op1_line_quality": _OP1, "op5_license_scan": _OP5, "op7_decontamination": _OP7, "op10_ngram_jaccard": _OP10}
+#: Each 100-byte string as ten whole numbers of ten bytes, so that strings are compared byte by byte.
+_PACK = lambda n: " + ".join(f"(coalesce(lead(b, {k}) over w, 0)::hugeint << {8 * k})" for k in range(n))
+_OP6 = f"""
+with d as (select doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as h from documents),
+byte as materialized (select doc_id, h, i, (strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1 as b from (select doc_id, unnest(h) as h, unnest(range(len(h))) as i from d)),
+packed as (select doc_id, i, {_PACK(10)} as p, count(*) over (partition by doc_id) as size from byte window w as (partition by doc_id order by i)),
+string as (select doc_id, i, size, {", ".join(f"lead(p, {10 * k}) over w as p{k}" for k in range(10))} from packed window w as (partition by doc_id order by i)),
+placed as (select doc_id, i, row_number() over (partition by {", ".join(f"p{k}" for k in range(10))} order by doc_id, i) as k from string where i + {repeats.LENGTH} <= size),
+edge as (select doc_id, i, sum(s) as s from (select doc_id, i, 1 as s from placed where k > 1 union all select doc_id, i + {repeats.LENGTH}, -1 from placed where k > 1) group by 1, 2),
+state as (select b.doc_id, b.i, h, sum(coalesce(s, 0)) over (partition by b.doc_id order by b.i) > 0 as gone from byte b left join edge e on e.doc_id = b.doc_id and e.i = b.i),
+runs as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from state),
+total as (select doc_id, count(*) as n_bytes, count(*) filter (where gone) as n_removed, count(*) filter (where opens) as n_spans, coalesce(string_agg(h, '' order by i) filter (where not gone), '') as kept from runs group by 1)
+select d.doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join total using (doc_id)"""
+
+_N = language.PROFILE
+_OP9 = f"""
+with crc as materialized (select list(c order by k) as t from (select k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as k))),
+d as materialized (select doc_id, lang, text, coalesce(xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 1, false) as held_out from documents, crc),
+w as materialized (select doc_id, word, count(*) as n from (select doc_id, unnest(string_split(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g'), ' ')) as word from d where text is not null) where word <> '' group by 1, 2),
+u as (select word, list_transform(string_split(' ' || word || ' ', ''), lambda c: unicode(c)::bigint) as u from (select distinct word from w)),
+g as materialized (select word, code, count(*) as m from (
+    select word, unnest(u[2:-2]) as code from u union all select word, unnest(list_transform(range(1, len(u)), lambda i: (u[i] << 21) | u[i + 1])) from u
+    union all select word, unnest(list_transform(range(1, len(u) - 1), lambda i: (u[i] << 42) | (u[i + 1] << 21) | u[i + 2])) from u) group by 1, 2),
+own as materialized (select * from (select doc_id, code, row_number() over (partition by doc_id order by sum(n * m) desc, code) - 1 as rank from w join g using (word) group by doc_id, code) where rank < {_N}),
+profile as materialized (select * from (select lang, code, row_number() over (partition by lang order by sum(n * m) desc, code) - 1 as rank from w join g using (word) join d using (doc_id) where lang is not null and not held_out group by lang, code) where rank < {_N}),
+far as (select doc_id, l.lang, sum(coalesce(least(abs(own.rank - p.rank), {_N}), {_N})) as far, count(*) as n from own cross join (select distinct lang from profile) l left join profile p on p.lang = l.lang and p.code = own.code group by 1, 2),
+best as (select doc_id, lang, 1 - far::double / ({_N} * n) as score from (select *, row_number() over (partition by doc_id order by far, lang) as k from far) where k = 1)
+select d.doc_id, d.held_out, coalesce(b.lang, 'und') as lang_pred, coalesce(b.score, 0) as score from d left join best b using (doc_id)"""
+
+_SECRETS = secrets.Rules()
+_CANDIDATE = f"[A-Za-z0-9+/_=-]{{{_SECRETS.window},}}"
+
+
+def _located(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    p = _quoted(pattern)
+    return f"""select doc_id, {rank} as rank, '{kind}' as kind, start, start + length(v) as stop, v from (select doc_id, v, part, sum(length(piece) + length(v)) over (partition by doc_id order by k) - length(v) as start
+        from (select doc_id, unnest(found) as v, unnest(own) as part, unnest(pieces[:len(found)]) as piece, unnest(range(len(found))) as k from (select doc_id, regexp_extract_all(t, {p}) as found, regexp_extract_all(t, {p}, {group}) as own, string_split_regex(t, {p}) as pieces
+            from d where regexp_matches(t, {p})))) where length(part) >= {least}"""
+
+
+def _plain(pattern: str) -> str:
+    """Without possessive repeats, which a matcher that never backtracks does not need."""
+    return pattern.replace("*+", "*").replace("++", "+")
+
+
+#: The first entry of the allow list, one character over and over, needs no pattern.
+_ALLOWED = " or ".join(["replace(v, v[1], '') = ''", *(f"regexp_full_match(v, {_quoted(_plain(x))})" for x in _SECRETS.allow[1:])])
+_OP8 = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+base as materialized ({" union all ".join(_located(k, *rule) for k, rule in enumerate(secrets.BASE))}),
+candidate as materialized (select *, case when regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') then {_SECRETS.hex_bits} when regexp_full_match(v, '[A-Za-z0-9]+') then {_SECRETS.alnum_bits} else {_SECRETS.key_bits} end as bits from ({_located(len(secrets.BASE), "entropy", _CANDIDATE, 0, 0)})
+    where regexp_matches(v, '[a-z]')::int + regexp_matches(v, '[A-Z]')::int + regexp_matches(v, '[0-9]')::int >= {_SECRETS.kinds} and not ({_ALLOWED})),
+char as (select doc_id, start, i, unnest(string_split(v[i + 1:i + {_SECRETS.window}], '')) as c from (select doc_id, start, v, unnest(range(length(v) - {_SECRETS.window - 1})) as i from candidate)),
+entropy as (select doc_id, start, max(h) as h from (select doc_id, start, i, log2({_SECRETS.window}) - sum(n * log2(n)) / {_SECRETS.window} as h from (select doc_id, start, i, c, count(*) as n from char group by all) group by 1, 2, 3) group by 1, 2),
+span as (select doc_id, rank, kind, start, stop from base union all select c.doc_id, rank, kind, c.start, stop from candidate c join entropy e on e.doc_id = c.doc_id and e.start = c.start where h >= bits),
+found as (select doc_id, {", ".join(f"count(*) filter (where rank = {k}) as n_{rule[0]}" for k, rule in enumerate(secrets.BASE))}, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (where rank < {len(secrets.BASE)}), '') as base,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans from span group by 1)
+select d.doc_id, {", ".join(f"coalesce(n_{rule[0]}, 0) as n_{rule[0]}" for rule in secrets.BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join found using (doc_id)"""
+
+#: Tokens and packing are tested against the tokenizer itself and brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_quality": _OP1, "op5_license_scan": _OP5, "op6_repeated_spans": _OP6, "op7_decontamination": _OP7, "op8_secret_scan": _OP8, "op9_language_id": _OP9, "op10_ngram_jaccard": _OP10
+}
