@@ -2,7 +2,8 @@
 
 Every step is a grouped minimum, combined before the shuffle, and a join of the edges with it, written to the shared folder.
 Edges of a hub, a node with more than one in ``skew.SHARE`` of them, are joined where they are, with a broadcast of fewer than
-``skew.SHARE`` hubs, so neither a component nor the edges of a hub have to fit into one task or the driver.
+``skew.SHARE`` hubs, so neither a component nor the edges of a hub have to fit into one task, and of both the driver sees counts
+and the names of hubs alone.
 """
 
 from __future__ import annotations

@@ -144,10 +144,43 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 
 POSTING = "token long, part int, place int, g long, n int"
+LED = "token long, place int, g long, n int, h long, m int, at int, part int"
+
+
+def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of token, part, place and group, each once, with the first of its token and part, its leader.
+
+    An undivided token of one group is left out: a leader waits for a second group.  Nothing but the leader is held.
+    """
+    key, lead, last, waits = None, None, None, False  # (token, part), (g, n, place), the last g, whether the leader has yet to go out
+    for batch in batches:
+        token, part, place, g, n = (batch.column(k).to_numpy() for k in range(5))
+        if not len(token):
+            continue
+        if waits:
+            token, part, place, g, n = (np.concatenate([np.array([x], c.dtype), c]) for x, c in zip((*key, lead[2], lead[0], lead[1]), (token, part, place, g, n), strict=True))
+        opens = np.ones(len(token), bool)
+        opens[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+        opens[0] = waits or key != (int(token[0]), int(part[0]))
+        again = np.zeros(len(token), bool)
+        again[1:] = ~opens[1:] & (g[1:] == g[:-1])
+        again[0] = not opens[0] and int(g[0]) == last
+        run = np.cumsum(opens)  # 0 for rows that go on with the key of the batch before
+        heads = np.flatnonzero(opens)
+        of_lead = [np.concatenate([[0 if lead is None else lead[k]], c[heads]])[run] for k, c in enumerate((g, n, place))]
+        size = np.bincount(run[~again], minlength=len(heads) + 1)
+        out = np.flatnonzero(~again & ((part > 0) | (size[run] > 1) | (run == 0)))
+        columns = [x[out] for x in (token, place, g, n, *of_lead, part)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=[x.split()[0] for x in LED.split(", ")])
+        waits = bool(run[-1] > 0 and size[run[-1]] == 1 and part[-1] == 0)
+        key, lead, last = (int(token[-1]), int(part[-1])), tuple(int(x[-1]) for x in of_lead), int(g[-1])
 
 
 def shared_postings(prefixed: DataFrame) -> DataFrame:
-    """(token, place, g, n) of each shingle that the prefixes of two groups or more have."""
+    """(token, place, g, n) of each shingle that the prefixes of two groups or more have, with its leader (h, m, at).
+
+    The leader has the shingle at the first place, and the smallest g of those.  Each part of a divided token has its own.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -171,32 +204,8 @@ def shared_postings(prefixed: DataFrame) -> DataFrame:
                 [pa.array(token), pa.array(part, pa.int32()), pa.array(place, pa.int32()), pa.array(g), batch.column(1).cast(pa.int32()).take(pa.array(row))], names=["token", "part", "place", "g", "n"]
             )
 
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in the order of token, part and group, without repeats and without undivided tokens of one group."""
-        last, last_kept = None, False
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if last is None else [last, batch])
-            token, part, g = (table.column(k).to_numpy() for k in (0, 1, 3))
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
-            at = np.flatnonzero(new)
-            own = token[at]
-            kept = part[at] > 0
-            kept[1:] |= own[1:] == own[:-1]
-            kept[:-1] |= own[1:] == own[:-1]
-            if last is not None:
-                kept[0] &= not last_kept  # it went out already
-            # The last row waits for what follows, unless it has gone out already.
-            waits = bool(token[-1:].size)
-            out = table.take(pa.array(at[kept]))
-            yield from out.combine_chunks().to_batches() or [batch.slice(0, 0)]
-            if waits:
-                k = int(at[-1])
-                went = bool(kept[-1]) or (last is not None and last_kept and len(at) == 1)
-                last, last_kept = table.slice(k, 1).combine_chunks().to_batches()[0], went
-
     rows = prefixed.filter("n > 0").select("g", "n", "prefix", "parts").mapInArrow(explode, POSTING)
-    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "g").mapInArrow(repeated, POSTING).drop("part")
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "place", "g").mapInArrow(led, LED)
 
 
 def room(n1: str, place1: str, n2: str, place2: str) -> F.Column:
@@ -225,8 +234,7 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, scratch: ru
                     found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    hot = F.broadcast(skew.hot_keys(pairs, "a", pairs.count()))
-    dealt = pairs.join(hot, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = pairs.withColumn("parts", skew.parts("a", skew.hot_keys(pairs, "a")))
     members = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     leaders = dealt.select("a", "parts").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     roles = members.select(F.col("b").alias("node"), "a", "part", F.col("b").alias("other")).unionByName(leaders.select(F.col("a").alias("node"), "a", "part", F.lit(-1).cast("long").alias("other")))
@@ -241,9 +249,12 @@ def _linked(prefixed: DataFrame, texts: DataFrame, classes: DataFrame, scratch:
     leaders = members.groupBy("g").agg(F.min("node").alias("leader"))
     shared = scratch.write(shared_postings(prefixed), "postings")
 
-    # First, each group against the leading group of each of its shingles, and each group's members against its leader.
-    lead = shared.groupBy("token").agg(F.min(F.struct("place", F.xxhash64("g", "token").alias("order"), "g", "n")).alias("lead"))
-    near = skew.lookup(shared, lead, "token").select("g", "n", "place", F.col("lead.g").alias("h"), F.col("lead.n").alias("m"), F.col("lead.place").alias("at"))
+    # First, each group against the leaders of its shingles, those of a divided shingle's parts against the first of them, and
+    # each group's members against its own leading member.
+    tops = shared.filter("part > 0 and g = h").select("token", "g", "n", "place")
+    top = tops.groupBy("token").agg(F.min(F.struct("place", "g", "n")).alias("top"))
+    of_parts = tops.join(top, "token").select("g", "n", "place", F.col("top.g").alias("h"), F.col("top.n").alias("m"), F.col("top.place").alias("at"))
+    near = shared.select("g", "n", "place", "h", "m", "at").unionByName(of_parts)
     near = scratch.write(near.filter((F.col("g") != F.col("h")) & room("n", "place", "m", "at")).select("g", "h").distinct(), "near")
     of_h = skew.lookup(near, leaders.select(F.col("g").alias("h"), F.col("leader").alias("a")), "h")
     across = of_h.join(leaders.select("g", F.col("leader").alias("b")), "g")

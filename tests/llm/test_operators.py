@@ -87,6 +87,38 @@ def test_quality_lines(spark):
     assert not rows[2]["base_failed"] and not rows[2]["kept"]
 
 
+def fewest_bins(lengths: tuple[int, ...], capacity: int) -> int:
+    """By trying every way to fill bins, the longest piece first."""
+    best = len(lengths)
+
+    def place(rest: tuple[int, ...], bins: list[int]) -> None:
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if not rest:
+            best = len(bins)
+            return
+        for k in range(len(bins) + 1):
+            if k == len(bins):
+                place(rest[1:], [*bins, rest[0]])
+            elif bins[k] + rest[0] <= capacity and bins[k] not in bins[:k]:
+                place(rest[1:], [*bins[:k], bins[k] + rest[0], *bins[k + 1 :]])
+
+    place(tuple(sorted(lengths, reverse=True)), [])
+    return best
+
+
+def test_packing_plan_against_every_packing():
+    rng = random.Random(8)
+    more = []
+    for _ in range(200):
+        lengths = [rng.randint(1, 12) for _ in range(rng.randint(1, 9))]
+        steps = packing.plan({k: lengths.count(k) for k in set(lengths)}, 12)
+        assert all(sum(k * n for k, n in chosen.items()) <= 12 for chosen, _ in steps)
+        more.append(sum(t for _, t in steps) - fewest_bins(tuple(lengths), 12))
+    assert set(more) <= {0, 1} and more.count(1) <= 4
+
+
 LINES = {
     "Home | About | News": "navigation",
     "Home|About|News|Login": "navigation",
@@ -125,12 +157,32 @@ def test_quality_lines_of_many_documents(spark):
         assert (r["n_lines"], r["words_removed"]) == (sum(bool(x.split()) for x in lines), sum(len(x.split()) for x in lines if LINES.get(x)))
 
 
-def test_token_counts(table, tokenizer):
-    got: dict = {}
-    for r in token_counts.count_tokens(table, most=40).collect():
-        got.setdefault(r[0], []).append(tuple(r)[1:])
-    for d, text in texts_of(table).items():
-        assert sorted(got[d]) == brute.sections(text, 40, lambda t: tokenizer.encode(t, add_special_tokens=False))
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts(awkward, documents, tokenizer, rule):
+    for table, most in ((awkward, 3), (documents, 40)):
+        got: dict = {}
+        for r in token_counts.count_tokens(table, most=most, rule=rule).collect():
+            got.setdefault(r[0], []).append(tuple(r)[1:])
+        for d, text in texts_of(table).items():
+            assert sorted(got[d]) == brute.sections(text, most, lambda t: tokenizer.encode(t, add_special_tokens=False), rule)
+
+
+def test_token_counts_of_fields(spark, tokenizer):
+    rows = [(1, "A title", "and the text, that goes on.", None), (2, None, "", "z"), (None, "é", "x" * 50, "日本語"), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, text string, tail string")
+    for separator, rule in (("\n", "most"), ("", "first"), ("-", "last")):
+        got: dict = {}
+        for r in token_counts.count_field_tokens(df, ["title", "text", "tail"], separator, rule=rule).collect():
+            got.setdefault(r[0], []).append(tuple(r)[1:])
+        for d, *fields in rows:
+            spans, at = [], 0
+            for k, x in enumerate(fields):
+                size = len(x or "") + (len(separator) if k < 2 else 0)
+                spans.append((at, at + size))
+                at += size
+            expect = brute.attributed(spans, tokenizer.encode(separator.join(x or "" for x in fields), add_special_tokens=False).offsets, rule)
+            names = ("title", "text", "tail")
+            assert sorted(got[d], key=lambda x: names.index(x[0])) == [(names[k], *x) for k, *x in expect]
 
 
 def test_token_file(table, tokenizer):
@@ -446,6 +498,23 @@ def test_jaccard_rows_without_ids_of_their_own(spark):
     assert [x[::2] for x in got] == [x[::2] for x in sorted(expect, key=str)]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 1000])
+def test_leaders_of_shared_shingles(spark, size):
+    rng = random.Random(size)
+    rows = [(rng.randrange(6), rng.randrange(3) if rng.random() < 0.5 else 0, rng.randrange(4), rng.randrange(5)) for _ in range(120)]
+    rows = sorted({(t, p, {0: k, 1: k}.get(p, k), g) for t, p, k, g in rows})
+    place = {}
+    rows = sorted({(t, p, place.setdefault((t, g), k), g) for t, p, k, g in rows})
+    table = pa.table({"token": [r[0] for r in rows for _ in range(2)], "part": pa.array([r[1] for r in rows for _ in range(2)], pa.int32()), "place": pa.array([r[2] for r in rows for _ in range(2)], pa.int32()), "g": [r[3] for r in rows for _ in range(2)], "n": pa.array([9 for r in rows for _ in range(2)], pa.int32())})
+    got = [tuple(r.values()) for b in jaccard.led(iter(table.to_batches(size))) for r in b.to_pylist()]
+    expect = []
+    for t, p, k, g in rows:
+        own = [r for r in rows if r[:2] == (t, p)]
+        if p or len(own) > 1:
+            expect.append((t, k, g, 9, own[0][3], 9, own[0][2], p))
+    assert got == expect
+
+
 def test_components_of_a_hub(spark, monkeypatch):
     from quantlake.llm import components, skew
 
