@@ -105,7 +105,7 @@ def nav(daily: DataFrame, keys: tuple[str, ...] = ("factor",), value: str = "por
     """Compounded value from 1, and the drawdown against its highest so far."""
     so_far = Window.partitionBy(*keys).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     out = daily.withColumn("nav", F.product(1.0 + F.coalesce(value, F.lit(0.0))).over(so_far))
-    return out.withColumn("drawdown", F.col("nav") / F.max("nav").over(so_far) - 1.0)
+    return out.withColumn("drawdown", divide("nav", F.max("nav").over(so_far)) - 1.0)
 
 
 def performance(daily: DataFrame, benchmark: DataFrame, turnovers: DataFrame, year: int = 252) -> DataFrame:
