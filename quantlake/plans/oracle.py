@@ -356,11 +356,11 @@ CTES: dict[str, str] = {name: duckdb_sql(name) for name in BRIDGE} | {
         m as (select metric, count(*) as months, avg(value) as mean_delta, median(value) as median_delta, avg((value > 0)::int::double) as win_rate, avg(value) / nullif(stddev_samp(value) / sqrt(count(*)::double), 0) as simple_t from v group by 1),
         t as (select *, mean_delta / nullif(sqrt(greatest(lv, 0) / months), 0) as newey_west_stat from m join w using (metric))
         select *, case when newey_west_stat is not null then greatest(1 - 2 / sqrt(pi()) * exp(-newey_west_stat * newey_west_stat / 2) * list_sum(list_transform(range(0, 301), lambda n: case when newey_west_stat = 0 then 0 else exp(n * ln(4.0::double) + lgamma(n + 1) - lgamma(2 * n + 2) + (2 * n + 1) * ln(abs(newey_west_stat) / sqrt(2.0::double))) end)), 0) end as newey_west_two_sided_p from t""",
-    "annual_stability": " union all ".join(f"select period::int as year, '{n}' as metric, max({m}) filter (where strategy_id = 'grouped') as challenger, max({m}) filter (where strategy_id = 'full') as baseline, challenger - baseline as delta, challenger > baseline as challenger_wins from strategy_metrics where period in ({', '.join(f"'{y}'" for y in YEARS)}) group by period" for n, (_, m) in PRIMARY.items()),
+    "annual_stability": "select * from (" + " union all ".join(f"select period::int as year, '{n}' as metric, max({m}) filter (where strategy_id = 'grouped') as challenger, max({m}) filter (where strategy_id = 'full') as baseline, challenger - baseline as delta, challenger > baseline as challenger_wins from strategy_metrics where period in ({', '.join(f"'{y}'" for y in YEARS)}) group by period" for n, (_, m) in PRIMARY.items()) + ") where challenger is not null and baseline is not null",
     "gates": " union all ".join(
-        f"select '{gate}' as gate, '{metric}' as metric, a.{c} as challenger, b.{c} as baseline, a.{c} {op} b.{c} as passed from strategy_metrics a join strategy_metrics b using (period) where period = 'FULL' and a.strategy_id = 'grouped' and b.strategy_id = 'full'"
+        f"select '{gate}' as gate, '{metric}' as metric, a.{c} as challenger, b.{c} as baseline, coalesce(a.{c} {op} b.{c}, false) as passed from strategy_metrics a join strategy_metrics b using (period) where period = 'FULL' and a.strategy_id = 'grouped' and b.strategy_id = 'full'"
         for gate, metric, c, op in (("return", "d10_d1", "d10_d1_annual_return", ">"), ("return", "top20_excess", "top20_excess_annual_return", ">"), ("drawdown", "d10_d1", "d10_d1_max_drawdown", ">="), ("drawdown", "top20", "top20_max_drawdown", ">="), ("turnover", "d10_d1", "d10_d1_average_two_leg_turnover", "<="), ("turnover", "top20", "top20_average_monthly_turnover", "<="))
-    ) + f" union all select 'annual_stability', metric, count(*) filter (where challenger_wins)::double, ceil(2 * {len(YEARS)} / 3.0::double), count(*) filter (where challenger_wins) >= ceil(2 * {len(YEARS)} / 3.0::double) from annual_stability group by metric",
+    ) + f" union all select 'annual_stability', m.metric, count(*) filter (where challenger_wins)::double, ceil(2 * {len(YEARS)} / 3.0::double), count(*) filter (where challenger_wins) >= ceil(2 * {len(YEARS)} / 3.0::double) from (values ('d10_d1'), ('top20_excess')) m(metric) left join annual_stability using (metric) group by m.metric",
     "quality": """select 'adjusted_return_coverage' as check_name, case when min(trade_date) <= '19950131' and max(trade_date) >= '20011001' then 'passed' else 'failed' end as status, true as critical, 'min=' || min(trade_date) || ', max=' || max(trade_date) || ', rows=' || count(*) as detail from returns
         union all select 'benchmark_coverage', case when min(trade_date) <= '19950131' and max(trade_date) >= '20011001' then 'passed' else 'failed' end, true, 'benchmark=000985.CSI, min=' || min(trade_date) || ', max=' || max(trade_date) || ', rows=' || count(*) from index_daily where ts_code = '000985.CSI' and close is not null
         union all select 'frozen_factor_availability', case when count(distinct factor) = 11 and min(trade_date) filter (where factor = 'Volatility') <= '19960331' then 'passed' else 'failed' end, true, 'factor_count=' || count(distinct factor) || ', first_volatility=' || min(trade_date) filter (where factor = 'Volatility') from panel
