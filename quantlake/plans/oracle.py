@@ -405,7 +405,7 @@ def needs(name: str, seen: list[str] | None = None) -> list[str]:
     return seen
 
 
-def sql(name: str, keys: str, doubles: str = "", digits: int = 6) -> str:
-    columns = [*keys.split(), *(f"{q(c, digits)} as {c}" for c in doubles.split())]
+def sql(name: str, keys: str, doubles: str = "") -> str:
+    columns = [*keys.split(), *(f"{q(q(c, 9), 6)} as {c}" for c in doubles.split())]
     ctes = ",\n".join(f"{x} as materialized ({CTES[x]})" for x in needs(name))
     return f"with {ctes}\nselect {', '.join(columns)} from {name}"

@@ -137,15 +137,13 @@ SPECS: tuple[tuple[str, str, str, str], ...] = (
     ("f4_turnover_20d", "fine_turnover", "factor trade_date ts_code", "raw_value"),
     ("f5_volatility_252d", "fine_volatility", "factor trade_date ts_code", "raw_value"),
 )
-#: A mean of ten-digit scores can lie on a six-digit edge; such columns are compared to three digits.
-COARSE = frozenset({"strategies"})
 
 
 def _relation(name: str, keys: str, doubles: str) -> Callable[[SparkSession, str], DataFrame]:
-    digits = 3 if name in COARSE else 6
+    """Nine digits first: a mean of decimals can lie on a six-digit edge, and sums in another order on either side of it."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return research(spark, sf_dir)[name].select(*keys.split(), *(quantise(c, digits).alias(c) for c in doubles.split()))
+        return research(spark, sf_dir)[name].select(*keys.split(), *(quantise(quantise(c, 9), 6).alias(c) for c in doubles.split()))
 
     return run
 
@@ -346,4 +344,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Resampling has no SQL form; what rests on it is tested with its fixed seed."""
-    return {q: oracle.sql(name, keys, doubles, 3 if name in COARSE else 6) for q, name, keys, doubles in SPECS if name in oracle.CTES} | STORAGE_SQL
+    return {q: oracle.sql(name, keys, doubles) for q, name, keys, doubles in SPECS if name in oracle.CTES} | STORAGE_SQL
