@@ -145,7 +145,7 @@ total as (select doc_id, count(*) as n_bytes, count(*) filter (where gone) as n_
 select d.doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join total using (doc_id)"""
 
 _N = language.PROFILE
-_OP9 = f"""
+_OP9 = rf"""
 with crc as materialized (select list(c order by k) as t from (select k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as k))),
 d as materialized (select doc_id, lang, text, coalesce(xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 1, false) as held_out from documents, crc),
 w as materialized (select doc_id, word, count(*) as n from (select doc_id, unnest(string_split(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g'), ' ')) as word from d where text is not null) where word <> '' group by 1, 2),
