@@ -36,6 +36,9 @@ SLOP = 15
 BLOCK_BYTES = 16 << 20
 #: Candidate places that are intersected at a time.
 CANDIDATES = 1 << 21
+#: A segment is a row of some MB, and a reader holds a row group.  Groups are bounded in rows: Parquet looks at their bytes, as
+#: compressed, after 100 rows only, when a group has all the segments of a task.
+ROW_GROUPS = {"parquet.block.row.count.limit": "2"}
 
 INDEX = "n_words binary, terms binary, counts binary, places binary, hits binary, found array<array<string>>, near binary"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
@@ -83,8 +86,7 @@ def build_index(docs: DataFrame, carried: list[str], size: int) -> DataFrame:
             )
 
     schema = runtime.with_fields(StructType([StructField("own", ArrayType(StructType([docs.schema[c] for c in carried])))]), INDEX)
-    # Small row groups: a reader holds one of them.
-    return runtime.materialize(docs.mapInArrow(run, schema), "index", {"parquet.block.size": str(16 << 20)})
+    return runtime.materialize(docs.mapInArrow(run, schema), "index", ROW_GROUPS)
 
 
 class Segment:
@@ -266,7 +268,7 @@ def search(docs: DataFrame, carried: list[str], benchmark: DataFrame, size: int,
     before = None
     for items in blocks_of(benchmark):
         if before is not None:
-            state = runtime.materialize(state.mapInArrow(step(before), state.schema), "index", {"parquet.block.size": str(16 << 20)})
+            state = runtime.materialize(state.mapInArrow(step(before), state.schema), "index", ROW_GROUPS)
         before = context.broadcast(block_of(items, state, size))
     return state.mapInArrow(last(before), schema)
 

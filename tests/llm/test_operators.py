@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import random
 import time
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quantlake.llm import decontaminate, jaccard, language, licenses, packing, quality, queries, repeats, secrets, token_counts, token_file, tokens
+from quantlake.llm import decontaminate, jaccard, language, licenses, packing, quality, queries, repeats, runtime, secrets, token_counts, token_file, tokens
 from tests.llm import brute
 
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -287,6 +289,15 @@ def test_decontamination_in_blocks(documents, benchmark, monkeypatch):
     assert by_id(decontaminate.decontaminate(documents, benchmark)) == whole
 
 
+def test_row_groups_of_the_index_are_small(spark):
+    """A task's segments, far fewer than 100 rows, once were one row group, which its reader held as a whole."""
+    runtime.small_batches(spark)
+    docs = spark.range(0, 24, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id, ' '), 131072)").alias("text"))
+    index = decontaminate.build_index(docs, ["doc_id", "text"], 10)
+    groups = [m.row_group(k) for p in index.inputFiles() for m in [pq.ParquetFile(urlparse(p).path).metadata] for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 4 and max(g.total_byte_size for g in groups) < 25 << 20
+
+
 def test_near_matches(spark):
     item = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "delta x gamma y beta z alpha"), (2, "alpha beta"), (3, "alpha " + "x " * 40 + "beta gamma delta")], "doc_id long, text string")
